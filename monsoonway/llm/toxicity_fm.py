@@ -1,6 +1,6 @@
 """Toxicity by a factorization machine over hashed terms.
 
-Terms are the distinct words of a text and the first ``PREFIX`` letters of longer words, hashed to
+Terms are the distinct words of a text and the first letters of longer words (``PREFIXES``), hashed to
 ``BUCKETS`` numbers. Beside a weight each term has ``FACTORS`` latent factors, so a pair of terms adds
 the product of theirs (Rendle 2010): an insult beside the mention of a group can score more than both alone.
 
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from ._runtime import bounded_sample, crc_remainder
 
 BUCKETS = 1 << 20
-PREFIX = 5
+PREFIXES = (4, 5)
 KEPT = 4096
 FACTORS = 4
 TRAIN_ROWS = 20_000
@@ -38,29 +38,31 @@ REMEMBERED = 300_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
-def hashed(word: str) -> tuple[int, int]:
-    """The hashed numbers of a word and of its prefix; -1 for a word too short to have one."""
-    return zlib.crc32(word.encode()) % BUCKETS, zlib.crc32(b"^" + word[:PREFIX].encode()) % BUCKETS if len(word) > PREFIX else -1
+def hashed(word: str) -> list[int]:
+    """The hashed numbers of a word and of its prefixes."""
+    return [zlib.crc32(word.encode()) % BUCKETS, *(zlib.crc32(f"^{word[:n]}".encode()) % BUCKETS for n in PREFIXES if len(word) > n)]
 
 
 class Terms(dict):
-    """Words to positions in the chosen terms, remembered; 0 stands for none."""
+    """Words to the positions of their terms among the chosen ones, 16 bits each, remembered; 0 stands for none."""
 
     def __init__(self, chosen: np.ndarray) -> None:
         self.position = {int(t): i + 1 for i, t in enumerate(chosen)}
 
     def __missing__(self, word: str) -> int:
-        a, b = hashed(word)
-        self[word] = at = self.position.get(a, 0) | self.position.get(b, 0) << 32
+        at = 0
+        for t in hashed(word):
+            at = at << 16 | self.position.get(t, 0)
+        self[word] = at
         return at
 
     def of(self, text: str | None) -> np.ndarray:
         words = set(_LETTERS.findall((text or "").lower()))
         if len(self) > REMEMBERED:
             self.clear()
-        both = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        both = both[both > 0]
-        found = np.unique(np.concatenate([both & 0xFFFFFFFF, both >> 32]))
+        packed = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        packed = packed[packed > 0]
+        found = np.unique(np.concatenate([packed & 0xFFFF, packed >> 16 & 0xFFFF, packed >> 32]))
         return found[found > 0] - 1
 
 
@@ -68,7 +70,7 @@ def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     for batch in batches:
         tally = {0: [], 1: []}
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            terms = {t for w in set(_LETTERS.findall((text or "").lower())) for t in hashed(w)} - {-1}
+            terms = {t for w in set(_LETTERS.findall((text or "").lower())) for t in hashed(w)}
             tally[toxic].append(np.fromiter(terms, np.int64, len(terms)))
         for toxic, rows in tally.items():
             if rows:

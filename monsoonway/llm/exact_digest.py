@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Text that one task should sort, in code points.
-RANGE_CHARS = 16_000_000
+RANGE_CHARS = 2_000_000
 #: Most ranges that documents are dealt to; their edges are literals of the plan.
 RANGES = 4096
 
@@ -52,6 +52,17 @@ def resolve(rows: DataFrame, clashes: DataFrame, column: str) -> DataFrame:
         column, F.when(F.col("clash_nth") > 1, F.concat(column, F.lit("-"), F.col("clash_nth").cast("string"))).otherwise(F.col(column))).drop("clash_print", "clash_canon", "clash_nth")
 
 
+def _edges_below(edges: list[int], value: Column) -> Column:
+    """How many of the sorted ``edges`` lie below ``value``: first among every n-th one, then among the n after it."""
+    if not edges:
+        return F.lit(0)
+    step = max(1, round(len(edges) ** 0.5))
+    below = lambda xs: F.coalesce(F.size(F.filter(xs, lambda e: e < value)), F.lit(0))
+    table = F.array(*map(F.lit, edges)).cast("array<bigint>")
+    coarse = F.greatest(below(F.array(*map(F.lit, edges[::step])).cast("array<bigint>")) - 1, F.lit(0)) * step
+    return F.when(value.isNull(), 0).otherwise(coarse + below(F.slice(table, coarse + 1, F.lit(step))))
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, text, next_text): the next document by falling id, the first after the last.
 
@@ -67,10 +78,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     if ranges > 1:
         shares = [i / ranges for i in range(1, ranges)]
         edges = sorted(set(rows.agg(F.percentile_approx("doc_id", shares, 10 * ranges)).first()[0] or []))
-    # the number of edges below the id, by halving: edges are few and sorted
-    table = F.array(*map(F.lit, edges)).cast("array<bigint>")
-    at = F.coalesce(F.size(F.filter(table, lambda e: e < F.col("doc_id"))), F.lit(0)) if edges else F.lit(0)
-    dealt = rows.withColumn("range", at)
+    dealt = rows.withColumn("range", _edges_below(edges, F.col("doc_id")))
     firsts = dealt.groupBy("range").agg(F.max("place").alias("place")).orderBy(F.desc("range")).collect()
     if not firsts:
         return rows.select("doc_id", "text", F.col("text").alias("next_text"))

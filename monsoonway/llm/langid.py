@@ -15,6 +15,7 @@ Repeated rows are scored alike. Other columns are not read.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -63,6 +64,7 @@ class Model:
 
     def __init__(self, langs: list[str], tables: list[dict[str, int]], scores: np.ndarray) -> None:
         self.langs, self.tables, self.scores = langs, tables, scores
+        self.token = uuid.uuid4().hex
 
     def backoff(self, word: str) -> np.ndarray:
         edged = f"^{word}$"
@@ -140,9 +142,20 @@ class Scorer:
         return self.model.langs[best], float(1 / lead.sum())
 
 
+_SCORERS: dict[str, Scorer] = {}
+
+
+def _worker_scorer(model: Model) -> Scorer:
+    """The scorer of this worker process, so that later tasks find the words that earlier ones met."""
+    if model.token not in _SCORERS:
+        _SCORERS.clear()
+        _SCORERS[model.token] = Scorer(model)
+    return _SCORERS[model.token]
+
+
 def _predict(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(held.value)
+        scorer = _worker_scorer(held.value)
         for batch in batches:
             found = [scorer.predict(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.record_batch(

@@ -24,6 +24,7 @@ import zlib
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,8 @@ GROUPS = 96
 #: Pieces of one length that share a ranking task.
 RANKED = 100_000
 #: Chunks whose ids a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
+_MARKS = ".,;:!?%#&$*|()\"-"
 _DOUBLE_SPACE = re.compile(r"\s\s")
 _WORD_START = re.compile(r" (?=\S)")
 
@@ -64,8 +66,17 @@ class Ids:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch(chunks, add_special_tokens=False)]
 
     def _learn(self, known: dict[str, bytes], chunks: set[str], lead: str) -> None:
-        if new := [c for c in chunks if c not in known]:
-            known.update(zip(new, self._encode([lead + c for c in new])))
+        """A letter ends its token before punctuation, so a word and the marks after it are learned apart."""
+        new = chunks - known.keys()
+        parts = {c: b for c in new if (b := c.rstrip(_MARKS)) != c and b[-1:].isalpha()}
+        if words := ({parts.get(c, c) for c in new} - known.keys()):
+            known.update(zip(words, self._encode([lead + c for c in words])))
+        if parts:
+            marks = {c[len(b) :] for c, b in parts.items()}
+            if fresh := list(marks - self.plain.keys()):
+                self.plain.update(zip(fresh, self._encode(fresh)))
+            plain = self.plain
+            known.update({c: known[b] + plain[c[len(b) :]] for c, b in parts.items()})
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.plain) + len(self.spaced) > REMEMBERED:
@@ -81,7 +92,13 @@ class Ids:
         return [self.newline.join([b"".join([plain[line[0]], *map(spaced.__getitem__, line[1:])]) for line in lines]) for lines in cut_up]
 
 
-def _batches_of(texts: list[str], most: int = 1 << 21) -> Iterator[list[str]]:
+@cache
+def _worker_ids(path: str) -> Ids:
+    """One for each worker process, so that later tasks find the chunks that earlier ones met."""
+    return Ids(path)
+
+
+def _batches_of(texts: list[str], most: int = 1 << 22) -> Iterator[list[str]]:
     held, size = [], 0
     for t in texts:
         held.append(t)
@@ -98,7 +115,7 @@ def _pieces(path: str, capacity: int, end_id: int):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        ids, end = Ids(path), np.array([end_id], "<u4").tobytes()
+        ids, end = _worker_ids(path), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             docs = iter(batch.column(0).to_pylist())
             texts = [t or "" for t in batch.column(1).to_pylist()]

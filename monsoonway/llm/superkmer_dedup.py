@@ -11,7 +11,7 @@ have an earlier occurrence and are marked at once. Minimisers that still carry m
 ``HOT_SHARE`` of all runs are split by a second content key, the largest gram hash of the window,
 which equal windows share as well.
 
-Rows. Null text has no words. Documents are known by ``doc_id`` and a hash of their text; a null
+Rows. Null text has no words. Documents are known by ``doc_id`` and 32 bits of a hash of their text; a null
 ``doc_id`` counts as smaller than any other. Repeated rows of one document are one document: neither
 is "earlier" than the other, and both get the same result. Other columns are ignored.
 """
@@ -30,11 +30,11 @@ from pyspark.sql import functions as F
 from ._runtime import cut
 
 WINDOW = 20
-MINIMISER = 6
+MINIMISER = 4
 #: A minimiser with more than this share of all runs is split by a second key; at most 1 / HOT_SHARE are.
 HOT_SHARE = 1 / 2000
-#: Runs are packed into blocks of about so many bytes of words before they are shuffled.
-BLOCK_BYTES = 1 << 18
+#: A map task compresses what it holds for each bucket whenever it holds about so many bytes.
+BLOCK_BYTES = 24 << 20
 #: Words that a bucket should hold, so that sorting one takes tens of MB.
 BUCKET_WORDS = 1_500_000
 #: Runs remembered by a map task to drop those seen before.
@@ -134,7 +134,7 @@ def _pack(window: int, minimiser: int, buckets: int, hot: np.ndarray):
     """Map side: super-k-mers to compressed blocks by bucket; bucket -1 carries runs seen before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, squeeze = _Powers(), zstandard.ZstdCompressor(level=1)
+        powers, squeeze = _Powers(), zstandard.ZstdCompressor(level=3)
         held: dict[int, list] = {}
         size = 0
         seen: dict[bytes, tuple] = {}
@@ -161,7 +161,7 @@ def _pack(window: int, minimiser: int, buckets: int, hot: np.ndarray):
                     continue
                 held.setdefault(key % buckets, []).append((doc, text_hash, first, windows, windows + window - 1, words))
                 size += len(words) + 40
-            if size > BLOCK_BYTES * 64:
+            if size > BLOCK_BYTES:
                 yield from flush()
                 size = 0
         yield from flush()
@@ -170,15 +170,18 @@ def _pack(window: int, minimiser: int, buckets: int, hot: np.ndarray):
 
 
 def _write(rows: list) -> bytes:
-    numbers = np.array([r[:4] for r in rows], np.int64).T.copy()
-    lengths = np.array([len(r[5]) for r in rows], np.int64)
-    return b"".join([np.int64(len(rows)).tobytes(), numbers.tobytes(), lengths.tobytes(), *[r[5] for r in rows]])
+    doc, text_hash, first, windows, _, words = zip(*rows)
+    numbers = [np.array(x, kind).tobytes() for x, kind in ((doc, "<i8"), (text_hash, "<u4"), (first, "<i4"), (windows, "<i4"), ([len(w) for w in words], "<i4"))]
+    return b"".join([np.int64(len(rows)).tobytes(), *numbers, *words])
 
 
 def _read(block: bytes):
-    n = int(np.frombuffer(block, np.int64, 1)[0])
-    numbers = np.frombuffer(block, np.int64, 4 * n, 8).reshape(4, n)
-    return numbers, np.frombuffer(block, np.int64, n, 8 + 32 * n), block[8 + 40 * n :]
+    n, at = int(np.frombuffer(block, np.int64, 1)[0]), 8
+    out = []
+    for kind in ("<i8", "<u4", "<i4", "<i4", "<i4"):
+        out.append(np.frombuffer(block, kind, n, at).astype(np.int64))
+        at += n * np.dtype(kind).itemsize
+    return np.stack(out[:4]), out[4], block[at:]
 
 
 def _merge(doc, text_hash, first, repeated) -> pa.Table:
@@ -284,9 +287,13 @@ def _hot(batches_window: int, minimiser: int):
     return run
 
 
+def _text_hash() -> F.Column:
+    return F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF))
+
+
 def repeated_spans(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIMISER) -> DataFrame:
     """Rows (doc_id, text_hash, first, windows): runs of windows that start earlier elsewhere."""
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_hash().alias("text_hash"), F.col("text").cast("binary").alias("text"))
     counts = cut(source.select("text").mapInArrow(_hot(window, minimiser), "key long, n long, words long"))
     total = counts.where("words >= 0").agg(F.sum("n"), F.sum("words")).first()
     runs, words = int(total[0] or 0), int(total[1] or 0)
@@ -338,7 +345,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, minimiser: int = MIN
     by_doc = spans.groupBy(F.col("doc_id").alias("span_doc"), F.col("text_hash").alias("span_hash")).agg(F.collect_list(F.struct("first", "windows")).alias("spans"))
     left = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), *(F.col(f"`{c}`").alias(f"carry_{c}") for c in carry),
-        F.col("text").cast("binary").alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("join_doc"), F.xxhash64("text").alias("join_hash"))
+        F.col("text").cast("binary").alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("join_doc"), _text_hash().alias("join_hash"))
     joined = left.join(by_doc, (F.col("join_doc") == F.col("span_doc")) & (F.col("join_hash") == F.col("span_hash")), "left").drop("join_doc", "join_hash", "span_doc", "span_hash")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name not in ("text", "spans"))
     return joined.mapInArrow(_rewrite(window), f"{kinds}, n_words long, n_removed long, kept_sha256 string, kept_text string")

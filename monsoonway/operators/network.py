@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -54,11 +54,35 @@ def shortest_costs(origins: DataFrame, edges: DataFrame) -> DataFrame:
             return best.select("origin", "node", "cost")
 
 
-def trade_graph(spark: SparkSession, sf_dir: str, before: str) -> DataFrame:
-    """A sparse graph of suppliers: successive lines of an order shipped in 1996 before a day are an edge."""
-    from pyspark.sql import Window
+def spanning_links(edges: DataFrame) -> DataFrame:
+    """Rows (a, b, w) of the minimum spanning forest, by rounds in which each component takes its least link.
 
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where((F.col("l_shipdate") >= "1996-01-01") & (F.col("l_shipdate") < before))
-    total = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-    pairs = lines.select(F.col("l_suppkey").alias("s"), F.lead("l_suppkey").over(total).alias("t"), F.col("l_quantity").alias("w")).where("t is not null and s <> t")
-    return pairs.groupBy(F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b")).agg(F.min("w").alias("w"))
+    Ties go to the smaller (a, b), so the forest is unique. Rounds grow with the logarithm of the nodes.
+    """
+    edges = checkpointed(edges.select("a", "b", "w"))
+    nodes = checkpointed(edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct())
+    chosen, labels = edges.limit(0), nodes.withColumn("component", F.col("node"))
+    while True:
+        ends = [labels.select(F.col("node").alias(e), F.col("component").alias(f"c{e}")) for e in ("a", "b")]
+        between = edges.join(ends[0], "a").join(ends[1], "b").where("ca <> cb")
+        per_end = between.select(F.explode(F.array("ca", "cb")).alias("c"), F.struct("w", "a", "b").alias("link"))
+        best = checkpointed(per_end.groupBy("c").agg(F.min("link").alias("link")).select("link.a", "link.b", "link.w").distinct())
+        if best.isEmpty():
+            return chosen
+        chosen = checkpointed(chosen.unionByName(best))
+        labels = components(nodes, chosen)
+
+
+def successive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows (l_orderkey, s, t, w, week, t_week): each line of an order and the next one."""
+    from ..functions.expressions import anchored_week
+
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    total = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
+    week = anchored_week(F.col("l_shipdate"), "1995-01-02")
+    return lines.select("l_orderkey", F.col("l_suppkey").alias("s"), F.lead("l_suppkey").over(total).alias("t"), F.col("l_quantity").alias("w"), week.alias("week"), F.lead(week).over(total).alias("t_week")).where("t is not null and s <> t")
+
+
+def trade_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sparse graph of suppliers: successive lines of an order that ship in the same week are an edge."""
+    return successive(spark, sf_dir).where("week = t_week").groupBy(F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b")).agg(F.min("w").alias("w"))

@@ -48,7 +48,7 @@ def _scenarios(rows: DataFrame) -> DataFrame:
 
 
 def boxplot_stats_roads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _scenarios(_road_weeks(spark, sf_dir).where("week_start < date'1996-01-01'"))
+    rows = _scenarios(_road_weeks(spark, sf_dir))
     long = rows.select("week_start", "scenario", "effective", F.expr("stack(2, 'quantity', l_quantity, 'price', l_extendedprice) as (metric, v)"))
     return R.five_numbers(long, ["week_start", "scenario", "effective", "metric"], "v").select("week_start", "scenario", "effective", "metric", "n", *map(_r, _FIVE))
 
@@ -164,7 +164,7 @@ def node_key_md5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return N.trade_graph(spark, sf_dir, "1996-03-01")
+    return N.trade_graph(spark, sf_dir)
 
 
 def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,8 +178,9 @@ def component_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sssp_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = N.trade_graph(spark, sf_dir, "1996-03-01")
-    return N.shortest_costs(edges.where("a < 5").select(F.col("a").alias("origin")).distinct(), edges)
+    """From the supplier of the highest balance in each nation."""
+    first = R.top_per_group(_t(spark, sf_dir, "supplier"), ["s_nationkey"], [F.desc_nulls_last("s_acctbal"), F.col("s_suppkey")], 1)
+    return N.shortest_costs(first.select(F.col("s_suppkey").alias("origin")), N.trade_graph(spark, sf_dir))
 
 
 def access_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,7 +232,7 @@ def weighted_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def path_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey", "l_partkey", "l_quantity")))
-    paths = _t(spark, sf_dir, "lineitem").where("l_orderkey < 500").groupBy("l_orderkey").agg(steps.alias("s"))
+    paths = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(steps.alias("s"))
     return paths.select("l_orderkey", F.md5(F.array_join(F.transform("s", lambda x: x["l_suppkey"].cast("string")), ",")).alias("signature"))
 
 
@@ -240,7 +241,7 @@ def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _t(spark, sf_dir, "embeddings").select("vec_id", (F.col("embedding")[0].cast("double") * 100).alias("x"), (F.col("embedding")[1].cast("double") * 100).alias("y"))
     p = p.withColumn("cx", F.floor(F.col("x") / 10)).withColumn("cy", F.floor(F.col("y") / 10))
     offsets = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    q = p.where("vec_id % 5 = 0").withColumn("o", F.explode(offsets)).select(F.col("vec_id").alias("origin"), F.col("x").alias("qx"), F.col("y").alias("qy"), (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"))
+    q = p.withColumn("o", F.explode(offsets)).select(F.col("vec_id").alias("origin"), F.col("x").alias("qx"), F.col("y").alias("qy"), (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"))
     near = q.join(p, ["cx", "cy"]).where("origin <> vec_id").withColumn("d2", F.round((F.col("x") - F.col("qx")) ** 2 + (F.col("y") - F.col("qy")) ** 2, 6))
     return R.top_per_group(near, ["origin"], [F.col("d2"), F.col("vec_id")], 3).select("origin", "rank", "vec_id", "d2")
 
@@ -251,9 +252,10 @@ QUERIES = {f.__name__: f for f in (
     connected_components, component_summary, sssp_costs, access_delta, regimes_cumshare, burden_rank_gap, spearman, surface_mix_pivot, completeness_having, upsert_latest, event_props_json, weighted_mean, path_signature, knn_topk)}
 
 _ROADS = f"roads AS (SELECT l_suppkey, l_partkey, l_quantity, l_extendedprice, {_SQL_WEEK} AS week_start, {_SQL_SURFACE} AS surface FROM lineitem)"
-_EDGES = """p AS (SELECT l_suppkey AS s, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS t, l_quantity AS w
-FROM lineitem WHERE l_shipdate >= timestamp '1996-01-01' AND l_shipdate < timestamp '1996-03-01'),
-e AS (SELECT least(s, t) AS a, greatest(s, t) AS b, min(w) AS w FROM p WHERE t IS NOT NULL AND s <> t GROUP BY ALL),
+_STEPS = f"""p AS (SELECT * FROM (SELECT l_orderkey, l_suppkey AS s, lead(l_suppkey) OVER o AS t, l_quantity AS w, {_SQL_WEEK} AS week, lead({_SQL_WEEK}) OVER o AS t_week
+FROM lineitem WINDOW o AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate)) WHERE t IS NOT NULL AND s <> t)"""
+_EDGES = _STEPS + """,
+e AS (SELECT least(s, t) AS a, greatest(s, t) AS b, min(w) AS w FROM p WHERE week = t_week GROUP BY ALL),
 b AS (SELECT a AS s, b AS t, w FROM e UNION ALL SELECT b, a, w FROM e)"""
 _COMPONENTS = f"WITH RECURSIVE {_EDGES}, r(node, c) USING KEY (node) AS (SELECT DISTINCT s, s FROM b UNION SELECT b.t, min(r.c) FROM r JOIN b ON b.s = r.node JOIN recurring.r old ON old.node = b.t WHERE r.c < old.c GROUP BY b.t)"
 _INCREMENTS = f"""i AS (SELECT *, CASE WHEN p IS NULL OR value < p THEN value ELSE value - p END AS mm FROM (SELECT event_id, user_id, value, {_SQL_EVENT_WEEK} AS week_start,
@@ -262,7 +264,7 @@ _PCT = "(rank() OVER (PARTITION BY p_type ORDER BY {0}) + (count(*) OVER (PARTIT
 _WET = f"SELECT week_start, road_type, mm, m, l_extendedprice / 1000 AS dry FROM (SELECT *, l_quantity * 7 AS mm, CASE WHEN surface = 'paved' THEN 'paved' ELSE 'unpaved' END AS road_type FROM roads) x JOIN {_SQL_RULES} ON t = road_type AND mm >= lo AND (hi IS NULL OR mm < hi)"
 
 ORACLE_SQL = {
-    "boxplot_stats_roads": f"WITH {_ROADS}, l AS (SELECT week_start, scenario, {_SQL_EFFECTIVE} AS effective, metric, CASE metric WHEN 'quantity' THEN l_quantity ELSE l_extendedprice END AS v FROM roads CROSS JOIN {_SQL_SCENARIOS} CROSS JOIN (VALUES ('quantity'), ('price')) m(metric) WHERE week_start < date '1996-01-01') SELECT week_start, scenario, effective, metric, {_SQL_FIVE} FROM l GROUP BY ALL",
+    "boxplot_stats_roads": f"WITH {_ROADS}, l AS (SELECT week_start, scenario, {_SQL_EFFECTIVE} AS effective, metric, CASE metric WHEN 'quantity' THEN l_quantity ELSE l_extendedprice END AS v FROM roads CROSS JOIN {_SQL_SCENARIOS} CROSS JOIN (VALUES ('quantity'), ('price')) m(metric)) SELECT week_start, scenario, effective, metric, {_SQL_FIVE} FROM l GROUP BY ALL",
     "boxplot_stats_cells": f"WITH {_ROADS}, c AS (SELECT l_suppkey, week_start, avg(l_quantity) AS v FROM roads GROUP BY ALL) SELECT week_start, {_SQL_FIVE} FROM c GROUP BY ALL",
     "cell_surface_summary": f"WITH {_ROADS} SELECT l_suppkey, count(*) AS roads, count(*) FILTER (surface = 'paved') AS paved_roads, count(*) FILTER (surface = 'unpaved') AS unpaved_roads, count(*) FILTER (surface = 'unknown') AS unknown_roads, bool_or(surface = 'unpaved') AS has_unpaved FROM roads GROUP BY ALL",
     "base_speed": f"WITH x AS (SELECT (['motorway', 'trunk', 'primary', 'secondary', 'tertiary', 'residential', 'track'])[CAST(l_partkey % 7 + 1 AS INT)] AS highway, {_SQL_SURFACE} AS surface FROM lineitem) SELECT highway, surface, count(*) AS n, round(CAST((CASE highway WHEN 'motorway' THEN 100 WHEN 'trunk' THEN 80 WHEN 'primary' THEN 65 WHEN 'secondary' THEN 50 WHEN 'tertiary' THEN 40 WHEN 'residential' THEN 25 ELSE 30 END) AS DOUBLE) * (CASE surface WHEN 'unpaved' THEN 0.75 WHEN 'unknown' THEN 0.85 ELSE 1.0 END), 6) AS kmh FROM x GROUP BY ALL",
@@ -288,7 +290,7 @@ ORACLE_SQL = {
     "graph_edges": f"WITH {_EDGES} SELECT a, b, w FROM e",
     "connected_components": f"{_COMPONENTS} SELECT node, c AS component FROM r",
     "component_summary": f"{_COMPONENTS} SELECT c AS component, count(*) AS nodes FROM r GROUP BY ALL",
-    "sssp_costs": f"WITH RECURSIVE {_EDGES}, r(origin, node, cost) USING KEY (origin, node) AS (SELECT DISTINCT a, a, CAST(0 AS DOUBLE) FROM e WHERE a < 5 UNION SELECT r.origin, b.t, min(r.cost + b.w) FROM r JOIN b ON b.s = r.node LEFT JOIN recurring.r old ON old.origin = r.origin AND old.node = b.t WHERE old.cost IS NULL OR r.cost + b.w < old.cost GROUP BY r.origin, b.t) SELECT origin, node, cost FROM r",
+    "sssp_costs": f"WITH RECURSIVE {_EDGES}, r(origin, node, cost) USING KEY (origin, node) AS (SELECT s_suppkey, s_suppkey, CAST(0 AS DOUBLE) FROM (SELECT s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC NULLS LAST, s_suppkey) AS k FROM supplier) WHERE k = 1 UNION SELECT r.origin, b.t, min(r.cost + b.w) FROM r JOIN b ON b.s = r.node LEFT JOIN recurring.r old ON old.origin = r.origin AND old.node = b.t WHERE old.cost IS NULL OR r.cost + b.w < old.cost GROUP BY r.origin, b.t) SELECT origin, node, cost FROM r",
     "access_delta": "WITH t AS (SELECT *, min(o_totalprice) OVER (PARTITION BY o_custkey) AS best FROM orders) SELECT o_orderpriority, count(*) AS n, round(quantile_cont(o_totalprice - best, 0.5), 6) AS median_extra, round(max(o_totalprice / best), 6) AS max_ratio FROM t GROUP BY ALL",
     "regimes_cumshare": "WITH u AS (SELECT c_nationkey, sum(greatest(o_totalprice - 100000, 0.0)) AS burden FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL) SELECT c_nationkey, row_number() OVER o AS rank, round(sum(burden) OVER (ORDER BY burden DESC, c_nationkey ROWS UNBOUNDED PRECEDING) / sum(burden) OVER (), 6) AS cum_share FROM u WINDOW o AS (ORDER BY burden DESC, c_nationkey)",
     "burden_rank_gap": "WITH u AS (SELECT l_suppkey, sum(l_quantity) AS rain, count(*) AS burden FROM lineitem GROUP BY ALL) SELECT l_suppkey, dense_rank() OVER (ORDER BY rain DESC) - dense_rank() OVER (ORDER BY burden DESC) AS gap FROM u",
@@ -298,6 +300,6 @@ ORACLE_SQL = {
     "upsert_latest": "SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN 0.0 ELSE o_totalprice END AS o_totalprice, o_orderstatus FROM orders",
     "event_props_json": "SELECT event_type, count(k) AS n, CAST(sum(k) AS BIGINT) AS k_sum FROM (SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY ALL",
     "weighted_mean": f"WITH {_ROADS} SELECT surface, round(sum(greatest(l_quantity, 1) * l_extendedprice) / sum(greatest(l_quantity, 1)), 4) AS mean_price FROM roads GROUP BY ALL",
-    "path_signature": "SELECT l_orderkey, md5(string_agg(CAST(l_suppkey AS VARCHAR), ',' ORDER BY l_linenumber, l_suppkey, l_partkey, l_quantity)) AS signature FROM lineitem WHERE l_orderkey < 500 GROUP BY ALL",
-    "knn_topk": "WITH p AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) * 100 AS x, CAST(embedding[2] AS DOUBLE) * 100 AS y FROM embeddings) SELECT * FROM (SELECT q.vec_id AS origin, row_number() OVER (PARTITION BY q.vec_id ORDER BY round((p.x - q.x) ** 2 + (p.y - q.y) ** 2, 6), p.vec_id) AS rank, p.vec_id, round((p.x - q.x) ** 2 + (p.y - q.y) ** 2, 6) AS d2 FROM p q JOIN p ON abs(floor(p.x / 10) - floor(q.x / 10)) <= 1 AND abs(floor(p.y / 10) - floor(q.y / 10)) <= 1 AND p.vec_id <> q.vec_id WHERE q.vec_id % 5 = 0) WHERE rank <= 3",
+    "path_signature": "SELECT l_orderkey, md5(string_agg(CAST(l_suppkey AS VARCHAR), ',' ORDER BY l_linenumber, l_suppkey, l_partkey, l_quantity)) AS signature FROM lineitem GROUP BY ALL",
+    "knn_topk": "WITH p AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) * 100 AS x, CAST(embedding[2] AS DOUBLE) * 100 AS y FROM embeddings) SELECT * FROM (SELECT q.vec_id AS origin, row_number() OVER (PARTITION BY q.vec_id ORDER BY round((p.x - q.x) ** 2 + (p.y - q.y) ** 2, 6), p.vec_id) AS rank, p.vec_id, round((p.x - q.x) ** 2 + (p.y - q.y) ** 2, 6) AS d2 FROM p q JOIN p ON abs(floor(p.x / 10) - floor(q.x / 10)) <= 1 AND abs(floor(p.y / 10) - floor(q.y / 10)) <= 1 AND p.vec_id <> q.vec_id) WHERE rank <= 3",
 }

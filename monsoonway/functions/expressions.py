@@ -89,3 +89,25 @@ def haversine_km(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Colu
     """Great-circle distance."""
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
     return F.asin(F.sqrt(F.least(a, F.lit(1.0)))) * (2 * EARTH_KM)
+
+
+def in_polygon(x: Column, y: Column, corners: list[tuple[float, float]]) -> Column:
+    """Whether a ray to the right of the point crosses the outline an odd number of times."""
+    crossings = F.lit(0)
+    for (x1, y1), (x2, y2) in zip(corners, corners[1:] + corners[:1]):
+        if y1 != y2:
+            level = (F.lit(y1) > y) != (F.lit(y2) > y)
+            crossings = crossings + F.when(level & (x < (y - y1) * ((x2 - x1) / (y2 - y1)) + x1), 1).otherwise(0)
+    return crossings % 2 == 1
+
+
+def visibility_metres(text: Column) -> Column:
+    """The first field of a visibility group; 999999, blank and unreadable ones are null."""
+    metres = F.split_part(text, F.lit(","), F.lit(1)).try_cast("double")
+    return F.when(metres < 999999, metres)
+
+
+def normalised_url(url: Column) -> Column:
+    """Lower-cased address without scheme, www., query, fragment and closing slashes."""
+    bare = F.regexp_replace(F.lower(F.trim(url)), r"^https?://(www\.)?", "")
+    return F.regexp_replace(F.regexp_replace(bare, r"[?#].*$", ""), r"/+$", "")

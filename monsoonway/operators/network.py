@@ -57,20 +57,29 @@ def shortest_costs(origins: DataFrame, edges: DataFrame) -> DataFrame:
 def spanning_links(edges: DataFrame) -> DataFrame:
     """Rows (a, b, w) of the minimum spanning forest, by rounds in which each component takes its least link.
 
-    Ties go to the smaller (a, b), so the forest is unique. Rounds grow with the logarithm of the nodes.
+    Ties go to the smaller (a, b), so the forest is unique. A round contracts the components that its links join, so
+    each holds at most half as many as the one before; links inside a component are dropped.
     """
-    edges = checkpointed(edges.select("a", "b", "w"))
-    nodes = checkpointed(edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct())
-    chosen, labels = edges.limit(0), nodes.withColumn("component", F.col("node"))
+    open_ = checkpointed(edges.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v"), "a", "b", "w"))
+    chosen = open_.select("a", "b", "w").limit(0)
     while True:
-        ends = [labels.select(F.col("node").alias(e), F.col("component").alias(f"c{e}")) for e in ("a", "b")]
-        between = edges.join(ends[0], "a").join(ends[1], "b").where("ca <> cb")
-        per_end = between.select(F.explode(F.array("ca", "cb")).alias("c"), F.struct("w", "a", "b").alias("link"))
-        best = checkpointed(per_end.groupBy("c").agg(F.min("link").alias("link")).select("link.a", "link.b", "link.w").distinct())
-        if best.isEmpty():
+        ends = F.explode(F.array(F.struct(F.col("u").alias("c"), F.col("v").alias("d")), F.struct(F.col("v").alias("c"), F.col("u").alias("d"))))
+        least = open_.select(ends.alias("end"), "a", "b", "w").groupBy("end.c").agg(F.min(F.struct("w", "a", "b", "end.d")).alias("link"))
+        links = checkpointed(least.select("c", "link.a", "link.b", "link.w", "link.d"))
+        if links.isEmpty():
             return chosen
-        chosen = checkpointed(chosen.unionByName(best))
-        labels = components(nodes, chosen)
+        chosen = chosen.unionByName(links.select("a", "b", "w").distinct())
+        # the only cycles are pairs that take the same link: the smaller of a pair stays, the others follow their links to it
+        back = links.select(F.col("c").alias("d"), F.col("d").alias("back"))
+        root = checkpointed(links.join(back, "d").select("c", F.when((F.col("back") == F.col("c")) & (F.col("c") < F.col("d")), F.col("c")).otherwise(F.col("d")).alias("to")))
+        while True:
+            further = checkpointed(root.join(root.select(F.col("c").alias("to"), F.col("to").alias("next")), "to").select("c", "to", "next"))
+            root = further.select("c", F.col("next").alias("to"))
+            if further.where("next <> to").isEmpty():
+                break
+        for end in ("u", "v"):
+            open_ = open_.join(root.select(F.col("c").alias(end), F.col("to").alias(f"new_{end}")), end)
+        open_ = checkpointed(open_.where("new_u <> new_v").select(F.col("new_u").alias("u"), F.col("new_v").alias("v"), "a", "b", "w"))
 
 
 def successive(spark: SparkSession, sf_dir: str) -> DataFrame:

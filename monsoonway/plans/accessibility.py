@@ -237,10 +237,73 @@ def stream_weekly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.stream_weekly_counts(spark, f"{sf_dir}/events.parquet", Q.EVENT_ANCHOR).select("week_start", "event_type", "n", F.round("value_sum", 4).alias("value_sum"))
 
 
+def calendar_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The anchored weeks that the events span; the last one ends with the last day."""
+    span = Q._t(spark, sf_dir, "events").agg(F.min(X.anchored_week(F.col("ts"), Q.EVENT_ANCHOR)).alias("a"), F.max(F.to_date("ts")).alias("z"))
+    weeks = span.select(F.explode(F.sequence("a", "z", F.expr("interval 7 days"))).alias("week_start"), "z")
+    return weeks.select("week_start", F.least(F.date_add("week_start", 6), "z").alias("week_end"))
+
+
+def grid_meta_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bounds, step and columns of the grid, from the gaps between its distinct coordinates."""
+    lons = Q.grid_snap(spark, sf_dir).select(F.round("cell_lon", 4).alias("lon")).distinct()
+    gaps = lons.withColumn("gap", F.col("lon") - F.lag("lon").over(Window.partitionBy().orderBy("lon")))  # one row for each grid column
+    return gaps.agg(F.min("lon").alias("lon_min"), F.max("lon").alias("lon_max"), F.round(F.min("gap"), 4).alias("step"), F.count("*").alias("columns"))
+
+
+def nearest_station(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest station, a point of label 0, in reach of each point."""
+    return R.top_per_group(_near(_points(spark, sf_dir), "label = 0"), ["origin"], [F.col("d2"), F.col("vec_id")], 1).select("origin", "vec_id", "d2")
+
+
+def node_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Q._t(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.count_distinct("l_suppkey").alias("nodes"), (F.min("l_suppkey") == F.max("l_suppkey")).alias("stable"))
+
+
+def od_route_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order's route and the one without roads that rain of 300 mm a week closes."""
+    rows = Q._t(spark, sf_dir, "lineitem").withColumn("open", F.col("l_quantity") * 7 < 300)
+    steps = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey", "l_partkey", "l_quantity", "open")))
+    signature = lambda s: F.md5(F.array_join(F.transform(s, lambda x: x["l_suppkey"].cast("string")), ","))
+    routes = rows.groupBy("l_orderkey").agg(steps.alias("s")).withColumn("o", F.filter("s", lambda x: x["open"]))
+    named = routes.select("l_orderkey", signature(F.col("s")).alias("dry_route"), F.when(F.size("o") > 0, signature(F.col("o"))).alias("wet_route"), (F.size("s") - F.size("o")).cast("long").alias("closed"))
+    return named.withColumn("changed", ~F.col("dry_route").eqNullSafe(F.col("wet_route")))
+
+
+def crop_change_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = Q._t(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    found = od_route_change(spark, sf_dir).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    return found.groupBy("o_orderpriority").agg(F.count("*").alias("routes"), F.count(F.when(F.col("changed"), 1)).alias("changed"), F.count(F.when(F.col("wet_route").isNull(), 1)).alias("cut_off"), F.sum("closed").alias("closed"))
+
+
+def surface_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Added cost of rain by surface, as a share of the dry cost."""
+    dry = F.col("l_extendedprice") / 1000
+    rows = Q._road_weeks(spark, sf_dir).select((F.col("l_quantity") * 7).alias("mm"), dry.alias("dry"), F.when(F.col("surface") == "paved", "paved").otherwise("unpaved").alias("road_type"))
+    costs = R.with_rain_multiplier(rows, "road_type", "mm").withColumn("wet", X.penalised(F.col("dry"), F.col("multiplier")))
+    return costs.groupBy("road_type").agg(F.count("*").alias("n"), F.round(F.sum("wet") / F.sum("dry") - 1, 6).alias("added"), F.count(F.when(F.col("multiplier") <= 0.05, 1)).alias("closed"))
+
+
+def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of unit cells: their key and mean place."""
+    key = F.md5(F.concat_ws(":", F.floor("x").cast("string"), F.floor("y").cast("string")))
+    return _points(spark, sf_dir).groupBy(key.alias("node_key")).agg(F.count("*").alias("n"), F.round(F.avg("x"), 6).alias("x"), F.round(F.avg("y"), 6).alias("y"))
+
+
+def connected_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three richest suppliers of each nation that lie in the largest component."""
+    labels = Q.connected_components(spark, sf_dir)
+    largest = labels.groupBy("component").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "component").limit(1)
+    inside = labels.join(F.broadcast(largest), "component", "left_semi")  # one row
+    rows = Q._t(spark, sf_dir, "supplier").join(inside, F.col("s_suppkey") == F.col("node"), "left_semi")
+    return R.top_per_group(rows.select("s_nationkey", "s_suppkey", "s_acctbal"), ["s_nationkey"], [F.desc_nulls_last("s_acctbal"), F.col("s_suppkey")], 3)
+
+
 QUERIES = {f.__name__: f for f in (
     access_weekly_summary, access_country_crop, cells_damage, annual_points, annual_points_weighted, annual_points_by_dest, damage_matrix, bubble_timeline, clean_share, diagnostic_weeks, contrast_weeks, max_case,
     rain_summary, surface_mix, scope_mask_counts, cell_overlay, od_union, distinct_on_longest, weeks_missing, multiscale_expand, point_in_polygon, knn_capped, knn_same_component, ols_standardised, linear_fit, edge_usage,
-    reachability, mst_links, week_stats_json, schema_fill, catalog_status, case_dedupe, bootstrap_ci, kmeans_clusters, stream_weekly_counts)}
+    reachability, mst_links, week_stats_json, schema_fill, catalog_status, case_dedupe, bootstrap_ci, kmeans_clusters, stream_weekly_counts, calendar_weeks,
+    grid_meta_lag, nearest_station, node_stability, od_route_change, crop_change_summary, surface_penalty, graph_nodes, connected_rank)}
 
 _WEEK = Q._SQL_WEEK.replace("l_shipdate", "o_orderdate")
 _TRIPS = f"trips AS (SELECT c_nationkey, c_mktsegment, {_WEEK} AS week_start, o_totalprice / 10000 AS v FROM orders JOIN customer ON o_custkey = c_custkey)"
@@ -262,6 +325,11 @@ def _pairs(extra: str, most: int, columns: str) -> str:
 SELECT {columns} FROM (SELECT *, row_number() OVER (PARTITION BY origin ORDER BY d2, vec_id) AS rank FROM n WHERE d2 <= 25) WHERE rank <= {most}"""
 
 
+_LINE_ORDER = "ORDER BY l_linenumber, l_suppkey, l_partkey, l_quantity"
+_ROUTES = f"""o AS (SELECT l_orderkey, md5(string_agg(CAST(l_suppkey AS VARCHAR), ',' {_LINE_ORDER})) AS dry_route,
+md5(string_agg(CAST(l_suppkey AS VARCHAR), ',' {_LINE_ORDER}) FILTER (l_quantity * 7 < 300)) AS wet_route, count(*) FILTER (l_quantity * 7 >= 300) AS closed FROM lineitem GROUP BY ALL),
+r AS (SELECT *, dry_route IS DISTINCT FROM wet_route AS changed FROM o)"""
+
 ORACLE_SQL = {
     "access_weekly_summary": f"WITH {_TRIPS} SELECT week_start, c_mktsegment, {Q._SQL_FIVE.replace(', 6)', ', 9)')} FROM trips GROUP BY ALL",
     "access_country_crop": f"WITH {_CELLS} SELECT c_nationkey, c_mktsegment, count(*) AS weeks, min(med) AS best, round(quantile_cont(delta, 0.5), 5) AS median_delta, max(delta) AS max_delta FROM d GROUP BY ALL",
@@ -295,4 +363,13 @@ ORACLE_SQL = {
     "catalog_status": "SELECT source, count(*) AS files, count(*) FILTER (text IS NULL OR trim(text, ' ') = '') AS missing, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY ALL",
     "case_dedupe": r"WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(lower(trim(url)), '^https?://(www\.)?', ''), '[?#].*$', ''), '/+$', '') AS address FROM pages) SELECT address, min(page_id) AS first_page, count(*) AS pages, substr(md5(address), 1, 12) AS case_id FROM a GROUP BY ALL",
     "stream_weekly_counts": f"SELECT {Q._SQL_EVENT_WEEK} AS week_start, event_type, count(*) AS n, round(sum(value), 4) AS value_sum FROM events GROUP BY ALL",
+    "calendar_weeks": f"WITH e AS (SELECT min({Q._SQL_EVENT_WEEK}) AS a, max(CAST(ts AS date)) AS z FROM events), w AS (SELECT CAST(unnest(generate_series(a, z, INTERVAL 7 DAY)) AS date) AS week_start, z FROM e) SELECT week_start, least(week_start + 6, z) AS week_end FROM w",
+    "grid_meta_lag": f"WITH {_POINTS}, l AS (SELECT DISTINCT round(floor(x / 0.25 + 0.5) * 0.25 + 0.0, 4) AS lon FROM p), g AS (SELECT lon, lon - lag(lon) OVER (ORDER BY lon) AS gap FROM l) SELECT min(lon) AS lon_min, max(lon) AS lon_max, round(min(gap), 4) AS step, count(*) AS columns FROM g",
+    "nearest_station": _pairs("p.label = 0", 1, "origin, vec_id, d2"),
+    "node_stability": "SELECT l_partkey, count(DISTINCT l_suppkey) AS nodes, min(l_suppkey) = max(l_suppkey) AS stable FROM lineitem GROUP BY ALL",
+    "od_route_change": f"WITH {_ROUTES} SELECT l_orderkey, dry_route, wet_route, closed, changed FROM r",
+    "crop_change_summary": f"WITH {_ROUTES} SELECT o_orderpriority, count(*) AS routes, count(*) FILTER (changed) AS changed, count(*) FILTER (wet_route IS NULL) AS cut_off, CAST(sum(closed) AS BIGINT) AS closed FROM r JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL",
+    "surface_penalty": f"WITH {Q._ROADS}, w AS ({Q._WET}) SELECT road_type, count(*) AS n, round(sum(dry / greatest(CAST(m AS DOUBLE), 0.01)) / sum(dry) - 1, 6) AS added, count(*) FILTER (m <= 0.05) AS closed FROM w GROUP BY ALL",
+    "graph_nodes": f"WITH {_POINTS} SELECT md5(CAST(CAST(floor(x) AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(floor(y) AS BIGINT) AS VARCHAR)) AS node_key, count(*) AS n, round(avg(x), 6) AS x, round(avg(y), 6) AS y FROM p GROUP BY ALL",
+    "connected_rank": f"{Q._COMPONENTS}, g AS (SELECT c FROM r GROUP BY c ORDER BY count(*) DESC, c LIMIT 1), s AS (SELECT s_nationkey, s_suppkey, s_acctbal, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC NULLS LAST, s_suppkey) AS rank FROM supplier WHERE s_suppkey IN (SELECT node FROM r WHERE c IN (SELECT c FROM g))) SELECT s_nationkey, s_suppkey, s_acctbal, rank FROM s WHERE rank <= 3",
 }

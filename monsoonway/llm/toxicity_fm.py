@@ -99,6 +99,8 @@ class Machine:
         return float(self.bias + self.weight[terms].sum() + 0.5 * ((v.sum(axis=0) ** 2).sum() - (v**2).sum()))
 
     def score(self, terms: np.ndarray) -> float:
+        if self.bias == -np.inf:  # fitted without labels
+            return 0.0
         return float(1 / (1 + np.exp(-np.clip(self.margin(terms), -30, 30))))
 
 

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Flood depth in metres from which a severity holds.
+FLOOD_METRES = {"minor": 0.1, "moderate": 0.2, "severe": 0.3, "catastrophic": 0.5}
+# Fixed values: (share of speed lost, days closed) of a severity.
+SEVERITY_EFFECTS = {"minor": (0.05, 0), "moderate": (0.15, 0), "severe": (0.0, 7), "catastrophic": (0.0, 90)}
 EARTH_KM = 6371.0088
 MERCATOR_RADIUS = 6378137.0
 
@@ -111,3 +115,32 @@ def normalised_url(url: Column) -> Column:
     """Lower-cased address without scheme, www., query, fragment and closing slashes."""
     bare = F.regexp_replace(F.lower(F.trim(url)), r"^https?://(www\.)?", "")
     return F.regexp_replace(F.regexp_replace(bare, r"[?#].*$", ""), r"/+$", "")
+
+
+def severity(value: Column, levels: dict[str, float | None], rising: bool = True) -> Column:
+    """The gravest level that ``value`` has reached; null below all and for null. Levels without a number never hold.
+
+    ``levels`` go from mild to grave. Where harm grows as the value falls (``rising`` false), a level holds at or below its number.
+    """
+    held = [F.when((value >= at) if rising else (value <= at), name) for name, at in levels.items() if at is not None]
+    return F.coalesce(*reversed(held), F.lit(None).cast("string"))
+
+
+def unit_vector(dx: Column, dy: Column) -> tuple[Column, Column]:
+    """Direction of a road from start to end; (0, 1) for one without length or ends."""
+    length = F.nullif(F.sqrt(dx * dx + dy * dy), F.lit(0.0))
+    return F.coalesce(dx / length, F.lit(0.0)), F.coalesce(dy / length, F.lit(1.0))
+
+
+def crosswind(u: Column, v: Column, ux: Column, uy: Column) -> Column:
+    """Speed of the wind (u, v) across a road of direction (ux, uy)."""
+    return F.abs(v * ux - u * uy)
+
+
+def hourly_mm(rate: Column, units: Column) -> Column:
+    """A rain rate in mm an hour; units that name seconds count 3,600 times."""
+    return F.when(F.contains(units, F.lit("s")), rate * 3600).otherwise(rate)
+
+
+def celsius(kelvin: Column) -> Column:
+    return kelvin - 273.15

@@ -54,6 +54,29 @@ def shortest_costs(origins: DataFrame, edges: DataFrame) -> DataFrame:
             return best.select("origin", "node", "cost")
 
 
+def route_steps(trips: DataFrame, costs: DataFrame, edges: DataFrame) -> DataFrame:
+    """Rows (origin, dest, step, a, b, w) of a cheapest route of each trip (origin, dest), steps from 1.
+
+    ``costs`` are those of ``shortest_costs`` and weights are above 0. The last node before another is the smallest
+    that a cheapest route may come from. All trips walk back together, a hop a round. Trips to the origin itself and to
+    nodes out of reach have no steps.
+    """
+    both = edges.select("a", "b", "w").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")).groupBy("a", "b").agg(F.min("w").alias("w"))
+    here, there = costs.select("origin", F.col("node").alias("a"), F.col("cost").alias("before")), costs.select("origin", F.col("node").alias("b"), "cost")
+    into = both.join(here, "a").join(there, ["origin", "b"]).where("before + w = cost").groupBy("origin", "b").agg(F.min(F.struct("a", "w")).alias("m"))
+    into = checkpointed(into.select("origin", "b", "m.a", "m.w"))
+    at = checkpointed(trips.select("origin", "dest").where("origin <> dest").distinct().select("origin", "dest", F.col("dest").alias("b")))
+    walked, back = at.join(into.limit(0), ["origin", "b"]).select("origin", "dest", "a", "b", "w", F.lit(0).alias("back")), 0
+    while True:
+        hop = checkpointed(at.join(into, ["origin", "b"]).select("origin", "dest", "a", "b", "w", F.lit(back).alias("back")))
+        if hop.isEmpty():
+            break
+        walked, back = walked.unionByName(hop), back + 1
+        at = hop.select("origin", "dest", F.col("a").alias("b"))
+    step = F.max("back").over(Window.partitionBy("origin", "dest")) - F.col("back") + 1
+    return walked.select("origin", "dest", step.cast("long").alias("step"), "a", "b", "w")
+
+
 def spanning_links(edges: DataFrame) -> DataFrame:
     """Rows (a, b, w) of the minimum spanning forest, by rounds in which each component takes its least link.
 

@@ -34,9 +34,10 @@ def _trips(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Median hours of a cell and week, and their excess over the cell's best week."""
-    weekly = _trips(spark, sf_dir).groupBy("c_nationkey", "c_mktsegment", "week_start").agg(F.count("*").alias("n"), F.round(F.percentile("hours", F.lit(0.5)), 6).alias("med"))
-    return weekly.withColumn("delta", F.round(F.col("med") - F.min("med").over(Window.partitionBy("c_nationkey", "c_mktsegment")), 6))
+    """Median hours of a cell and week, and their excess over the cell's best week, from whole millionths, so that no median is a rounding tie."""
+    weekly = _trips(spark, sf_dir).groupBy("c_nationkey", "c_mktsegment", "week_start").agg(F.count("*").alias("n"), F.percentile(F.round(F.col("hours") * 1000000), F.lit(0.5)).alias("micro"))
+    best = F.min("micro").over(Window.partitionBy("c_nationkey", "c_mktsegment"))
+    return weekly.select("c_nationkey", "c_mktsegment", "week_start", "n", (F.col("micro") / 1000000).alias("med"), ((F.col("micro") - best) / 1000000).alias("delta"))
 
 
 def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -307,8 +308,8 @@ QUERIES = {f.__name__: f for f in (
 
 _WEEK = Q._SQL_WEEK.replace("l_shipdate", "o_orderdate")
 _TRIPS = f"trips AS (SELECT c_nationkey, c_mktsegment, {_WEEK} AS week_start, o_totalprice / 10000 AS v FROM orders JOIN customer ON o_custkey = c_custkey)"
-_CELLS = f"""{_TRIPS}, m AS (SELECT c_nationkey, c_mktsegment, week_start, count(*) AS n, round(quantile_cont(v, 0.5), 6) AS med FROM trips GROUP BY ALL),
-d AS (SELECT *, round(med - min(med) OVER (PARTITION BY c_nationkey, c_mktsegment), 6) AS delta FROM m)"""
+_CELLS = f"""{_TRIPS}, m AS (SELECT c_nationkey, c_mktsegment, week_start, count(*) AS n, quantile_cont(round(v * 1000000), 0.5) AS micro FROM trips GROUP BY ALL),
+d AS (SELECT *, micro / 1000000 AS med, (micro - min(micro) OVER (PARTITION BY c_nationkey, c_mktsegment)) / 1000000 AS delta FROM m)"""
 _MINUTES = "CAST((delta * 60 >= 180)::INT + (delta * 60 >= 360)::INT + (delta * 60 >= 540)::INT + (delta * 60 >= 720)::INT + (delta * 60 >= 1440)::INT AS INT)"
 _POINTS = "p AS (SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) * 100 AS x, CAST(embedding[2] AS DOUBLE) * 100 AS y FROM embeddings)"
 _BURDEN = "greatest(delta - 3, 0)"

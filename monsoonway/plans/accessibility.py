@@ -49,6 +49,11 @@ def _severe():
     return F.greatest(F.col("delta") - SEVERE_HOURS, F.lit(0.0))
 
 
+def _burden():
+    """Severe hours, summed in whole half-millionths: the same in any order."""
+    return F.sum(F.round(_severe() * 2000000).cast("long")) / 2000000
+
+
 def access_weekly_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = R.five_numbers(_trips(spark, sf_dir), ["week_start", "c_mktsegment"], "hours")
     return found.select("week_start", "c_mktsegment", "n", *(Q._r(c, 9) for c in Q._FIVE))  # quartiles of 6 decimals have 8
@@ -65,7 +70,7 @@ def cells_damage(spark: SparkSession, sf_dir: str) -> DataFrame:
 def annual_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Severe hours a year of each country, at its worst destination type each week."""
     worst = _cells(spark, sf_dir).groupBy("c_nationkey", "week_start").agg(F.max("delta").alias("delta"))
-    return worst.groupBy("c_nationkey", F.year("week_start").alias("year")).agg(F.round(F.sum(_severe()), 3).alias("burden"), F.count(F.when(F.col("delta") >= SEVERE_HOURS, 1)).alias("severe_weeks"))
+    return worst.groupBy("c_nationkey", F.year("week_start").alias("year")).agg(_burden().alias("burden"), F.count(F.when(F.col("delta") >= SEVERE_HOURS, 1)).alias("severe_weeks"))
 
 
 def annual_points_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,11 +79,11 @@ def annual_points_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def annual_points_by_dest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cells(spark, sf_dir).groupBy("c_mktsegment", F.year("week_start").alias("year")).agg(F.round(F.sum(_severe()), 3).alias("burden"), F.count_distinct("c_nationkey").alias("countries"))
+    return _cells(spark, sf_dir).groupBy("c_mktsegment", F.year("week_start").alias("year")).agg(_burden().alias("burden"), F.count_distinct("c_nationkey").alias("countries"))
 
 
 def damage_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cells(spark, sf_dir).groupBy("c_nationkey", "c_mktsegment").agg(F.round(F.sum(_severe()), 3).alias("burden"), F.count(F.when(F.col("delta") >= SEVERE_HOURS, 1)).alias("affected_weeks"), F.max("delta").alias("peak"))
+    return _cells(spark, sf_dir).groupBy("c_nationkey", "c_mktsegment").agg(_burden().alias("burden"), F.count(F.when(F.col("delta") >= SEVERE_HOURS, 1)).alias("affected_weeks"), F.max("delta").alias("peak"))
 
 
 def bubble_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -335,10 +340,10 @@ ORACLE_SQL = {
     "access_weekly_summary": f"WITH {_TRIPS} SELECT week_start, c_mktsegment, {Q._SQL_FIVE.replace(', 6)', ', 9)')} FROM trips GROUP BY ALL",
     "access_country_crop": f"WITH {_CELLS} SELECT c_nationkey, c_mktsegment, count(*) AS weeks, min(med) AS best, round(quantile_cont(delta, 0.5), 5) AS median_delta, max(delta) AS max_delta FROM d GROUP BY ALL",
     "cells_damage": f"WITH {_CELLS} SELECT c_nationkey, {_MINUTES} AS damage, count(*) AS cell_weeks, round(avg(delta), 4) AS mean_delta FROM d GROUP BY ALL",
-    "annual_points": f"WITH {_CELLS}, w AS (SELECT c_nationkey, week_start, max(delta) AS delta FROM d GROUP BY ALL) SELECT c_nationkey, CAST(year(week_start) AS INT) AS year, round(sum({_BURDEN}), 3) AS burden, count(*) FILTER (delta >= 3) AS severe_weeks FROM w GROUP BY ALL",
+    "annual_points": f"WITH {_CELLS}, w AS (SELECT c_nationkey, week_start, max(delta) AS delta FROM d GROUP BY ALL) SELECT c_nationkey, CAST(year(week_start) AS INT) AS year, sum(CAST(round({_BURDEN} * 2000000) AS BIGINT)) / 2000000 AS burden, count(*) FILTER (delta >= 3) AS severe_weeks FROM w GROUP BY ALL",
     "annual_points_weighted": f"WITH {_CELLS} SELECT c_nationkey, CAST(year(week_start) AS INT) AS year, round(sum({_BURDEN} * n) / sum(n), 4) AS burden, CAST(sum(n) AS BIGINT) AS trips FROM d GROUP BY ALL",
-    "annual_points_by_dest": f"WITH {_CELLS} SELECT c_mktsegment, CAST(year(week_start) AS INT) AS year, round(sum({_BURDEN}), 3) AS burden, count(DISTINCT c_nationkey) AS countries FROM d GROUP BY ALL",
-    "damage_matrix": f"WITH {_CELLS} SELECT c_nationkey, c_mktsegment, round(sum({_BURDEN}), 3) AS burden, count(*) FILTER (delta >= 3) AS affected_weeks, max(delta) AS peak FROM d GROUP BY ALL",
+    "annual_points_by_dest": f"WITH {_CELLS} SELECT c_mktsegment, CAST(year(week_start) AS INT) AS year, sum(CAST(round({_BURDEN} * 2000000) AS BIGINT)) / 2000000 AS burden, count(DISTINCT c_nationkey) AS countries FROM d GROUP BY ALL",
+    "damage_matrix": f"WITH {_CELLS} SELECT c_nationkey, c_mktsegment, sum(CAST(round({_BURDEN} * 2000000) AS BIGINT)) / 2000000 AS burden, count(*) FILTER (delta >= 3) AS affected_weeks, max(delta) AS peak FROM d GROUP BY ALL",
     "bubble_timeline": f"WITH {_CELLS} SELECT week_start, count(*) FILTER (delta >= 3) AS severe, count(*) FILTER (delta >= 6) AS long, round(avg(delta) FILTER (delta >= 3), 4) AS mean_affected FROM d GROUP BY ALL",
     "clean_share": f"WITH {_CELLS} SELECT c_mktsegment, round(avg(CASE WHEN delta < 3 THEN 1.0 ELSE 0.0 END), 6) AS clean, count(*) AS cell_weeks FROM d GROUP BY ALL",
     "diagnostic_weeks": f"WITH {_CELLS}, w AS (SELECT c_nationkey, week_start, round(sum(delta), 4) AS total, max(delta) AS peak FROM d GROUP BY ALL) SELECT c_nationkey, week_start, total, peak FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY total DESC, week_start) AS k FROM w) WHERE k = 1",

@@ -272,7 +272,7 @@ CAST(CASE severity {' '.join(f"WHEN '{k}' THEN {v[1]}" for k, v in X.SEVERITY_EF
     "wettest_week": f"""WITH w AS (SELECT l_suppkey, l_quantity * 7 AS mm, {Q._SQL_WEEK} AS week_start FROM lineitem), m AS (SELECT s_nationkey, week_start, round(quantile_cont(mm, 0.5), 6) AS median_mm, count(*) FILTER (mm >= 300) AS damaged FROM w JOIN supplier ON l_suppkey = s_suppkey WHERE month(week_start) BETWEEN 6 AND 8 GROUP BY ALL)
 SELECT s_nationkey, week_start, median_mm, damaged FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY median_mm DESC, week_start) AS k FROM m) WHERE k = 1""",
     "positive_delay_weeks": f"WITH {A._CELLS} SELECT c_mktsegment, week_start, sum(CAST(round(greatest(delta, 0) * 2000000) AS BIGINT)) / 2000000 AS total, count(*) FILTER (delta > 0) AS positive, quantile_cont(round(delta * 2000000), 0.5) FILTER (delta > 0) / 2000000 AS median_positive FROM d GROUP BY ALL",
-    "min_max_scaled": f"WITH {A._CELLS}, x AS (SELECT c_nationkey, c_mktsegment, round(sum({A._BURDEN}), 3) AS burden, count(*) FILTER (delta >= 3) AS affected_weeks, max(delta) AS peak FROM d GROUP BY ALL) SELECT c_nationkey, c_mktsegment, {_SCALED} FROM x WINDOW g AS (PARTITION BY c_mktsegment)",
+    "min_max_scaled": f"WITH {A._CELLS}, x AS (SELECT c_nationkey, c_mktsegment, sum(CAST(round({A._BURDEN} * 2000000) AS BIGINT)) / 2000000 AS burden, count(*) FILTER (delta >= 3) AS affected_weeks, max(delta) AS peak FROM d GROUP BY ALL) SELECT c_nationkey, c_mktsegment, {_SCALED} FROM x WINDOW g AS (PARTITION BY c_mktsegment)",
     "route_surface_share": f"WITH k AS (SELECT l_orderkey, {Q._SQL_SURFACE} AS surface, sum(l_quantity) AS km FROM lineitem GROUP BY ALL) SELECT surface, count(*) AS routes, sum(km) AS km, round(sum(km) / (SELECT sum(km) FROM k), 6) AS share FROM k GROUP BY surface",
     "ols_three": f"""WITH s AS (SELECT {Q._SQL_SURFACE} AS surface, count(*) AS n, corr(l_extendedprice, l_quantity) AS p, corr(l_extendedprice, l_discount) AS q, corr(l_extendedprice, l_tax) AS r, corr(l_quantity, l_discount) AS a, corr(l_quantity, l_tax) AS b, corr(l_discount, l_tax) AS c FROM lineitem GROUP BY ALL),
 f AS (SELECT *, (p * (1 - c * c) + q * (b * c - a) + r * (a * c - b)) / {_DETERMINANT} AS x, (p * (b * c - a) + q * (1 - b * b) + r * (a * b - c)) / {_DETERMINANT} AS y, (p * (a * c - b) + q * (a * b - c) + r * (1 - a * a)) / {_DETERMINANT} AS z FROM s)

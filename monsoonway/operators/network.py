@@ -3,38 +3,51 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder of ``spark.checkpoint.dir``; a temporary one only in local mode."""
+    """Cut the lineage by a table in the shared folder of ``spark.checkpoint.dir``; a temporary one only in local mode.
+
+    A written table is computed once, has sizes that joins can go by, and does not carry the constraints of its plan
+    along, which double with every self-join of an iteration; ``checkpoint()`` keeps them.
+    """
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
         shared = sc.getConf().get("spark.checkpoint.dir")
         if not shared and not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="monsoonway-"))
-    return df.checkpoint(eager=True)
+    path = f"{sc.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Rows (node, component): the smallest node that can be reached; isolated nodes are their own.
 
-    Minimum labels spread along edges, and each round also follows the label of the label, so the rounds grow with
-    the logarithm of long chains rather than with their length.
+    In a round each node follows its smallest neighbour, if smaller; these trees are flattened by doubling and their
+    roots take over the edges that leave them. A component's smallest node is always a root, so it remains. Both
+    the rounds and the doublings grow with a logarithm, also on long chains, and edges fall away as trees merge. Ends of edges
+    need not be listed as nodes.
     """
-    both = checkpointed(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+    open_ = checkpointed(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
     labels = checkpointed(nodes.select("node").distinct().withColumn("component", F.col("node")))
-    while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        moved = labels.join(near, "node", "left").select("node", "component", F.least("component", F.coalesce("near", "component")).alias("low"))
-        jump = moved.select(F.col("node").alias("low"), F.col("low").alias("far"))
-        after = checkpointed(moved.join(jump, "low", "left").select("node", "component", F.least("low", F.coalesce("far", "low")).alias("new")))
-        if after.where("new <> component").isEmpty():
-            return labels
-        labels = after.select("node", F.col("new").alias("component"))
+    while not open_.isEmpty():
+        root = checkpointed(open_.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("to")))
+        while True:
+            further = checkpointed(root.join(root.select(F.col("a").alias("to"), F.col("to").alias("next")), "to").select("a", "to", "next"))
+            root = further.select("a", F.col("next").alias("to"))
+            if further.where("next <> to").isEmpty():
+                break
+        moved = labels.join(root.select(F.col("a").alias("component"), "to"), "component", "left")
+        labels = checkpointed(moved.select("node", F.coalesce("to", "component").alias("component")))
+        ends = open_.join(root.select("a", F.col("to").alias("from")), "a").join(root.select(F.col("a").alias("b"), "to"), "b")
+        open_ = checkpointed(ends.where("`from` <> to").select(F.col("from").alias("a"), F.col("to").alias("b")).distinct())
+    return labels
 
 
 def shortest_costs(origins: DataFrame, edges: DataFrame) -> DataFrame:

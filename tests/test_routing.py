@@ -100,3 +100,11 @@ def test_sources(spark, tmp_path):
     counts = spark.createDataFrame([("a", 1), ("b", None)], "k string, n long")
     assert sorted(map(tuple, T.add_counts(counts, counts, ["k"], ["n"]).collect())) == [("a", 2), ("b", 0)]
     assert [r.id for r in T.missing_keys(spark.range(3), spark.range(2), ["id"]).collect()] == [2]
+
+
+def test_components_of_chains_stars_and_loops(spark):
+    chain = [(i, i + 1) for i in range(200)]
+    star = [(1000 + i, 2000) for i in range(40)]
+    loose = [(3000, 3000), (3001, None)]
+    found = N.components(spark.createDataFrame([(n,) for e in chain + star for n in e] + [(3000,), (3002,)], "node long"), spark.createDataFrame([*chain, *star, *loose, (5, 1)], "a long, b long"))
+    assert {(r.component, r["count"]) for r in found.groupBy("component").count().collect()} == {(0, 201), (1000, 41), (3000, 1), (3002, 1)}

@@ -3,7 +3,8 @@
 The splits of ``TREES`` trees are fitted on at most about ``SAMPLE`` vectors chosen by a hash; every row is
 then dropped down all trees, so every row is indexed. A query walks the forest through one priority queue
 shared by all trees, nearest split margin first, and collects leaves until it has ``LEAVES`` of them and
-``LEAST`` candidates. Candidates of a leaf are reranked exactly, by Euclidean distance in double precision.
+``LEAST`` rows for each tree. ``LEAVES`` rules over large tables: leaves are as many there, whatever the size,
+so the share of the table that a query reads does not fall as it grows. Candidates of a leaf are reranked exactly, by Euclidean distance in double precision.
 
 Leaves are dealt to tasks in blocks of at most about ``BLOCK`` rows, so a leaf that a common vector fills is
 spread over many tasks, each of which returns no more than the ``k`` best for each of its queries.
@@ -29,7 +30,7 @@ from ._runtime import bounded_sample
 TREES = 8
 SAMPLE = 16_384
 LEAF = 32
-LEAVES = 160
+LEAVES = 400
 LEAST = 4000
 BLOCK = 8192
 

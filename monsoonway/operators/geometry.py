@@ -108,6 +108,34 @@ def nearest(points: DataFrame, targets: DataFrame, reach: float) -> DataFrame:
     return found
 
 
+def k_nearest(points: DataFrame, targets: DataFrame, reach: float, k: int, which: str = "true") -> DataFrame:
+    """Rows (id, rank, target, d2): the ``k`` nearest targets of each point, however far, for which ``which`` holds.
+
+    Points and targets are (id, x, y and more); ``which`` reads the columns of targets as r_.... A point is no target of its
+    own. Ties go to the smaller id. The reach doubles for the points that found fewer, up to the width of all points; those
+    that then still have fewer have no more.
+    """
+    open_ = checkpointed(points.dropna(subset=["id", "x", "y"]))
+    targets = checkpointed(targets.dropna(subset=["id", "x", "y"]))
+    both = open_.select("x", "y").unionByName(targets.select("x", "y"))
+    wide = both.agg(F.max("x") - F.min("x") + F.max("y") - F.min("y")).first()[0] or 0.0
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("d2", "r_id"))
+    found = None
+    while True:
+        met = within(open_, targets, reach).where(f"id <> r_id and ({which})")
+        now = checkpointed(met.withColumn("rank", rank).where(F.col("rank") <= k).select("id", "rank", F.col("r_id").alias("target"), "d2"))
+        done = now.where(F.col("rank") == k).select("id")
+        last = reach >= wide
+        mine = now if last else now.join(done, "id", "left_semi")
+        found = mine if found is None else found.unionByName(mine)
+        if last:
+            return found
+        open_ = checkpointed(open_.join(done, "id", "left_anti"))
+        if open_.isEmpty():
+            return found
+        reach *= 2
+
+
 def bridges_to_better(nodes: DataFrame, reach: float) -> DataFrame:
     """Rows (component, source, target, d2): the shortest link of a component to one with more nodes.
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
+from ..operators import geometry as G
 from ..operators import network as N
 from ..operators import relational as R
 from ..operators import statistics as S
@@ -184,6 +185,26 @@ def knn_same_component(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.top_per_group(_near(_points(spark, sf_dir), "label = q_label"), ["origin"], [F.col("d2"), F.col("vec_id")], 1).select("origin", "vec_id", "d2")
 
 
+def _k_nearest(spark: SparkSession, sf_dir: str, k: int, which: str) -> DataFrame:
+    p = _points(spark, sf_dir).withColumnRenamed("vec_id", "id")
+    return G.k_nearest(p, p, KNN_REACH, k, which).select(F.col("id").alias("origin"), "rank", F.col("target").alias("vec_id"), F.round("d2", 6).alias("d2"))
+
+
+def knn_topk_uncapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three nearest other points, however far; ``knn_topk`` sees bordering cells only."""
+    return _k_nearest(spark, sf_dir, 3, "true")
+
+
+def knn_same_component_uncapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest other point of the same label, however far; ``knn_same_component`` ends at KNN_REACH."""
+    return _k_nearest(spark, sf_dir, 1, "label = r_label").drop("rank")
+
+
+def nearest_station_uncapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest station, a point of label 0, however far; ``nearest_station`` ends at KNN_REACH."""
+    return _k_nearest(spark, sf_dir, 1, "r_label = 0").drop("rank")
+
+
 def ols_standardised(spark: SparkSession, sf_dir: str) -> DataFrame:
     fit = S.standardised_ols(Q._t(spark, sf_dir, "part").withColumn("key", F.col("p_partkey").cast("double")), ["p_type"], "p_retailprice", "p_size", "key")
     return fit.select("p_type", "n", *(Q._r(c, 5) for c in ("beta1", "beta2", "r_squared")))
@@ -309,7 +330,8 @@ QUERIES = {f.__name__: f for f in (
     access_weekly_summary, access_country_crop, cells_damage, annual_points, annual_points_weighted, annual_points_by_dest, damage_matrix, bubble_timeline, clean_share, diagnostic_weeks, contrast_weeks, max_case,
     rain_summary, surface_mix, scope_mask_counts, cell_overlay, od_union, distinct_on_longest, weeks_missing, multiscale_expand, point_in_polygon, knn_capped, knn_same_component, ols_standardised, linear_fit, edge_usage,
     reachability, mst_links, week_stats_json, schema_fill, catalog_status, case_dedupe, bootstrap_ci, kmeans_clusters, stream_weekly_counts, calendar_weeks,
-    grid_meta_lag, nearest_station, node_stability, od_route_change, crop_change_summary, surface_penalty, graph_nodes, connected_rank)}
+    grid_meta_lag, nearest_station, node_stability, od_route_change, crop_change_summary, surface_penalty, graph_nodes, connected_rank,
+    knn_topk_uncapped, knn_same_component_uncapped, nearest_station_uncapped)}
 
 _WEEK = Q._SQL_WEEK.replace("l_shipdate", "o_orderdate")
 _TRIPS = f"trips AS (SELECT c_nationkey, c_mktsegment, {_WEEK} AS week_start, o_totalprice / 10000 AS v FROM orders JOIN customer ON o_custkey = c_custkey)"
@@ -331,6 +353,11 @@ def _pairs(extra: str, most: int, columns: str) -> str:
 SELECT {columns} FROM (SELECT *, row_number() OVER (PARTITION BY origin ORDER BY d2, vec_id) AS rank FROM n WHERE d2 <= 25) WHERE rank <= {most}"""
 
 
+def _uncapped(extra: str, most: int, columns: str) -> str:
+    return f"""WITH {_POINTS}, n AS (SELECT q.vec_id AS origin, p.vec_id, (p.x - q.x) ** 2 + (p.y - q.y) ** 2 AS far FROM p q JOIN p ON p.vec_id <> q.vec_id AND {extra})
+SELECT {columns}, round(far, 6) AS d2 FROM (SELECT *, row_number() OVER (PARTITION BY origin ORDER BY far, vec_id) AS rank FROM n) WHERE rank <= {most}"""
+
+
 _LINE_ORDER = "ORDER BY l_linenumber, l_suppkey, l_partkey, l_quantity"
 _ROUTES = f"""o AS (SELECT l_orderkey, md5(string_agg(CAST(l_suppkey AS VARCHAR), ',' {_LINE_ORDER})) AS dry_route,
 md5(string_agg(CAST(l_suppkey AS VARCHAR), ',' {_LINE_ORDER}) FILTER (l_quantity * 7 < 300)) AS wet_route, count(*) FILTER (l_quantity * 7 >= 300) AS closed FROM lineitem GROUP BY ALL),
@@ -371,6 +398,9 @@ ORACLE_SQL = {
     "stream_weekly_counts": f"SELECT {Q._SQL_EVENT_WEEK} AS week_start, event_type, count(*) AS n, round(sum(value), 4) AS value_sum FROM events GROUP BY ALL",
     "calendar_weeks": f"WITH e AS (SELECT min({Q._SQL_EVENT_WEEK}) AS a, max(CAST(ts AS date)) AS z FROM events), w AS (SELECT CAST(unnest(generate_series(a, z, INTERVAL 7 DAY)) AS date) AS week_start, z FROM e) SELECT week_start, least(week_start + 6, z) AS week_end FROM w",
     "grid_meta_lag": f"WITH {_POINTS}, l AS (SELECT DISTINCT round(floor(x / 0.25 + 0.5) * 0.25 + 0.0, 4) AS lon FROM p), g AS (SELECT lon, lon - lag(lon) OVER (ORDER BY lon) AS gap FROM l) SELECT min(lon) AS lon_min, max(lon) AS lon_max, round(min(gap), 4) AS step, count(*) AS columns FROM g",
+    "knn_topk_uncapped": _uncapped("true", 3, "origin, rank, vec_id"),
+    "knn_same_component_uncapped": _uncapped("p.label = q.label", 1, "origin, vec_id"),
+    "nearest_station_uncapped": _uncapped("p.label = 0", 1, "origin, vec_id"),
     "nearest_station": _pairs("p.label = 0", 1, "origin, vec_id, d2"),
     "node_stability": "SELECT l_partkey, count(DISTINCT l_suppkey) AS nodes, min(l_suppkey) = max(l_suppkey) AS stable FROM lineitem GROUP BY ALL",
     "od_route_change": f"WITH {_ROUTES} SELECT l_orderkey, dry_route, wet_route, closed, changed FROM r",

@@ -44,6 +44,14 @@ def test_nearest_reaches_far_and_breaks_ties(spark):
     assert G.nearest(points, targets.limit(0), 1.0).collect() == []
 
 
+def test_k_nearest_reaches_far_and_stops(spark):
+    points = spark.createDataFrame([(1, 0.0, 0.0, 0), (2, 3.0, 0.0, 1), (3, 900.0, 0.0, 0), (4, 0.0, 3.0, 1), (5, None, 0.0, 0)], "id long, x double, y double, label int")
+    two = sorted(tuple(r)[:3] for r in G.k_nearest(points, points, 1.0, 2).collect())
+    assert two == [(1, 1, 2), (1, 2, 4), (2, 1, 1), (2, 2, 4), (3, 1, 2), (3, 2, 1), (4, 1, 1), (4, 2, 2)]
+    alike = sorted(tuple(r)[:3] for r in G.k_nearest(points, points, 1.0, 2, "label = r_label").collect())
+    assert alike == [(1, 1, 3), (2, 1, 4), (3, 1, 1), (4, 1, 2)]
+
+
 def test_noding_cuts_crossings_touches_and_overlaps(spark):
     lines = [(1, 0.0, 0.0, 10.0, 0.0), (2, 5.0, -5.0, 5.0, 5.0), (3, 7.0, 0.0, 7.0, 4.0), (4, 8.0, 0.0, 12.0, 0.0), (5, 3.0, 3.0, 3.0, 3.0), (6, None, 0.0, 1.0, 1.0), (7, 100.0, 0.0, 900.0, 700.0)]
     found = G.noded(spark.createDataFrame(lines, "line_id long, x1 double, y1 double, x2 double, y2 double"), 3.0).orderBy("line_id", "piece").collect()

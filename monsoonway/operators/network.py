@@ -131,3 +131,8 @@ def successive(spark: SparkSession, sf_dir: str) -> DataFrame:
 def trade_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sparse graph of suppliers: successive lines of an order that ship in the same week are an edge."""
     return successive(spark, sf_dir).where("week = t_week").groupBy(F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b")).agg(F.min("w").alias("w"))
+
+
+def order_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole graph of suppliers: any successive lines of an order are an edge, in whatever weeks they ship."""
+    return successive(spark, sf_dir).groupBy(F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b")).agg(F.min("w").alias("w"))

@@ -163,24 +163,24 @@ def node_key_md5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "embeddings").select("vec_id", F.md5(F.concat_ws(":", d(0), d(1))).alias("node_key"))
 
 
-def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return N.trade_graph(spark, sf_dir)
+def graph_edges(spark: SparkSession, sf_dir: str, graph=N.trade_graph) -> DataFrame:
+    return graph(spark, sf_dir)
 
 
-def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = graph_edges(spark, sf_dir)
+def connected_components(spark: SparkSession, sf_dir: str, graph=N.trade_graph) -> DataFrame:
+    edges = graph_edges(spark, sf_dir, graph)
     nodes = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node")))
     return N.components(nodes, edges)
 
 
-def component_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return connected_components(spark, sf_dir).groupBy("component").agg(F.count("*").alias("nodes"))
+def component_summary(spark: SparkSession, sf_dir: str, graph=N.trade_graph) -> DataFrame:
+    return connected_components(spark, sf_dir, graph).groupBy("component").agg(F.count("*").alias("nodes"))
 
 
-def sssp_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sssp_costs(spark: SparkSession, sf_dir: str, graph=N.trade_graph) -> DataFrame:
     """From the supplier of the highest balance in each nation."""
     first = R.top_per_group(_t(spark, sf_dir, "supplier"), ["s_nationkey"], [F.desc_nulls_last("s_acctbal"), F.col("s_suppkey")], 1)
-    return N.shortest_costs(first.select(F.col("s_suppkey").alias("origin")), N.trade_graph(spark, sf_dir))
+    return N.shortest_costs(first.select(F.col("s_suppkey").alias("origin")), graph(spark, sf_dir))
 
 
 def access_delta(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,0 +1,18 @@
+"""The graph queries over all successive lines of orders; those of the plain names keep pairs of one week only."""
+
+from __future__ import annotations
+
+from functools import partial
+
+from ..operators import network as N
+from . import accessibility as A
+from . import queries as Q
+from . import routing
+
+_PLAIN = (Q.graph_edges, Q.connected_components, Q.component_summary, Q.sssp_costs, A.reachability, A.mst_links, A.connected_rank,
+          routing.route_status, routing.route_steps, routing.route_usage, routing.link_length_stats)
+
+QUERIES = {f"{f.__name__}_whole": partial(f, graph=N.order_graph) for f in _PLAIN}
+
+_SQL = Q.ORACLE_SQL | A.ORACLE_SQL | routing.ORACLE_SQL
+ORACLE_SQL = {f"{f.__name__}_whole": _SQL[f.__name__].replace("WHERE week = t_week ", "") for f in _PLAIN if f.__name__ in _SQL}

@@ -23,9 +23,10 @@ from pyspark.sql import functions as F
 #: Blocks of so many characters are decided by themselves.
 LONG = 70
 STOP_DENSITY = 0.25
-#: A long block with fewer stop words than this, on a page that marks no article, is no prose.
+#: A long block with fewer stop words than this, on a page that marks no article, is prose only if few of its letters are linked: the stop words are those of some languages.
 PROSE_DENSITY = 0.08
 LINK_DENSITY = 0.5
+FEW_LINKS = 0.2
 
 # Function words of the languages that the corpus holds.
 STOP_WORDS = frozenset(
@@ -165,7 +166,7 @@ def classify(found: list[Block]) -> None:
         words = _LETTERS.findall(b.text.lower())
         density = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
         if len(b.text) >= LONG:
-            b.label = marked or density >= PROSE_DENSITY
+            b.label = marked or density >= PROSE_DENSITY or b.linked <= FEW_LINKS * len(b.text)
         elif density >= STOP_DENSITY and len(words) >= 5:
             b.label = True
     # candidates by region: furniture decides nothing about the article beside it

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from typing import Any
 
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,6 +58,38 @@ def bounded_sample(df: DataFrame, key: str, rows: int, salt: str) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(F.lit(salt), F.col(key)), F.lit(1 << 30)) < int(share * (1 << 30)))
 
 
+_WORKER: dict[str, Any] = {}
+
+
+def worker_slot(key: str, make: Callable[[], Any]) -> Any:
+    """What ``make`` gives, kept in this worker process for later tasks until another key is asked for.
+
+    A worker process serves one stage after another, so it holds one such object at a time.
+    """
+    if key not in _WORKER:
+        _WORKER.clear()
+        _WORKER[key] = make()
+    return _WORKER[key]
+
+
+def free_worker() -> None:
+    """Drop what an earlier stage keeps in this worker process."""
+    _WORKER.clear()
+
+
+def in_slices(batches: Iterator[pa.RecordBatch], column: int | str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in slices of at most about ``most`` bytes of a text column, or of one row."""
+    for batch in batches:
+        at, size = 0, 0
+        for i, n in enumerate(pa.compute.binary_length(batch.column(column)).to_pylist()):
+            size += n or 0
+            if size >= most:
+                yield batch.slice(at, i + 1 - at)
+                at, size = i + 1, 0
+        if at < batch.num_rows:
+            yield batch.slice(at)
+
+
 def through_parquet(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back, as each stage of a pipeline does."""
     spark = df.sparkSession

@@ -20,94 +20,81 @@ as they occur. Other columns are ignored.
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._runtime import cut
+from ._runtime import cut, in_slices, worker_slot
 
 CAPACITY = 1024
 END_ID = 2
 SMALL = 128
 GROUPS = 96
-#: Pieces of one length that share a ranking task.
-RANKED = 100_000
-#: Chunks whose ids a worker remembers.
-REMEMBERED = 500_000
-_MARKS = ".,;:!?%#&$*|()\"-"
-_DOUBLE_SPACE = re.compile(r"\s\s")
-_WORD_START = re.compile(r" (?=\S)")
+#: Pieces of one length that share a ranking task, and the least number of such tasks for each length.
+RANKED, LEAST_PARTS = 100_000, 16
+#: Pieces whose ids a worker remembers, and the bytes that one slice of texts has.
+REMEMBERED, SLICE = 500_000, 1 << 21
+
+# White space as the tokenizer's pattern means it, and its letters and numbers below U+0250.
+_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_LATIN_LETTERS, _LATIN_NUMBERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe"
+
+
+def _pattern(letter: str, number: str) -> str:
+    """Pieces of a byte-level BPE: endings, letters, numbers and marks with a space before them, and white space."""
+    return rf"'(?:[stmd]|re|ve|ll)| ?[{letter}]+| ?[{number}]+| ?[^{_SPACE}{letter}{number}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
+
+
+_LATIN, _ANY = re.compile(_pattern(_LATIN_LETTERS, _LATIN_NUMBERS)), regex.compile(_pattern(r"\p{L}", r"\p{N}"))
+_BEYOND_LATIN = re.compile("[^\0-\u024f]")
 
 
 class Ids:
     """Token ids of texts as little-endian 32-bit bytes.
 
-    A byte-level BPE cuts a text before every space that precedes a non-space, and around a newline
-    between two non-spaces; the ids of such chunks are remembered, as words repeat.
+    A byte-level BPE cuts a text into pieces and encodes each by itself, so the ids of pieces are remembered.
+    Texts that hold an added token, or a character that old versions of Unicode do not know, go to the tokenizer whole.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.plain: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}
-        self.newline = self._encode(["\n"])[0]
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
+        self.known: dict[str, bytes] = {}
+        self.old: set[str] = set()
 
     def _encode(self, chunks: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch(chunks, add_special_tokens=False)]
-
-    def _learn(self, known: dict[str, bytes], chunks: set[str], lead: str) -> None:
-        """A letter ends its token before punctuation, so a word and the marks after it are learned apart."""
-        new = chunks - known.keys()
-        parts = {c: b for c in new if (b := c.rstrip(_MARKS)) != c and b[-1:].isalpha()}
-        if words := ({parts.get(c, c) for c in new} - known.keys()):
-            known.update(zip(words, self._encode([lead + c for c in words])))
-        if parts:
-            marks = {c[len(b) :] for c, b in parts.items()}
-            if fresh := list(marks - self.plain.keys()):
-                self.plain.update(zip(fresh, self._encode(fresh)))
-            plain = self.plain
-            known.update({c: known[b] + plain[c[len(b) :]] for c, b in parts.items()})
+        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    def _cut(self, text: str) -> list[str] | None:
+        if self.added and self.added.search(text):
+            return None
+        if text.isascii() or not _BEYOND_LATIN.search(text):
+            return _LATIN.findall(text)
+        for c in set(text) - self.old:
+            if unicodedata.ucd_3_2_0.category(c) == "Cn":
+                return None
+            self.old.add(c)
+        return _ANY.findall(text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.plain) + len(self.spaced) > REMEMBERED:
-            self.plain.clear()
-            self.spaced.clear()
-        cut_up = []
-        for text in texts:
-            lines = [text] if (rough := _DOUBLE_SPACE.search(text)) else text.split("\n")
-            cut_up.append([_WORD_START.split(x) if rough else x.split(" ") for x in lines])
-        self._learn(self.plain, {line[0] for lines in cut_up for line in lines}, "")
-        self._learn(self.spaced, {c for lines in cut_up for line in lines for c in line[1:]}, " ")
-        plain, spaced = self.plain, self.spaced
-        return [self.newline.join([b"".join([plain[line[0]], *map(spaced.__getitem__, line[1:])]) for line in lines]) for lines in cut_up]
-
-
-@cache
-def _worker_ids(path: str) -> Ids:
-    """One for each worker process, so that later tasks find the chunks that earlier ones met."""
-    return Ids(path)
-
-
-def _batches_of(texts: list[str], most: int = 1 << 22) -> Iterator[list[str]]:
-    held, size = [], 0
-    for t in texts:
-        held.append(t)
-        size += len(t)
-        if size > most:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        cut_up = [self._cut(t) for t in texts]
+        if new := list(set().union(*(x for x in cut_up if x)) - self.known.keys()):
+            self.known.update(zip(new, self._encode(new)))
+        of = self.known.__getitem__
+        return [self._encode([t])[0] if x is None else b"".join(map(of, x)) for t, x in zip(texts, cut_up)]
 
 
 def _pieces(path: str, capacity: int, end_id: int):
@@ -115,21 +102,18 @@ def _pieces(path: str, capacity: int, end_id: int):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        ids, end = _worker_ids(path), np.array([end_id], "<u4").tobytes()
-        for batch in batches:
-            docs = iter(batch.column(0).to_pylist())
-            texts = [t or "" for t in batch.column(1).to_pylist()]
+        # later tasks of this worker find the pieces that earlier ones met
+        ids, end = worker_slot(f"ids {path}", lambda: Ids(path)), np.array([end_id], "<u4").tobytes()
+        for batch in in_slices(batches, 1, SLICE):
             out = []
-            for group in _batches_of(texts):
-                for raw in ids.encode(group):
-                    doc, raw = next(docs), raw + end
-                    n = len(raw) // 4
-                    first = n % capacity or min(n, capacity)
-                    stops = [first, *range(first + capacity, n + 1, capacity)]
-                    start = 0
-                    for piece, stop in enumerate(stops):
-                        out.append((doc, piece, start, stop - start, zlib.crc32(raw[4 * start : 4 * stop])))
-                        start = stop
+            for doc, raw in zip(batch.column(0).to_pylist(), ids.encode([t or "" for t in batch.column(1).to_pylist()])):
+                raw += end
+                n = len(raw) // 4
+                first = n % capacity or min(n, capacity)
+                start = 0
+                for piece, stop in enumerate(range(first, n + 1, capacity)):
+                    out.append((doc, piece, start, stop - start, zlib.crc32(raw[4 * start : 4 * stop])))
+                    start = stop
             doc, piece, start, length, crc = zip(*out) if out else ((),) * 5
             yield pa.record_batch(
                 [pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
@@ -336,7 +320,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, en
     for n, c in pieces.groupBy("length").count().collect():
         counts[n] = c
     ranges, _ = plan_packing(counts, capacity)
-    parts = max(1, int(counts.max()) // RANKED)
+    parts = max(LEAST_PARTS, int(counts.max()) // RANKED)
     salted = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts)))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = salted.groupBy("length", "part").count().select("length", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))

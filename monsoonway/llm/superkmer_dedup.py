@@ -7,13 +7,13 @@ sees all occurrences of its windows. In a bucket the windows are sorted by a 64-
 real bytes are compared inside equal hashes, so the outcome is exact.
 
 Skew. A run whose words were seen before by the same map task does not travel again: all its windows
-have an earlier occurrence and are marked at once. Minimisers that still carry more than
-``HOT_SHARE`` of all runs are split by a second content key, the largest gram hash of the window,
-which equal windows share as well.
+have an earlier occurrence and are marked at once; the marks of one block need no bucket and pass through a
+group of their own. Minimisers that still carry more than ``HOT_SHARE`` of all runs are split by a second
+content key, the largest gram hash of the window, which equal windows share as well.
 
-Rows. Null text has no words. Documents are known by ``doc_id`` and 32 bits of a hash of their text; a null
-``doc_id`` counts as smaller than any other. Repeated rows of one document are one document: neither
-is "earlier" than the other, and both get the same result. Other columns are ignored.
+Rows. Null text has no words. Documents are known by ``doc_id`` and 64 bits of a hash of their text; a null
+``doc_id`` counts as smaller than any other. Rows that share an id are one document in the order of windows, so repeated
+rows are not "earlier" than each other, and all get the same result. A very long text is read in pieces of ``PIECE`` words that overlap by a window. An empty table gives an empty one. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._runtime import cut
+from ._runtime import cut, free_worker, in_slices
 
 WINDOW = 20
 MINIMISER = 4
@@ -37,8 +37,10 @@ HOT_SHARE = 1 / 2000
 BLOCK_BYTES = 24 << 20
 #: Words that a bucket should hold, so that sorting one takes tens of MB.
 BUCKET_WORDS = 1_500_000
-#: Runs remembered by a map task to drop those seen before.
-SEEN_RUNS = 150_000
+#: Bytes of runs that a map task remembers to drop those seen before.
+SEEN_BYTES = 24 << 20
+#: Words of a text that are hashed at once, bytes of a bucket that are, and bytes of texts in one slice.
+PIECE, HASHED_BYTES, SLICE = 1 << 16, 1 << 20, 1 << 21
 NULL_ID = -(1 << 63)
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -67,9 +69,8 @@ class _Powers:
         return self.up, self.down
 
 
-def _spans(text: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
+def _spans(words: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
     """Words joined by one space, with each word's start and end in the joined bytes."""
-    words = text.split()
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.empty_like(ends)
     if len(ends):
@@ -96,29 +97,37 @@ def _slide(values: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
     return out
 
 
+def _keys(starts: np.ndarray, ends: np.ndarray, joined: bytes, window: int, minimiser: int, powers: _Powers) -> tuple[np.ndarray, np.ndarray]:
+    """The minimiser of each window, and the hashes of all grams."""
+    grams = _span_hashes(joined, starts[: len(starts) - minimiser + 1], ends[minimiser - 1 :], powers)
+    return _slide(grams, window - minimiser + 1, np.minimum), grams
+
+
+def _cut_words(text: bytes, window: int) -> Iterator[tuple[int, bytes, np.ndarray, np.ndarray]]:
+    """(first word, joined words, starts, ends) of pieces of a text that together have each window once."""
+    words = text.split()
+    for at in range(0, max(len(words) - window + 1, 0), PIECE):
+        yield at, *_spans(words[at : at + PIECE + window - 1])
+
+
 def _runs(text: bytes, window: int, minimiser: int, hot: np.ndarray, powers: _Powers):
     """Yield (key, first window, windows, packed words) for each super-k-mer of a text."""
-    joined, starts, ends = _spans(text)
-    n = len(starts)
-    if n < window:
-        return
-    grams = _span_hashes(joined, starts[: n - minimiser + 1], ends[minimiser - 1 :], powers)
-    width = window - minimiser + 1
-    keys = _slide(grams, width, np.minimum)
-    if len(hot):
-        at = np.minimum(np.searchsorted(hot, keys), len(hot) - 1)
-        split = hot[at] == keys
-        if split.any():
-            keys = np.where(split, _mix(keys ^ _slide(grams, width, np.maximum)), keys)
-    edges = np.flatnonzero(keys[1:] != keys[:-1]) + 1
-    first = np.concatenate([[0], edges])
-    count = np.diff(np.concatenate([first, [len(keys)]]))
-    for k, f, c, s, e in zip(keys[first].tolist(), first.tolist(), count.tolist(), starts[first].tolist(), ends[first + count + window - 2].tolist()):
-        yield k, f, c, joined[s:e]
+    for base, joined, starts, ends in _cut_words(text, window):
+        keys, grams = _keys(starts, ends, joined, window, minimiser, powers)
+        if len(hot):
+            at = np.minimum(np.searchsorted(hot, keys), len(hot) - 1)
+            split = hot[at] == keys
+            if split.any():
+                keys = np.where(split, _mix(keys ^ _slide(grams, window - minimiser + 1, np.maximum)), keys)
+        edges = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+        first = np.concatenate([[0], edges])
+        count = np.diff(np.concatenate([first, [len(keys)]]))
+        for k, f, c, s, e in zip(keys[first].tolist(), (first + base).tolist(), count.tolist(), starts[first].tolist(), ends[first + count + window - 2].tolist()):
+            yield k, f, c, joined[s:e]
 
 
 def _texts(batches: Iterator[pa.RecordBatch]):
-    for batch in batches:
+    for batch in in_slices(batches, 2, SLICE):
         ids, hashes, texts = (batch.column(i) for i in range(3))
         for i in range(batch.num_rows):
             text = texts[i].as_py()
@@ -131,39 +140,49 @@ _KEPT = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("first",
 
 
 def _pack(window: int, minimiser: int, buckets: int, hot: np.ndarray):
-    """Map side: super-k-mers to compressed blocks by bucket; bucket -1 carries runs seen before."""
+    """Map side: super-k-mers to compressed blocks by bucket; bucket -1 carries the marks of runs seen before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_worker()
         powers, squeeze = _Powers(), zstandard.ZstdCompressor(level=3)
         held: dict[int, list] = {}
-        size = 0
+        marks: list[list] = []
+        size, seen_size = 0, 0
         seen: dict[bytes, tuple] = {}
 
         def flush() -> Iterator[pa.RecordBatch]:
-            out = [(b, sum(r[4] for r in rows), squeeze.compress(_write(rows))) for b, rows in held.items()]
-            held.clear()
-            for i in range(0, len(out), 256):
-                b, w, x = zip(*out[i : i + 256])
+            if marks:
+                held[-1] = [(*m, 0, b"") for m in marks]
+                marks.clear()
+            kept = list(held)
+            for i in range(0, len(kept), 256):
+                out = [(b, sum(r[4] for r in rows), squeeze.compress(_write(rows))) for b in kept[i : i + 256] if (rows := held.pop(b))]
+                b, w, x = zip(*out)
                 yield pa.record_batch([pa.array(b, pa.int32()), pa.array(w, pa.int64()), pa.array(x, pa.binary())], ["bucket", "words", "block"])
 
         for doc, text_hash, text in _texts(batches):
             for key, first, windows, words in _runs(text, window, minimiser, hot, powers):
-                before = seen.get(words)
                 at = (doc, text_hash, first)
+                before = seen.get(words)
                 if before is None:
-                    if len(seen) >= SEEN_RUNS:
+                    if seen_size >= SEEN_BYTES:
                         seen.clear()
+                        seen_size = 0
                     seen[words] = at
+                    seen_size += len(words) + 200
                 elif (before[0], before[2]) < (doc, first):
                     # all windows of this run start earlier in a run that this task has sent
-                    held.setdefault(-1, []).append((doc, text_hash, first, windows, 0, b""))
-                    size += 40
+                    if marks and marks[-1][:2] == [doc, text_hash] and marks[-1][2] + marks[-1][3] == first:
+                        marks[-1][3] += windows
+                    else:
+                        marks.append([doc, text_hash, first, windows])
+                        size += 200
                     continue
                 held.setdefault(key % buckets, []).append((doc, text_hash, first, windows, windows + window - 1, words))
-                size += len(words) + 40
-            if size > BLOCK_BYTES:
-                yield from flush()
-                size = 0
+                size += len(words) + 200
+                if size > BLOCK_BYTES:
+                    yield from flush()
+                    size = 0
         yield from flush()
 
     return run
@@ -171,14 +190,14 @@ def _pack(window: int, minimiser: int, buckets: int, hot: np.ndarray):
 
 def _write(rows: list) -> bytes:
     doc, text_hash, first, windows, _, words = zip(*rows)
-    numbers = [np.array(x, kind).tobytes() for x, kind in ((doc, "<i8"), (text_hash, "<u4"), (first, "<i4"), (windows, "<i4"), ([len(w) for w in words], "<i4"))]
+    numbers = [np.array(x, kind).tobytes() for x, kind in ((doc, "<i8"), (text_hash, "<i8"), (first, "<i4"), (windows, "<i4"), ([len(w) for w in words], "<i4"))]
     return b"".join([np.int64(len(rows)).tobytes(), *numbers, *words])
 
 
 def _read(block: bytes):
     n, at = int(np.frombuffer(block, np.int64, 1)[0]), 8
     out = []
-    for kind in ("<i8", "<u4", "<i4", "<i4", "<i4"):
+    for kind in ("<i8", "<i8", "<i4", "<i4", "<i4"):
         out.append(np.frombuffer(block, kind, n, at).astype(np.int64))
         at += n * np.dtype(kind).itemsize
     return np.stack(out[:4]), out[4], block[at:]
@@ -201,6 +220,7 @@ def _count(window: int):
     """Bucket side: sort all windows of the bucket and return those that start earlier elsewhere."""
 
     def run(table: pa.Table) -> pa.Table:
+        free_worker()
         numbers, lengths, words = [], [], []
         unsqueeze = zstandard.ZstdDecompressor()
         for block in table.column("block"):
@@ -210,9 +230,7 @@ def _count(window: int):
             words.append(c)
         doc, text_hash, first, windows = np.concatenate(numbers, axis=1)
         if table.column("bucket")[0].as_py() < 0:
-            reps = np.repeat(np.arange(len(doc)), windows)
-            offset = np.arange(len(reps)) - np.repeat(np.cumsum(windows) - windows, windows)
-            return _merge(doc[reps], text_hash[reps], first[reps] + offset, np.ones(len(reps), bool))
+            return pa.table([doc, text_hash, first, windows], schema=_KEPT)
         packed, lengths = b"".join(words), np.concatenate(lengths)
         run_end = np.cumsum(lengths)
         raw = np.frombuffer(packed, np.uint8)
@@ -232,7 +250,7 @@ def _count(window: int):
         hashes = np.empty(len(s), np.uint64)
         powers = _Powers()
         # spans are hashed in pieces of whole runs so that the prefix sums stay small
-        edge = np.searchsorted(run_end, np.arange(0, len(packed), 1 << 24))
+        edge = np.searchsorted(run_end, np.arange(0, len(packed), HASHED_BYTES))
         cuts = np.unique(np.concatenate([edge, [len(doc)]]))
         row_of = np.concatenate([[0], np.cumsum(windows)])
         begin = 0
@@ -263,21 +281,17 @@ def _count(window: int):
     return run
 
 
-def _hot(batches_window: int, minimiser: int):
+def _hot(window: int, minimiser: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = _Powers()
         none = np.zeros(0, np.uint64)
         for batch in batches:
             keys, words = [], 0
             for text in batch.column(0):
-                joined, starts, ends = _spans(text.as_py() or b"")
-                n = len(starts)
-                if n < batches_window:
-                    continue
-                words += n
-                grams = _span_hashes(joined, starts[: n - minimiser + 1], ends[minimiser - 1 :], powers)
-                k = _slide(grams, batches_window - minimiser + 1, np.minimum)
-                keys.append(k[np.concatenate([[True], k[1:] != k[:-1]])])
+                for _, joined, starts, ends in _cut_words(text.as_py() or b"", window):
+                    words += len(starts)
+                    k, _ = _keys(starts, ends, joined, window, minimiser, powers)
+                    keys.append(k[np.concatenate([[True], k[1:] != k[:-1]])])
             key, count = np.unique(np.concatenate([none, *keys]), return_counts=True)
             many = count > max(1, count.sum() * HOT_SHARE / 4)  # lighter ones in every batch cannot pass HOT_SHARE
             yield pa.record_batch(
@@ -288,7 +302,7 @@ def _hot(batches_window: int, minimiser: int):
 
 
 def _text_hash() -> F.Column:
-    return F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF))
+    return F.xxhash64("text")
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIMISER) -> DataFrame:
@@ -301,13 +315,14 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIM
     hot = np.sort(np.array([r[0] for r in heavy.select("key").collect()], np.int64).view(np.uint64))
     buckets = max(16, -(-4 * words // BUCKET_WORDS))
     blocks = source.mapInArrow(_pack(window, minimiser, buckets, hot), _PACKED)
-    salted = F.when(F.col("bucket") < 0, F.xxhash64("block") % 64).otherwise(F.lit(0))
+    # marks of each block are a group by themselves, so no group grows with the corpus
+    salted = F.when(F.col("bucket") < 0, F.xxhash64("block")).otherwise(F.lit(0))
     return blocks.groupBy("bucket", salted.alias("part")).applyInArrow(lambda t: _count(window)(t.drop_columns(["words"])), _SPAN)
 
 
 def _rewrite(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches, "text", SLICE):
             out = []
             for text, spans in zip(batch.column("text"), batch.column("spans")):
                 raw = text.as_py()

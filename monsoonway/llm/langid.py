@@ -4,39 +4,40 @@ Training counts words and character n-grams per language. A document is the sum
 per-language log frequencies: those of the word itself if it is known, else the mean of those of its
 longest known character n-grams, from ``ORDERS`` letters with word boundaries down to one.
 
-The model is fitted on at most about ``TRAIN_ROWS`` labelled rows, chosen by a hash, and keeps at most
-``KEPT`` entries of each order in all languages together, so its size is bounded.
-
-Rows. Text that is null or has no letter is ``und`` with score 0. So is every text if nothing was
-learned. Equal scores go to the smaller language name. Rows with a null language or id teach nothing.
-Repeated rows are scored alike. Other columns are not read.
+The model is fitted on at most about ``TRAIN_ROWS`` labelled rows of each language, chosen by a hash of id and text,
+and keeps every word and n-gram of them. A language with any labelled row that has a letter is in the model, however
+large the others are.
+
+Rows. A letter is a character of Unicode category L; marks after it belong to its word. Text that is null or has no
+letter is ``und`` with score 0. So is every text if nothing was learned. Equal scores go to the smaller language name.
+Rows with a null language or id teach nothing. Repeated rows are scored alike, very long texts are read whole in parts,
+an empty table gives an empty one. Other columns are not read.
 """
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import regex
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._runtime import bounded_sample, crc_remainder
+from ._runtime import crc_remainder, worker_slot
 
-TRAIN_ROWS = 20_000
+TRAIN_ROWS = 500
 ORDERS = 5
-KEPT = 40_000
-#: A word or n-gram seen less often is not learned.
-LEAST = 3
 #: Words that a worker remembers between batches.
 REMEMBERED = 200_000
 #: What an n-gram's evidence counts against a known word's.
 BACKOFF = 0.6
+#: Texts that are scored at once.
+SLICE = 512
 UNDETERMINED = "und"
-_LETTERS = re.compile(r"[^\W\d_]+")
+_LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*+")
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,13 +76,19 @@ class Model:
         return np.zeros(len(self.langs), np.float32)
 
 
-def train(labelled: DataFrame, rows: int = TRAIN_ROWS, kept: int = KEPT) -> Model:
+def sample_by_language(labelled: DataFrame, rows: int) -> DataFrame:
+    """About ``rows`` rows of each language at most, the same ones in every run; all of a language with fewer."""
+    counts = labelled.groupBy("lang").count().select(F.col("lang").alias("its"), (F.lit(float(rows)) / F.col("count")).alias("share"))
+    drawn = F.pmod(F.xxhash64(F.lit("langid"), "doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
+    # one short row for each language that the labels name
+    return labelled.join(F.broadcast(counts), F.col("lang") == F.col("its")).where(drawn < F.col("share")).select("text", "lang")
+
+
+def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """A model of the rows of ``labelled(doc_id, text, lang)`` with a language and an id."""
     known = labelled.where("lang is not null and doc_id is not null").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
-    sample = bounded_sample(known, "doc_id", rows, "langid").select("text", "lang")
-    counts = sample.mapInArrow(_count, "lang string, grade int, gram string, n long").groupBy("lang", "grade", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
-    rank = F.row_number().over(Window.partitionBy("grade").orderBy(F.desc("n"), "gram", "lang"))
-    top = counts.withColumn("r", rank).where(F.col("r") <= kept).select("lang", "grade", "gram", "n").toPandas()
+    top = sample_by_language(known, rows).mapInArrow(_count, "lang string, grade int, gram string, n long").groupBy("lang", "grade", "gram").agg(F.sum("n").alias("n")).toPandas()
+    top = top.sort_values(["grade", "gram", "lang"], kind="stable")
     langs = sorted(top["lang"].unique().tolist())
     column = {x: i for i, x in enumerate(langs)}
     tables: list[dict[str, int]] = [{} for _ in range(ORDERS + 1)]
@@ -142,35 +149,23 @@ class Scorer:
         return self.model.langs[best], float(1 / lead.sum())
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
-def _worker_scorer(model: Model) -> Scorer:
-    """The scorer of this worker process, so that later tasks find the words that earlier ones met."""
-    if model.token not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[model.token] = Scorer(model)
-    return _SCORERS[model.token]
-
-
-def _predict(held):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _worker_scorer(held.value)
+def _scorer(held, token: str):
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        # later tasks of this worker find the model, and the words that earlier ones met
+        scorer = worker_slot(f"langid {token}", lambda: Scorer(held.value))
         for batch in batches:
-            found = [scorer.predict(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
-            yield pa.record_batch(
-                [*batch.columns[:-1], pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())],
-                [*batch.schema.names[:-1], "lang_pred", "score"])
+            found = [scorer.predict(t) for i in range(0, len(batch), SLICE) for t in batch.slice(i, SLICE).to_pylist()]
+            yield pa.StructArray.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["lang_pred", "score"])
 
     return run
 
 
 def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Rows of the ``keep`` columns with lang_pred and score; only text decides."""
+    """Rows of the ``keep`` columns with lang_pred and score; only text is read, and it alone travels to Python."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    chosen = docs.select(*(F.col(f"`{c}`") for c in keep), F.col("text").alias("text__scored"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema[:-1])
-    return chosen.mapInArrow(_predict(held), f"{kinds}, lang_pred string, score double")
+    scored = F.arrow_udf(_scorer(held, model.token), "lang_pred string, score double", F.ArrowUDFType.SCALAR_ITER).asNondeterministic()  # evaluated once
+    chosen = docs.select(*(F.col(f"`{c}`") for c in keep), scored(F.col("text")).alias("found__"))
+    return chosen.select(*(F.col(f"`{c}`") for c in keep), "found__.lang_pred", "found__.score")
 
 
 def identify(docs: DataFrame) -> DataFrame:

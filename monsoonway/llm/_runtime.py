@@ -49,9 +49,9 @@ def crc_remainder(column: str, divisor: int) -> F.Column:
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(divisor))
 
 
-def bounded_sample(df: DataFrame, key: str, rows: int, salt: str) -> DataFrame:
-    """About ``rows`` rows at most, chosen by a hash of ``key``: the same ones in every run."""
-    total = df.count()
+def bounded_sample(df: DataFrame, key: str, rows: int, salt: str, total: int | None = None) -> DataFrame:
+    """About ``rows`` rows at most of ``total``, chosen by a hash of ``key``: the same ones in every run."""
+    total = df.count() if total is None else total
     if total <= rows:
         return df
     share = rows / total

@@ -69,13 +69,58 @@ def test_simhash(docs, rows, empty):
     assert simhash_index.near_duplicates(empty).count() == 0
 
 
-def test_simhash_posting_lists_lose_no_component():
+def _components(fps, edges):
+    root = {int(f): int(f) for f in fps}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = top(int(a)), top(int(b))
+        root[max(a, b)] = min(a, b)
+    return {f: top(f) for f in root}
+
+
+def _brute_components(fps, max_bits):
+    return _components(fps, [(f, g) for f in fps.tolist() for g in fps[np.bitwise_count(fps ^ np.uint64(f)) <= max_bits].tolist()])
+
+
+@pytest.mark.parametrize("max_bits", [0, 3, 4, 7])
+def test_simhash_links_equal_brute_force(spark, max_bits):
     draw = np.random.default_rng(5)
-    base = draw.integers(0, 1 << 63, 60, dtype=np.uint64)
-    fps = np.unique(np.concatenate([base, *(base ^ (np.uint64(1) << draw.integers(0, 8, 60).astype(np.uint64)) for _ in range(4))]))
-    links = dict(simhash_index._linked(fps, 4, 4))
-    brute = {int(f): int(fps[np.bitwise_count(fps ^ f) <= 4].min()) for f in fps}
-    assert all(links.get(f, f) <= f and (links.get(f, f) in (f, g) or g >= links.get(f, f)) for f, g in brute.items())
+    base = draw.integers(0, 1 << 63, 40, dtype=np.uint64)
+    near = [base]
+    for _ in range(8):
+        flips = np.zeros(40, np.uint64)
+        for _ in range(5):
+            flips |= np.uint64(1) << draw.integers(0, 64, 40).astype(np.uint64)
+        near.append(base ^ flips)
+    fps = np.unique(np.concatenate(near))
+    table = spark.createDataFrame([(int(f),) for f in fps.view(np.int64)], "fp long")
+    edges = [(np.int64(r["a"]).view(np.uint64), np.int64(r["b"]).view(np.uint64)) for r in simhash_index.link_fingerprints(table, max_bits).collect()]
+    assert _components(fps, edges) == _brute_components(fps, max_bits)
+
+
+def test_simhash_long_lists_are_tiled(spark, monkeypatch):
+    """Fingerprints that share four bytes lie in the same lists; with short tiles each list is split."""
+    monkeypatch.setattr(simhash_index, "LONG", 16)
+    draw = np.random.default_rng(6)
+    fps = np.unique(draw.integers(0, 1 << 16, 300).astype(np.uint64))
+    table = spark.createDataFrame([(int(f),) for f in fps], "fp long").repartition(3)
+    edges = [(r["a"], r["b"]) for r in simhash_index.link_fingerprints(table, 1).collect()]
+    assert _components(fps, edges) == _brute_components(fps, 1)
+
+
+def test_simhash_counts_drop_pairs():
+    """The count filter drops pairs before their bits are compared."""
+    fps = np.array([0x0000000000AABBCC, 0x0102030405AABBCC, 0x0102030406AABBCC], np.uint64)
+    a, b, count = simhash_index._tally(np.zeros(3, np.int64), fps, np.tile(np.arange(3, 8), (3, 1)))
+    assert list(zip(a, b, count)) == [(1, 2, 4)]  # the first shares three bytes only and meets no other
+    fps[0] = 0x0000000005AABBCC
+    a, b, count = simhash_index._tally(np.zeros(3, np.int64), fps, np.tile(np.arange(3, 8), (3, 1)))
+    assert list(zip(a, b, count)) == [(0, 1, 1), (1, 2, 4)] and (count + 3 >= 5).tolist() == [False, True]
 
 
 def test_packing(docs, rows, empty):

@@ -8,8 +8,8 @@ two different texts ever meet, the texts of that digest get distinct suffixes, s
 fingerprints always mean equal canonical texts.
 
 Rows. Null text is empty. A null ``doc_id`` comes after all others, as the smallest id. Rows that
-share an id follow each other by a hash of their text. A single row is its own next document.
-Other columns are ignored.
+share an id follow each other by a hash of their text. A single row is its own next document. A very long text is one
+value, as in the table. An empty table gives an empty one. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 #: Text that one task should sort, in code points.
 RANGE_CHARS = 2_000_000
-#: Most ranges that documents are dealt to; their edges are literals of the plan.
-RANGES = 4096
+#: Quantiles that one aggregate finds; with more ranges each of these is cut again.
+QUANTILES = 1000
 
 
 def canonical(text: Column) -> Column:
@@ -52,41 +52,55 @@ def resolve(rows: DataFrame, clashes: DataFrame, column: str) -> DataFrame:
         column, F.when(F.col("clash_nth") > 1, F.concat(column, F.lit("-"), F.col("clash_nth").cast("string"))).otherwise(F.col(column))).drop("clash_print", "clash_canon", "clash_nth")
 
 
-def _edges_below(edges: list[int], value: Column) -> Column:
-    """How many of the sorted ``edges`` lie below ``value``: first among every n-th one, then among the n after it."""
+def _edges_below(edges: list[float], value: Column) -> Column:
+    """How many of the sorted ``edges`` are at most ``value``, by halving; the plan holds them as one folded array."""
     if not edges:
         return F.lit(0)
-    step = max(1, round(len(edges) ** 0.5))
-    below = lambda xs: F.coalesce(F.size(F.filter(xs, lambda e: e < value)), F.lit(0))
-    table = F.array(*map(F.lit, edges)).cast("array<bigint>")
-    coarse = F.greatest(below(F.array(*map(F.lit, edges[::step])).cast("array<bigint>")) - 1, F.lit(0)) * step
-    return F.when(value.isNull(), 0).otherwise(coarse + below(F.slice(table, coarse + 1, F.lit(step))))
+    table = F.split(F.lit(",".join(map(repr, edges))), ",").cast("array<double>")
+    middle = lambda acc: F.floor((acc["low"] + acc["high"]) / 2).cast("int")
+    above = lambda acc: F.element_at(table, middle(acc) + 1) > value
+    step = lambda acc, _: F.when(acc["low"] >= acc["high"], acc).otherwise(
+        F.struct(F.when(above(acc), acc["low"]).otherwise(middle(acc) + 1).alias("low"), F.when(above(acc), middle(acc)).otherwise(acc["high"]).alias("high")))
+    whole = F.struct(F.lit(0).alias("low"), F.lit(len(edges)).alias("high"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(len(edges).bit_length())), whole, step, lambda acc: acc["low"])
+
+
+def _range_edges(keys: DataFrame, ranges: int) -> list[float]:
+    """Edges of about ``ranges`` even ranges of ``keys(order_key)``, from quantiles and quantiles inside them."""
+    quantiles = lambda n: F.percentile_approx("order_key", [i / n for i in range(1, n)], 10 * n)
+    coarse = min(ranges, QUANTILES)
+    if coarse < 2:
+        return []
+    edges = sorted(set(keys.agg(quantiles(coarse)).first()[0] or []))
+    if (fine := -(-ranges // coarse)) > 1:
+        inside = keys.withColumn("range", _edges_below(edges, F.col("order_key"))).groupBy("range").agg(quantiles(fine).alias("edges"))
+        edges = sorted({*edges, *(e for r in inside.select("edges").collect() for e in r["edges"])})  # 8 bytes a range
+    return edges
 
 
 def with_next(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, text, next_text): the next document by falling id, the first after the last.
 
-    Ids are dealt to ranges by approximate quantiles. Each range also gets the first document of the
-    range after it, so a window over the range sees every next text and the texts move once.
+    Rows are dealt by approximate quantiles of (id, hash of the text) to ranges of about ``RANGE_CHARS`` code
+    points, however many those are, so rows that share an id, or have none, are spread as well. Each range also gets
+    the first document of the range after it, so a window over the range sees every next text and the texts move once.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     # a null id sorts below every other
     rows = rows.withColumn("place", F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", F.xxhash64("text").alias("tie")))
+    # never falls where the place rises: rounding keeps the order
+    part = F.col("place.tie").cast("double") / float(1 << 64) + 0.5
+    rows = rows.withColumn("order_key", F.when(F.col("place.known"), F.col("doc_id").cast("double") + part).otherwise((part - 2.0) * 1e19))
     chars, = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
-    ranges = max(1, min(RANGES, -(-chars // RANGE_CHARS)))
-    edges = []
-    if ranges > 1:
-        shares = [i / ranges for i in range(1, ranges)]
-        edges = sorted(set(rows.agg(F.percentile_approx("doc_id", shares, 10 * ranges)).first()[0] or []))
-    dealt = rows.withColumn("range", _edges_below(edges, F.col("doc_id")))
-    firsts = dealt.groupBy("range").agg(F.max("place").alias("place")).orderBy(F.desc("range")).collect()
-    if not firsts:
-        return rows.select("doc_id", "text", F.col("text").alias("next_text"))
-    # the first document of a range also closes the range before it; the first of all closes the last
-    closes = {r["range"]: firsts[i - 1]["range"] for i, r in enumerate(firsts)}
-    closing = F.create_map(*(F.lit(x) for pair in closes.items() for x in pair))
-    starts = F.create_map(*(x for r in firsts for x in (F.lit(r["range"]), F.struct(F.lit(r["place"]["known"]).alias("known"), F.lit(r["place"]["doc_id"]).cast("long").alias("doc_id"), F.lit(r["place"]["tie"]).alias("tie")))))
-    heads = dealt.where(F.col("place") == starts[F.col("range")]).dropDuplicates(["place"]).select(closing[F.col("range")].alias("range"), F.lit(1).alias("copy"), "place", "doc_id", "text")
+    edges = _range_edges(rows.select("order_key"), -(-chars // RANGE_CHARS))
+    dealt = rows.withColumn("range", _edges_below(edges, F.col("order_key"))).select("range", "place", "doc_id", "text")
+    # the first document of a range also closes the range before it; the first of all closes the last. One short row for each range
+    firsts = dealt.groupBy("range").agg(F.max("place").alias("first_place"))
+    order = Window.orderBy(F.desc("range"))
+    wraps = F.last("range").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    firsts = firsts.select("range", "first_place", F.coalesce(F.lag("range").over(order), wraps).alias("closes"))
+    heads = dealt.join(firsts, "range").where(F.col("place") == F.col("first_place")).groupBy("range", "closes").agg(F.first("place").alias("place"), F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
+    heads = heads.select(F.col("closes").alias("range"), F.lit(1).alias("copy"), "place", "doc_id", "text")
     window = Window.partitionBy("range").orderBy("copy", F.desc("place"))
     both = dealt.select("range", F.lit(0).alias("copy"), "place", "doc_id", "text").unionByName(heads)
     return both.withColumn("next_text", F.lead("text").over(window)).where("copy = 0").select("doc_id", "text", "next_text")

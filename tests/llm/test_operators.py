@@ -1,6 +1,7 @@
 """The ten operators against brute force on small tables with nulls, empty texts, ties and repeated rows."""
 
 import hashlib
+import zlib
 from collections import Counter
 from pathlib import Path
 
@@ -218,8 +219,40 @@ def test_sharding(docs, rows, empty):
         assert own == list(range(len(own)))
     assert vector_sharding.assign_shards(empty).count() == 0
     weights = np.random.default_rng(2).integers(1, 100, (3000, 3))
-    load = np.bincount(vector_sharding.place(weights, 8), weights[:, 0], 8)
-    assert load.max() / load.mean() < 1.01
+    lots = vector_sharding.place(weights, np.ones(3000), weights.sum(axis=0), 8)
+    for dimension in range(3):
+        load = np.bincount([x[0][1] for x in lots], weights[:, dimension], 8)
+        assert load.max() / load.mean() < 1.02
+    # classes: every rank has a shard, and lots are small beside a shard
+    lots = vector_sharding.place(np.array([[10, 2, 1], [5, 1, 1]]), np.array([50_000, 7]), np.array([500_035, 100_007, 50_007]), 8)
+    assert lots[0][0][0] == 0 and [len(x) for x in lots][1] == 1 and len(lots[0]) >= 8 * 500
+
+
+def test_sharding_of_documents(spark):
+    """The contract on given documents: near-equal bytes, rows and words balanced beside them, equal texts together."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    text = {r["doc_id"]: r["text"] or "" for r in rows}
+    found = vector_sharding.assign_shards(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()
+    assert sorted(r["doc_id"] for r in found) == sorted(text) and {r["shard"] for r in found} == set(range(8))
+    load, count, words, slots, group = Counter(), Counter(), Counter(), {}, {}
+    for r in found:
+        t = text[r["doc_id"]]
+        assert r["size"] == len(t.encode()) + 1 and r["text_crc32"] == zlib.crc32(t.encode()) and r["law"] == "bytes" and r["grown_shard"] is None
+        assert group.setdefault(t, r["shard"]) == r["shard"]
+        load[r["shard"]] += r["size"]
+        count[r["shard"]] += 1
+        words[r["shard"]] += len(t.encode().split())
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+    assert max(load.values()) <= 1.01 * min(load.values()) and max(count.values()) <= 1.1 * min(count.values()) and max(words.values()) <= 1.05 * min(words.values())
+
+
+def test_a_group_larger_than_a_shard_is_split(spark):
+    some = [(i, "the same text again") for i in range(600)] + [(None, f"text {i}") for i in range(400)]
+    load = Counter()
+    for r in vector_sharding.assign_shards(spark.createDataFrame(some, "doc_id long, text string")).collect():
+        load[r["shard"]] += r["size"]
+    assert len(load) == 8 and max(load.values()) <= 1.1 * min(load.values())
 
 
 def test_fingerprints(docs, rows, empty):

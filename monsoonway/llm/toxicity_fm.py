@@ -4,17 +4,24 @@ Terms are the distinct words of a text and the first letters of longer words (``
 ``BUCKETS`` numbers. Beside a weight each term has ``FACTORS`` latent factors, so a pair of terms adds
 the product of theirs (Rendle 2010): an insult beside the mention of a group can score more than both alone.
 
-The classifier is fitted on the driver from at most about ``TRAIN_ROWS`` labelled rows, chosen by a hash, and
-from the ``KEPT`` hashed terms that chi-square ties most to the label in them; both bounds hold its size.
+Every hashed term of the fitted rows takes part. The values of terms shrink by evidence and none is left out: linear
+values by how far the term's documents depart from the label's rate, factor values by how many documents have
+the term. So a mention that says nothing by itself still enters its pairs with full value. Both sums are
+divided by the size of the text's values, so long texts do not saturate.
+
+The classifier is fitted on the driver from at most about ``TRAIN_ROWS`` labelled rows, chosen by a hash; its size is
+bounded by ``BUCKETS``.
 
 Rows. Null and empty texts have no term and get the score of the bias. Labelled rows that are null
 in id or label, or that name no document, teach nothing; a document with several labels counts as toxic if one
-says so. Without any labels every score is 0. Other columns are not read.
+says so. Without any labels every score is 0. A very long text counts by its distinct words; an empty table gives an empty one.
+Other columns are not read.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -23,16 +30,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._runtime import bounded_sample, crc_remainder
+from ._runtime import bounded_sample, crc_remainder, in_slices, worker_slot
 
 BUCKETS = 1 << 20
 PREFIXES = (4, 5)
-KEPT = 4096
 FACTORS = 4
 TRAIN_ROWS = 20_000
-#: A hashed term that fewer training rows have is not used.
-LEAST = 4
-EPOCHS = 24
+#: Evidence at which a linear value is half its most, and documents at which a factor value is.
+EVIDENCE, DOCUMENTS = 30.0, 30.0
+#: What the linear sum of a text can reach for a weight of 1 in each of its terms.
+LINEAR = 3.0
+EPOCHS, STEP = 8, 0.15
+SHRINK_WEIGHT, SHRINK_FACTOR = 2e-3, 1e-2
 THRESHOLD = 0.3
 REMEMBERED = 300_000
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -44,15 +53,16 @@ def hashed(word: str) -> list[int]:
 
 
 class Terms(dict):
-    """Words to the positions of their terms among the chosen ones, 16 bits each, remembered; 0 stands for none."""
+    """Words to the positions of their terms among the known ones, 21 bits each, remembered; 0 stands for none."""
 
-    def __init__(self, chosen: np.ndarray) -> None:
-        self.position = {int(t): i + 1 for i, t in enumerate(chosen)}
+    def __init__(self, known: np.ndarray) -> None:
+        self.position = np.zeros(BUCKETS, np.int64)
+        self.position[known] = np.arange(1, len(known) + 1)
 
     def __missing__(self, word: str) -> int:
         at = 0
         for t in hashed(word):
-            at = at << 16 | self.position.get(t, 0)
+            at = at << 21 | int(self.position[t])
         self[word] = at
         return at
 
@@ -62,7 +72,7 @@ class Terms(dict):
             self.clear()
         packed = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         packed = packed[packed > 0]
-        found = np.unique(np.concatenate([packed & 0xFFFF, packed >> 16 & 0xFFFF, packed >> 32]))
+        found = np.unique(np.concatenate([packed & 0x1FFFFF, packed >> 21 & 0x1FFFFF, packed >> 42]))
         return found[found > 0] - 1
 
 
@@ -79,24 +89,32 @@ def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
                 yield pa.record_batch([pa.array(term, pa.int64()), pa.array(np.full(len(term), toxic), pa.int32()), pa.array(n, pa.int64())], ["term", "toxic", "n"])
 
 
-def _vectors(chosen: np.ndarray):
+def _vectors(known: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = Terms(chosen)
-        for batch in batches:
+        terms = Terms(known)
+        for batch in in_slices(batches, 0):
             yield pa.record_batch([pa.array([terms.of(t).astype(np.int32) for t in batch.column(0).to_pylist()], pa.list_(pa.int32())), batch.column(1)], ["terms", "toxic"])
 
     return run
 
 
 class Machine:
-    """A fitted factorization machine over ``chosen`` hashed terms."""
+    """A factorization machine over ``known`` hashed terms, with the values of each term in the linear and the paired sum."""
+
+    def __init__(self, known: np.ndarray, linear: np.ndarray, paired: np.ndarray, bias: float) -> None:
+        self.known, self.linear, self.paired, self.bias = known, linear.astype(np.float32), paired.astype(np.float32), bias
+        self.weight = np.zeros(len(known), np.float32)
+        self.factors = np.random.default_rng(7).normal(0, 0.02, (len(known), FACTORS)).astype(np.float32)
 
-    def __init__(self, chosen: np.ndarray, bias: float, weight: np.ndarray, factors: np.ndarray) -> None:
-        self.chosen, self.bias, self.weight, self.factors = chosen, bias, weight, factors
+    def values(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values of a text's terms, divided by their size in the text."""
+        x, z = self.linear[terms].astype(float), self.paired[terms].astype(float)
+        return x * (LINEAR / np.sqrt((x * x).sum() + 1)), z / np.sqrt((z * z).sum() + 1e-9)
 
     def margin(self, terms: np.ndarray) -> float:
-        v = self.factors[terms]
-        return float(self.bias + self.weight[terms].sum() + 0.5 * ((v.sum(axis=0) ** 2).sum() - (v**2).sum()))
+        x, z = self.values(terms)
+        v = self.factors[terms] * z[:, None]
+        return float(self.bias + self.weight[terms] @ x + 0.5 * ((v.sum(axis=0) ** 2).sum() - (v**2).sum()))
 
     def score(self, terms: np.ndarray) -> float:
         if self.bias == -np.inf:  # fitted without labels
@@ -104,61 +122,58 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(self.margin(terms), -30, 30))))
 
 
-def fit(rows: list[np.ndarray], toxic: np.ndarray, chosen: np.ndarray, epochs: int = EPOCHS) -> Machine:
-    """Logistic loss, AdaGrad, a fixed order of rows."""
-    draw = np.random.default_rng(7)
-    m = len(chosen)
-    w, v = np.zeros(m), draw.normal(0, 0.02, (m, FACTORS))
+def fit(rows: list[np.ndarray], toxic: np.ndarray, known: np.ndarray, hit: np.ndarray, miss: np.ndarray, epochs: int = EPOCHS) -> Machine:
+    """Logistic loss, AdaGrad over the terms of one row at a time, a fixed order of rows; ``hit`` and ``miss`` documents of each label have a term."""
     rate = float(np.clip(toxic.mean(), 1e-4, 1 - 1e-4))
-    bias = float(np.log(rate / (1 - rate)))
-    gw, gv, gb = np.full(m, 1e-6), np.full((m, FACTORS), 1e-6), 1e-6
+    seen = hit + miss
+    departs = (hit - seen * rate) ** 2 / (seen * rate * (1 - rate) + 0.5)
+    machine = Machine(known, departs / (departs + EVIDENCE), seen / (seen + DOCUMENTS), float(np.log(rate / (1 - rate))))
+    draw, (w, v) = np.random.default_rng(7), (machine.weight, machine.factors)
+    values = [machine.values(t) for t in rows]
+    gw, gv, gb = np.full(len(known), 1e-2), np.full((len(known), FACTORS), 1e-2), 1e-6
     for epoch in range(epochs):
-        step = 0.15 / (1 + 0.1 * epoch)
+        step = STEP / (1 + 0.1 * epoch)
         for r in draw.permutation(len(rows)):
-            t = rows[r]
-            vt = v[t]
+            t, (x, z) = rows[r], values[r]
+            vt = v[t] * z[:, None]
             total = vt.sum(axis=0)
-            margin = bias + w[t].sum() + 0.5 * ((total**2).sum() - (vt**2).sum())
-            miss = 1 / (1 + np.exp(-np.clip(margin, -30, 30))) - toxic[r]
-            gb += miss * miss
-            bias -= step * 0.2 * miss / np.sqrt(gb)
-            if not len(t) or abs(miss) < 1e-3:
+            margin = machine.bias + w[t] @ x + 0.5 * ((total**2).sum() - (vt**2).sum())
+            off = 1 / (1 + np.exp(-np.clip(margin, -30, 30))) - toxic[r]
+            gb += off * off
+            machine.bias -= step * 0.2 * off / np.sqrt(gb)
+            if not len(t) or abs(off) < 1e-3:
                 continue
-            d = miss + 2e-3 * w[t]
+            d = off * x
             gw[t] += d * d
-            w[t] -= step * d / np.sqrt(gw[t])
-            d = miss * (total - vt) + 1e-2 * vt
+            w[t] -= step * (d + SHRINK_WEIGHT * w[t] * x) / np.sqrt(gw[t])
+            d = off * z[:, None] * (total - vt) + SHRINK_FACTOR * vt
             gv[t] += d * d
             v[t] -= step * 0.3 * d / np.sqrt(gv[t])
-    return Machine(chosen, bias, w, v)
+    return machine
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, kept: int = KEPT) -> Machine:
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine:
     """A machine fitted on ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("label_doc")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     known = bounded_sample(known, "label_doc", rows, "toxicity")
     # at most about ``rows`` short rows: their size is bounded
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), F.col("doc_id") == F.col("label_doc")).select("text", "toxic")
-    counts = sample.mapInArrow(_document_counts, "term long, toxic int, n long").groupBy("term").agg(
-        F.coalesce(F.sum(F.when(F.col("toxic") == 1, F.col("n"))), F.lit(0)).alias("hit"), F.coalesce(F.sum(F.when(F.col("toxic") == 0, F.col("n"))), F.lit(0)).alias("miss"))
-    whole = counts.where("term = -1").first()
-    if whole is None:
-        return Machine(np.zeros(0, np.int64), -np.inf, np.zeros(0), np.zeros((0, FACTORS)))
-    pos, neg = max(int(whole["hit"]), 1), max(int(whole["miss"]), 1)
-    n, a, b = F.lit(float(pos + neg)), F.col("hit").cast("double"), F.col("miss").cast("double")
-    chi = n * F.pow(a * neg - b * pos, 2) / ((a + b) * (n - a - b + 1) * pos * neg)
-    top = counts.where((F.col("term") >= 0) & (F.col("hit") + F.col("miss") >= LEAST)).select("term", chi.alias("chi")).orderBy(F.desc("chi"), "term").limit(kept)
-    chosen = np.sort(np.array([r["term"] for r in top.collect()], np.int64))
-    got = sample.mapInArrow(_vectors(chosen), "terms array<int>, toxic int").toPandas()
+    of = lambda label: F.coalesce(F.sum(F.when(F.col("toxic") == label, F.col("n"))), F.lit(0))
+    counts = sample.mapInArrow(_document_counts, "term long, toxic int, n long").groupBy("term").agg(of(1).alias("hit"), of(0).alias("miss")).toPandas().sort_values("term")  # BUCKETS rows at most
+    if counts.empty:
+        return Machine(np.zeros(0, np.int64), np.zeros(0), np.zeros(0), -np.inf)
+    counts = counts[counts["term"] >= 0]
+    terms = counts["term"].to_numpy(np.int64)
+    got = sample.mapInArrow(_vectors(terms), "terms array<int>, toxic int").toPandas()
     order = got.assign(key=[zlib.crc32(np.asarray(t, np.int32).tobytes()) for t in got["terms"]]).sort_values(["key", "toxic"], kind="stable")
-    return fit([np.asarray(t, np.int64) for t in order["terms"]], order["toxic"].to_numpy(float), chosen)
+    return fit([np.asarray(t, np.int64) for t in order["terms"]], order["toxic"].to_numpy(float), terms, counts["hit"].to_numpy(float), counts["miss"].to_numpy(float))
 
 
-def _score(held):
+def _score(held, token: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = held.value
-        terms = Terms(machine.chosen)
-        for batch in batches:
+        # later tasks of this worker find the machine, and the words that earlier ones met
+        machine, terms = worker_slot(f"toxicity {token}", lambda: (held.value, Terms(held.value.known)))
+        for batch in in_slices(batches, "text"):
             found = np.array([machine.score(terms.of(t)) for t in batch.column(batch.num_columns - 1).to_pylist()], float)
             yield pa.record_batch([*batch.columns[:-1], pa.array(found, pa.float64())], [*batch.schema.names[:-1], "score"])
 
@@ -169,7 +184,7 @@ def score(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> Da
     """Rows (doc_id, held_out, score, predicted) for every row of ``docs``; only text decides."""
     held = docs.sparkSession.sparkContext.broadcast(machine)
     marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(crc_remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "text")
-    return marked.mapInArrow(_score(held), "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return marked.mapInArrow(_score(held, uuid.uuid4().hex), "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def rate_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -207,10 +207,31 @@ def test_toxicity(spark, docs, empty):
 def test_factorization_learns_an_interaction():
     x = [np.array(t) for t in ([0], [1], [0, 1], [2])] * 100
     y = np.array([0, 0, 1, 0] * 100, float)
-    machine = toxicity_fm.fit(x, y, np.arange(3), epochs=60)
+    machine = toxicity_fm.fit(x, y, np.arange(3), np.array([100.0, 100, 0]), np.array([100.0, 100, 100]), epochs=60)
     assert machine.score(np.array([0, 1])) > 0.5 > max(machine.score(np.array([0])), machine.score(np.array([1])))
 
 
+def test_training_keeps_terms_that_matter_in_pairs_only(spark):
+    """Two words, each as frequent in clean as in toxic texts: only their meeting, or its absence, is toxic."""
+    texts = ["", "insult", "group", "insult group"]
+    some = [(i, f"{texts[i % 4]} filler{i % 11}") for i in range(1600)]
+    labels = spark.createDataFrame([(i, int(i % 4 in (0, 3))) for i in range(1600)], "doc_id long, toxic int")
+    machine = toxicity_fm.train(spark.createDataFrame(some, "doc_id long, text string"), labels)
+    terms = toxicity_fm.Terms(machine.known)
+    for word in ("insult", "group"):
+        assert len(terms.of(word)) >= 1 and machine.linear[terms.of(word)].max() < 0.05 and machine.paired[terms.of(word)].min() > 0.9
+
+
+def test_held_out_toxicity(spark):
+    """Most toxic documents that were held out are found, and few others."""
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    found = toxicity_fm.rate_toxicity(spark.read.parquet(f"{sf}/documents.parquet"), labels).join(labels, "doc_id").where("held_out").select("toxic", "predicted").collect()
+    hit = [r["predicted"] for r in found if r["toxic"] == 1]
+    other = [r["predicted"] for r in found if r["toxic"] == 0]
+    assert sum(hit) >= 0.85 * len(hit) and sum(other) <= 0.02 * len(other)
+
+
 def test_sharding(docs, rows, empty):
     found = vector_sharding.assign_shards(docs).collect()
     assert len(found) == len(rows)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -90,10 +91,29 @@ def in_slices(batches: Iterator[pa.RecordBatch], column: int | str, most: int =
             yield batch.slice(at)
 
 
+_WRITTEN: list[str] = []
+
+
 def through_parquet(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back, as each stage of a pipeline does."""
     spark = df.sparkSession
     use_shared_checkpoints(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def sweep(docs: DataFrame) -> None:
+    """Remove tables of ``through_parquet`` that ``docs`` does not read, and files of shuffles that nothing refers to any more.
+
+    For the start of a pipeline's stage: what earlier stages returned has been written by then.
+    """
+    jvm, conf = docs.sparkSession._jvm, docs.sparkSession._jsc.hadoopConfiguration()
+    read = docs.inputFiles()
+    for path in [p for p in _WRITTEN if not any(f"/{p.rpartition('/')[2]}/" in f for f in read)]:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+        _WRITTEN.remove(path)
+    gc.collect()
+    jvm.System.gc()

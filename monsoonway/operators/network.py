@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import heapq
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -50,21 +53,95 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return labels
 
 
-def shortest_costs(origins: DataFrame, edges: DataFrame) -> DataFrame:
-    """Rows (origin, node, cost) of all nodes each origin reaches over undirected edges (a, b, w >= 0).
-
-    All origins relax together: a round extends only the costs that the last one improved, and the table
-    is keyed by (origin, node), so origins spread over the cluster.
+#: Links of one graph that a task can hold; larger graphs are relaxed as tables.
+HELD_LINKS = 2_000_000
+#: Origins that one task starts from, and keys of graphs.
+ORIGINS = 4
+
+
+def _dijkstra(start: np.ndarray, to: np.ndarray, w: np.ndarray, origin: int) -> np.ndarray:
+    """Costs from node ``origin`` over links grouped by their first node: those of node i lie at start[i] to start[i + 1]."""
+    cost = np.full(len(start) - 1, np.inf)
+    cost[origin] = 0.0
+    queue = [(0.0, origin)]
+    while queue:
+        far, node = heapq.heappop(queue)
+        if far > cost[node]:
+            continue
+        span = slice(start[node], start[node + 1])
+        reached, sums = to[span], far + w[span]
+        better = sums < cost[reached]
+        for n, c in zip(reached[better].tolist(), sums[better].tolist()):
+            if c < cost[n]:
+                cost[n] = c
+                heapq.heappush(queue, (c, n))
+    return cost
+
+
+def _costs_of_graph(keys: list[str], origins: np.ndarray):
+    """Costs of one graph's links from every ``origins[part::parts]``; the table holds one value of the keys and of part."""
+
+    def run(table: pa.Table) -> pa.Table:
+        a, b, w = (table.column(c).to_numpy() for c in ("a", "b", "w"))
+        part, parts = table.column("part")[0].as_py(), table.column("parts")[0].as_py()
+        own = origins[part::parts]
+        nodes = np.unique(np.concatenate([a, b, own]))
+        a, b = np.searchsorted(nodes, np.concatenate([a, b])), np.searchsorted(nodes, np.concatenate([b, a]))
+        order = np.argsort(a, kind="stable")
+        start = np.searchsorted(a[order], np.arange(len(nodes) + 1))
+        to, cost = b[order], np.concatenate([w, w])[order]
+        out = []
+        for o in own.tolist():
+            found = _dijkstra(start, to, cost, int(np.searchsorted(nodes, o)))
+            reached = np.flatnonzero(np.isfinite(found))
+            out.append((np.full(len(reached), o), nodes[reached], found[reached]))
+        o, n, c = map(np.concatenate, zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        same = [pa.array([table.column(k)[0].as_py()] * len(o), table.schema.field(k).type) for k in keys]
+        return pa.table([*same, pa.array(o, pa.int64()), pa.array(n, pa.int64()), pa.array(c, pa.float64())], names=[*keys, "origin", "node", "cost"])
+
+    return run
+
+
+def graph_costs(origins: list[int], edges: DataFrame, keys: list[str], held: int = HELD_LINKS) -> DataFrame:
+    """Rows (keys, origin, node, cost) over the graphs of undirected ``edges(keys, a, b, w >= 0)``, one for each value of ``keys``.
+
+    A task reads the links of one graph and walks it from ``ORIGINS`` origins by Dijkstra's method. Graphs of more than ``held`` links, whose size is
+    checked first, are relaxed as tables instead.
     """
-    both = checkpointed(edges.select("a", "b", "w").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")).groupBy("a", "b").agg(F.min("w").alias("w")))
-    best = checkpointed(origins.select("origin", F.col("origin").alias("node"), F.lit(0.0).alias("cost"), F.lit(True).alias("fresh")))
+    own = np.unique(np.array(origins, np.int64))
+    merged = checkpointed(edges.groupBy(*keys, F.least("a", "b").cast("long").alias("a"), F.greatest("a", "b").cast("long").alias("b")).agg(F.min("w").cast("double").alias("w")))
+    most = merged.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if most > held:
+        return _relaxed(own, merged, keys)
+    parts = max(1, -(-len(own) // ORIGINS))
+    dealt = merged.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("parts", F.lit(parts))
+    kinds = "".join(f"`{k}` {merged.schema[k].dataType.simpleString()}, " for k in keys)
+    return dealt.groupBy(*keys, "part").applyInArrow(_costs_of_graph(keys, own), f"{kinds}origin long, node long, cost double")
+
+
+def _relaxed(origins: np.ndarray, links: DataFrame, keys: list[str]) -> DataFrame:
+    """All origins relax together: a round extends only the costs that the last one improved, keyed by (keys, origin, node)."""
+    spark = links.sparkSession
+    both = checkpointed(links.unionByName(links.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"), "w")))
+    first = spark.createDataFrame([(int(o),) for o in origins], "origin long")
+    # as many rows as graphs times origins
+    start = first if not keys else links.select(*keys).distinct().join(first)
+    best = checkpointed(start.select(*keys, "origin", F.col("origin").alias("node"), F.lit(0.0).alias("cost"), F.lit(True).alias("fresh")))
     while True:
-        reach = best.where("fresh").join(both, F.col("node") == F.col("a")).select("origin", F.col("b").alias("node"), (F.col("cost") + F.col("w")).alias("cost"))
-        merged = best.select("origin", "node", F.col("cost").alias("old"), F.lit(None).cast("double").alias("new")).unionByName(
-            reach.select("origin", "node", F.lit(None).cast("double").alias("old"), F.col("cost").alias("new"))).groupBy("origin", "node").agg(F.min("old").alias("old"), F.min("new").alias("new"))
-        best = checkpointed(merged.select("origin", "node", F.least("old", "new").alias("cost"), (F.col("new").isNotNull() & (F.col("old").isNull() | (F.col("new") < F.col("old")))).alias("fresh")))
+        reach = best.where("fresh").withColumnRenamed("node", "a").drop("fresh").join(both, [*keys, "a"]).select(*keys, "origin", F.col("b").alias("node"), (F.col("cost") + F.col("w")).alias("new"))
+        none = F.lit(None).cast("double")
+        merged = best.select(*keys, "origin", "node", F.col("cost").alias("old"), none.alias("new")).unionByName(reach.select(*keys, "origin", "node", none.alias("old"), "new"))
+        merged = merged.groupBy(*keys, "origin", "node").agg(F.min("old").alias("old"), F.min("new").alias("new"))
+        best = checkpointed(merged.select(*keys, "origin", "node", F.least("old", "new").alias("cost"), (F.col("new").isNotNull() & (F.col("old").isNull() | (F.col("new") < F.col("old")))).alias("fresh")))
         if best.where("fresh").isEmpty():
-            return best.select("origin", "node", "cost")
+            return best.select(*keys, "origin", "node", "cost")
+
+
+def shortest_costs(origins: DataFrame, edges: DataFrame) -> DataFrame:
+    """Rows (origin, node, cost) of all nodes each origin reaches over undirected edges (a, b, w >= 0), itself included; origins are few."""
+    start = origins.select(F.col("origin").cast("long").alias("origin")).distinct()
+    found = graph_costs([r["origin"] for r in start.collect()], edges, [])
+    return found.unionByName(start.select("origin", F.col("origin").alias("node"), F.lit(0.0).alias("cost"))).groupBy("origin", "node").agg(F.min("cost").alias("cost"))
 
 
 def route_steps(trips: DataFrame, costs: DataFrame, edges: DataFrame) -> DataFrame:

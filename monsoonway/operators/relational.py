@@ -18,11 +18,20 @@ def with_rain_multiplier(rows: DataFrame, road_type: str, mm: str) -> DataFrame:
     return rows.join(F.broadcast(rules), hit, "left").drop("rule_type", "rule_min", "rule_max")
 
 
-def increments(rows: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
-    """First differences of an accumulating series in its window; a fall is a reset, whose value counts itself."""
-    before = F.lag(value).over(Window.partitionBy(*keys).orderBy(*order))
-    first = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) == 1
-    return rows.withColumn(name, F.when(first, F.col(value)).when(F.col(value) < before, F.col(value)).otherwise(F.col(value) - before))
+#: A fall of an accumulating series by more than this is a reset; a smaller one is noise.
+RESET_MM = 0.01
+
+
+def increments(rows: DataFrame, keys: list[str], order: list[str], value: str, name: str, scale: float = 1.0) -> DataFrame:
+    """First differences of an accumulating series in its window, its values times ``scale`` (1000 from metres to mm).
+
+    The first value counts itself, and so does one after a reset; a smaller fall counts 0. A null value, and the one after it, give null.
+    """
+    w = Window.partitionBy(*keys).orderBy(*order)
+    now = F.col(value) * scale
+    rise = now - F.lag(now).over(w)
+    step = F.when((F.row_number().over(w) == 1) | (rise < -RESET_MM), now).otherwise(F.when(rise.isNotNull(), F.greatest(rise, F.lit(0.0))))
+    return rows.withColumn(name, F.when(step < 0, 0.0).otherwise(step))
 
 
 def five_numbers(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -33,6 +42,14 @@ def five_numbers(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
         *keys, "n", "v_min", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"), "v_max", "v_mean")
 
 
+def five_numbers_of(counts: DataFrame, keys: list[str], value: str, n: str = "count") -> DataFrame:
+    """``five_numbers`` of a histogram: rows (keys, value, n) with few distinct values for each group; the mean is exact in millionths."""
+    quartiles = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col(n))
+    return counts.groupBy(*keys).agg(
+        F.sum(n).alias("n"), F.min(value).alias("v_min"), quartiles.alias("q"), F.max(value).alias("v_max"), F.round(F.sum((F.col(value) * F.col(n)).cast("decimal(38,6)")).cast("decimal(28,6)") / F.sum(n), 6).cast("double").alias("v_mean")).select(
+        *keys, "n", "v_min", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"), "v_max", "v_mean")
+
+
 def histogram(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Mergeable counts of each value: the union of two is merged by a sum."""
     return rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("count"))

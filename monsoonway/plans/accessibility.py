@@ -181,30 +181,16 @@ def knn_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.top_per_group(_near(_points(spark, sf_dir), "true"), ["origin"], [F.col("d2"), F.col("vec_id")], 3).select("origin", "rank", "vec_id", "d2")
 
 
-def knn_same_component(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.top_per_group(_near(_points(spark, sf_dir), "label = q_label"), ["origin"], [F.col("d2"), F.col("vec_id")], 1).select("origin", "vec_id", "d2")
-
-
 def _k_nearest(spark: SparkSession, sf_dir: str, k: int, which: str) -> DataFrame:
     p = _points(spark, sf_dir).withColumnRenamed("vec_id", "id")
     return G.k_nearest(p, p, KNN_REACH, k, which).select(F.col("id").alias("origin"), "rank", F.col("target").alias("vec_id"), F.round("d2", 6).alias("d2"))
 
 
-def knn_topk_uncapped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three nearest other points, however far; ``knn_topk`` sees bordering cells only."""
-    return _k_nearest(spark, sf_dir, 3, "true")
-
-
-def knn_same_component_uncapped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nearest other point of the same label, however far; ``knn_same_component`` ends at KNN_REACH."""
+def knn_same_component(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest other point of the same label, however far."""
     return _k_nearest(spark, sf_dir, 1, "label = r_label").drop("rank")
 
 
-def nearest_station_uncapped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nearest station, a point of label 0, however far; ``nearest_station`` ends at KNN_REACH."""
-    return _k_nearest(spark, sf_dir, 1, "r_label = 0").drop("rank")
-
-
 def ols_standardised(spark: SparkSession, sf_dir: str) -> DataFrame:
     fit = S.standardised_ols(Q._t(spark, sf_dir, "part").withColumn("key", F.col("p_partkey").cast("double")), ["p_type"], "p_retailprice", "p_size", "key")
     return fit.select("p_type", "n", *(Q._r(c, 5) for c in ("beta1", "beta2", "r_squared")))
@@ -279,8 +265,8 @@ def grid_meta_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nearest_station(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nearest station, a point of label 0, in reach of each point."""
-    return R.top_per_group(_near(_points(spark, sf_dir), "label = 0"), ["origin"], [F.col("d2"), F.col("vec_id")], 1).select("origin", "vec_id", "d2")
+    """The nearest station, a point of label 0, however far."""
+    return _k_nearest(spark, sf_dir, 1, "r_label = 0").drop("rank")
 
 
 def node_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -330,8 +316,7 @@ QUERIES = {f.__name__: f for f in (
     access_weekly_summary, access_country_crop, cells_damage, annual_points, annual_points_weighted, annual_points_by_dest, damage_matrix, bubble_timeline, clean_share, diagnostic_weeks, contrast_weeks, max_case,
     rain_summary, surface_mix, scope_mask_counts, cell_overlay, od_union, distinct_on_longest, weeks_missing, multiscale_expand, point_in_polygon, knn_capped, knn_same_component, ols_standardised, linear_fit, edge_usage,
     reachability, mst_links, week_stats_json, schema_fill, catalog_status, case_dedupe, bootstrap_ci, kmeans_clusters, stream_weekly_counts, calendar_weeks,
-    grid_meta_lag, nearest_station, node_stability, od_route_change, crop_change_summary, surface_penalty, graph_nodes, connected_rank,
-    knn_topk_uncapped, knn_same_component_uncapped, nearest_station_uncapped)}
+    grid_meta_lag, nearest_station, node_stability, od_route_change, crop_change_summary, surface_penalty, graph_nodes, connected_rank)}
 
 _WEEK = Q._SQL_WEEK.replace("l_shipdate", "o_orderdate")
 _TRIPS = f"trips AS (SELECT c_nationkey, c_mktsegment, {_WEEK} AS week_start, o_totalprice / 10000 AS v FROM orders JOIN customer ON o_custkey = c_custkey)"
@@ -386,7 +371,6 @@ ORACLE_SQL = {
     "multiscale_expand": "SELECT p_partkey, first_value(p_partkey) OVER c AS representative, first_value(p_retailprice) OVER c AS value FROM part WINDOW c AS (PARTITION BY p_size, p_brand ORDER BY p_partkey)",
     "point_in_polygon": f"WITH {_POINTS} " + " UNION ALL ".join(f"SELECT vec_id, '{name}' AS area FROM p WHERE ({_crossings(corners)}) % 2 = 1" for name, corners in AREAS.items()),
     "knn_capped": _pairs("true", 3, "origin, rank, vec_id, d2"),
-    "knn_same_component": _pairs("p.label = q.label", 1, "origin, vec_id, d2"),
     "ols_standardised": "WITH r AS (SELECT p_type, count(*) AS n, corr(p_retailprice, p_size) AS r1, corr(p_retailprice, p_partkey) AS r2, corr(p_size, p_partkey) AS r12 FROM part GROUP BY ALL), b AS (SELECT *, (r1 - r2 * r12) / (1 - r12 * r12) AS b1, (r2 - r1 * r12) / (1 - r12 * r12) AS b2 FROM r) SELECT p_type, n, round(b1, 5) + 0.0 AS beta1, round(b2, 5) + 0.0 AS beta2, round(b1 * r1 + b2 * r2, 5) + 0.0 AS r_squared FROM b",
     "linear_fit": "SELECT p_type, round(regr_slope(p_retailprice, p_size), 5) AS slope, round(regr_intercept(p_retailprice, p_size), 4) AS intercept, round(regr_r2(p_retailprice, p_size), 6) AS r2 FROM part GROUP BY ALL",
     "edge_usage": f"WITH {Q._STEPS} SELECT s, t, count(*) AS steps, count(DISTINCT l_orderkey) AS routes FROM p GROUP BY ALL",
@@ -398,10 +382,8 @@ ORACLE_SQL = {
     "stream_weekly_counts": f"SELECT {Q._SQL_EVENT_WEEK} AS week_start, event_type, count(*) AS n, round(sum(value), 4) AS value_sum FROM events GROUP BY ALL",
     "calendar_weeks": f"WITH e AS (SELECT min({Q._SQL_EVENT_WEEK}) AS a, max(CAST(ts AS date)) AS z FROM events), w AS (SELECT CAST(unnest(generate_series(a, z, INTERVAL 7 DAY)) AS date) AS week_start, z FROM e) SELECT week_start, least(week_start + 6, z) AS week_end FROM w",
     "grid_meta_lag": f"WITH {_POINTS}, l AS (SELECT DISTINCT round(floor(x / 0.25 + 0.5) * 0.25 + 0.0, 4) AS lon FROM p), g AS (SELECT lon, lon - lag(lon) OVER (ORDER BY lon) AS gap FROM l) SELECT min(lon) AS lon_min, max(lon) AS lon_max, round(min(gap), 4) AS step, count(*) AS columns FROM g",
-    "knn_topk_uncapped": _uncapped("true", 3, "origin, rank, vec_id"),
-    "knn_same_component_uncapped": _uncapped("p.label = q.label", 1, "origin, vec_id"),
-    "nearest_station_uncapped": _uncapped("p.label = 0", 1, "origin, vec_id"),
-    "nearest_station": _pairs("p.label = 0", 1, "origin, vec_id, d2"),
+    "knn_same_component": _uncapped("p.label = q.label", 1, "origin, vec_id"),
+    "nearest_station": _uncapped("p.label = 0", 1, "origin, vec_id"),
     "node_stability": "SELECT l_partkey, count(DISTINCT l_suppkey) AS nodes, min(l_suppkey) = max(l_suppkey) AS stable FROM lineitem GROUP BY ALL",
     "od_route_change": f"WITH {_ROUTES} SELECT l_orderkey, dry_route, wet_route, closed, changed FROM r",
     "crop_change_summary": f"WITH {_ROUTES} SELECT o_orderpriority, count(*) AS routes, count(*) FILTER (changed) AS changed, count(*) FILTER (wet_route IS NULL) AS cut_off, CAST(sum(closed) AS BIGINT) AS closed FROM r JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL",

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
+from ..operators import geometry as G
 from ..operators import network as N
 from ..operators import relational as R
 
@@ -48,9 +49,10 @@ def _scenarios(rows: DataFrame) -> DataFrame:
 
 
 def boxplot_stats_roads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _scenarios(_road_weeks(spark, sf_dir))
-    long = rows.select("week_start", "scenario", "effective", F.expr("stack(2, 'quantity', l_quantity, 'price', l_extendedprice) as (metric, v)"))
-    return R.five_numbers(long, ["week_start", "scenario", "effective", "metric"], "v").select("week_start", "scenario", "effective", "metric", "n", *map(_r, _FIVE))
+    """Values are counted before the scenarios fan out, so what travels grows with distinct values, not with roads."""
+    long = _road_weeks(spark, sf_dir).select("week_start", "surface", F.expr("stack(2, 'quantity', l_quantity, 'price', l_extendedprice) as (metric, v)"))
+    counts = _scenarios(R.histogram(long, ["week_start", "surface", "metric"], "v"))
+    return R.five_numbers_of(counts, ["week_start", "scenario", "effective", "metric"], "v").select("week_start", "scenario", "effective", "metric", "n", *map(_r, _FIVE))
 
 
 def boxplot_stats_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -237,13 +239,9 @@ def path_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three nearest of other points in the same or a bordering cell of 10 degrees."""
-    p = _t(spark, sf_dir, "embeddings").select("vec_id", (F.col("embedding")[0].cast("double") * 100).alias("x"), (F.col("embedding")[1].cast("double") * 100).alias("y"))
-    p = p.withColumn("cx", F.floor(F.col("x") / 10)).withColumn("cy", F.floor(F.col("y") / 10))
-    offsets = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    q = p.withColumn("o", F.explode(offsets)).select(F.col("vec_id").alias("origin"), F.col("x").alias("qx"), F.col("y").alias("qy"), (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"))
-    near = q.join(p, ["cx", "cy"]).where("origin <> vec_id").withColumn("d2", F.round((F.col("x") - F.col("qx")) ** 2 + (F.col("y") - F.col("qy")) ** 2, 6))
-    return R.top_per_group(near, ["origin"], [F.col("d2"), F.col("vec_id")], 3).select("origin", "rank", "vec_id", "d2")
+    """The three nearest other points, however far."""
+    p = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), (F.col("embedding")[0].cast("double") * 100).alias("x"), (F.col("embedding")[1].cast("double") * 100).alias("y"))
+    return G.k_nearest(p, p, 5.0, 3).select(F.col("id").alias("origin"), "rank", F.col("target").alias("vec_id"), F.round("d2", 6).alias("d2"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -258,7 +256,7 @@ _EDGES = _STEPS + """,
 e AS (SELECT least(s, t) AS a, greatest(s, t) AS b, min(w) AS w FROM p WHERE week = t_week GROUP BY ALL),
 b AS (SELECT a AS s, b AS t, w FROM e UNION ALL SELECT b, a, w FROM e)"""
 _COMPONENTS = f"WITH RECURSIVE {_EDGES}, r(node, c) USING KEY (node) AS (SELECT DISTINCT s, s FROM b UNION SELECT b.t, min(r.c) FROM r JOIN b ON b.s = r.node JOIN recurring.r old ON old.node = b.t WHERE r.c < old.c GROUP BY b.t)"
-_INCREMENTS = f"""i AS (SELECT *, CASE WHEN p IS NULL OR value < p THEN value ELSE value - p END AS mm FROM (SELECT event_id, user_id, value, {_SQL_EVENT_WEEK} AS week_start,
+_INCREMENTS = f"""i AS (SELECT *, CASE WHEN p IS NULL OR value - p < -0.01 THEN greatest(value, 0) ELSE greatest(value - p, 0) END AS mm FROM (SELECT event_id, user_id, value, {_SQL_EVENT_WEEK} AS week_start,
 lag(value) OVER (PARTITION BY user_id, {_SQL_EVENT_WEEK} ORDER BY ts, event_id) AS p FROM events))"""
 _PCT = "(rank() OVER (PARTITION BY p_type ORDER BY {0}) + (count(*) OVER (PARTITION BY p_type, {0}) - 1) / 2.0) / count(*) OVER (PARTITION BY p_type) * 100"
 _WET = f"SELECT week_start, road_type, mm, m, l_extendedprice / 1000 AS dry FROM (SELECT *, l_quantity * 7 AS mm, CASE WHEN surface = 'paved' THEN 'paved' ELSE 'unpaved' END AS road_type FROM roads) x JOIN {_SQL_RULES} ON t = road_type AND mm >= lo AND (hi IS NULL OR mm < hi)"
@@ -301,5 +299,5 @@ ORACLE_SQL = {
     "event_props_json": "SELECT event_type, count(k) AS n, CAST(sum(k) AS BIGINT) AS k_sum FROM (SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) GROUP BY ALL",
     "weighted_mean": f"WITH {_ROADS} SELECT surface, round(sum(greatest(l_quantity, 1) * l_extendedprice) / sum(greatest(l_quantity, 1)), 4) AS mean_price FROM roads GROUP BY ALL",
     "path_signature": "SELECT l_orderkey, md5(string_agg(CAST(l_suppkey AS VARCHAR), ',' ORDER BY l_linenumber, l_suppkey, l_partkey, l_quantity)) AS signature FROM lineitem GROUP BY ALL",
-    "knn_topk": "WITH p AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) * 100 AS x, CAST(embedding[2] AS DOUBLE) * 100 AS y FROM embeddings) SELECT * FROM (SELECT q.vec_id AS origin, row_number() OVER (PARTITION BY q.vec_id ORDER BY round((p.x - q.x) ** 2 + (p.y - q.y) ** 2, 6), p.vec_id) AS rank, p.vec_id, round((p.x - q.x) ** 2 + (p.y - q.y) ** 2, 6) AS d2 FROM p q JOIN p ON abs(floor(p.x / 10) - floor(q.x / 10)) <= 1 AND abs(floor(p.y / 10) - floor(q.y / 10)) <= 1 AND p.vec_id <> q.vec_id) WHERE rank <= 3",
+    "knn_topk": "WITH p AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) * 100 AS x, CAST(embedding[2] AS DOUBLE) * 100 AS y FROM embeddings) SELECT origin, rank, vec_id, round(far, 6) AS d2 FROM (SELECT *, row_number() OVER (PARTITION BY origin ORDER BY far, vec_id) AS rank FROM (SELECT q.vec_id AS origin, p.vec_id, (p.x - q.x) ** 2 + (p.y - q.y) ** 2 AS far FROM p q JOIN p ON p.vec_id <> q.vec_id)) WHERE rank <= 3",
 }

@@ -25,6 +25,8 @@ RAIN_RULES = (
 LEAST_MULTIPLIER = 0.01
 # Minutes of delay that start damage classes 1 to 5.
 DAMAGE_MINUTES = (180, 360, 540, 720, 1440)
+# Highway classes that no truck takes.
+NO_TRUCKS = ("footway", "path", "steps", "pedestrian", "cycleway", "bridleway", "living_street")
 # Fixed values: (from hours, below hours, name).
 DELAY_BANDS = ((0, 3, "0-3h"), (3, 6, "3-6h"), (6, 12, "6-12h"), (12, 24, "12-24h"), (24, 80, "24-80h"))
 
@@ -48,6 +50,11 @@ def base_speed(highway: Column, surface: Column) -> Column:
     return speed * F.coalesce(*(F.when(surface == k, v) for k, v in SURFACE_FACTORS.items()), F.lit(1.0))
 
 
+def routable(highway: Column) -> Column:
+    """Whether trucks take a highway class; a missing class is not excluded."""
+    return ~F.coalesce(F.lower(highway), F.lit("")).isin(*NO_TRUCKS)
+
+
 def penalised(cost: Column, multiplier: Column) -> Column:
     """Cost at a reduced speed; the multiplier is never taken below LEAST_MULTIPLIER."""
     return cost / F.greatest(multiplier, F.lit(LEAST_MULTIPLIER))

@@ -87,21 +87,22 @@ def sample_by_language(labelled: DataFrame, rows: int) -> DataFrame:
 def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """A model of the rows of ``labelled(doc_id, text, lang)`` with a language and an id."""
     known = labelled.where("lang is not null and doc_id is not null").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
-    top = sample_by_language(known, rows).mapInArrow(_count, "lang string, grade int, gram string, n long").groupBy("lang", "grade", "gram").agg(F.sum("n").alias("n")).toPandas()
-    top = top.sort_values(["grade", "gram", "lang"], kind="stable")
-    langs = sorted(top["lang"].unique().tolist())
-    column = {x: i for i, x in enumerate(langs)}
+    counted = sample_by_language(known, rows).mapInArrow(_count, "lang string, grade int, gram string, n long").groupBy("lang", "grade", "gram").agg(F.sum("n").alias("n")).toArrow()
+    code = counted.column("lang").combine_chunks().dictionary_encode()
+    names = code.dictionary.to_pylist()
+    langs = sorted(names)
+    lang = np.array([langs.index(x) for x in names], np.int64)[code.indices.to_numpy()]
+    grade, n = counted.column("grade").to_numpy(), counted.column("n").to_numpy()
     tables: list[dict[str, int]] = [{} for _ in range(ORDERS + 1)]
     parts, base = [], 0
     for order in range(ORDERS + 1):
-        own = top[top["grade"] == order]
+        own = np.flatnonzero(grade == order)
         table = tables[order]
-        for g in own["gram"]:
-            table.setdefault(g, base + len(table))
-        seen = np.zeros((len(table), len(langs)))
-        seen[[table[g] - base for g in own["gram"]], [column[x] for x in own["lang"]]] = own["n"]
-        totals = seen.sum(axis=0) + 1
-        freq = np.log((seen + 0.1) / (totals + 0.1 * len(table)))
+        at = np.fromiter((table.setdefault(g, base + len(table)) for g in counted.column("gram").take(pa.array(own)).to_pylist()), np.int64, len(own)) - base
+        seen = np.zeros((len(table), len(langs)), np.float32)
+        seen[at, lang[own]] = n[own]
+        totals = seen.sum(axis=0, dtype=np.float64) + 1
+        freq = np.log((seen + 0.1) / (totals + 0.1 * len(table)).astype(np.float32))
         parts.append(freq - freq.mean(axis=1, keepdims=True) if len(langs) else freq)
         base += len(table)
     return Model(langs, tables, np.concatenate(parts).astype(np.float32))

@@ -129,12 +129,12 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray, known: np.ndarray, hit: np.nd
     departs = (hit - seen * rate) ** 2 / (seen * rate * (1 - rate) + 0.5)
     machine = Machine(known, departs / (departs + EVIDENCE), seen / (seen + DOCUMENTS), float(np.log(rate / (1 - rate))))
     draw, (w, v) = np.random.default_rng(7), (machine.weight, machine.factors)
-    values = [machine.values(t) for t in rows]
-    gw, gv, gb = np.full(len(known), 1e-2), np.full((len(known), FACTORS), 1e-2), 1e-6
+    gw, gv, gb = np.full(len(known), 1e-2, np.float32), np.full((len(known), FACTORS), 1e-2, np.float32), 1e-6
     for epoch in range(epochs):
         step = STEP / (1 + 0.1 * epoch)
         for r in draw.permutation(len(rows)):
-            t, (x, z) = rows[r], values[r]
+            t = rows[r]
+            x, z = machine.values(t)
             vt = v[t] * z[:, None]
             total = vt.sum(axis=0)
             margin = machine.bias + w[t] @ x + 0.5 * ((total**2).sum() - (vt**2).sum())
@@ -164,9 +164,12 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine
         return Machine(np.zeros(0, np.int64), np.zeros(0), np.zeros(0), -np.inf)
     counts = counts[counts["term"] >= 0]
     terms = counts["term"].to_numpy(np.int64)
-    got = sample.mapInArrow(_vectors(terms), "terms array<int>, toxic int").toPandas()
-    order = got.assign(key=[zlib.crc32(np.asarray(t, np.int32).tobytes()) for t in got["terms"]]).sort_values(["key", "toxic"], kind="stable")
-    return fit([np.asarray(t, np.int64) for t in order["terms"]], order["toxic"].to_numpy(float), terms, counts["hit"].to_numpy(float), counts["miss"].to_numpy(float))
+    got = sample.mapInArrow(_vectors(terms), "terms array<int>, toxic int").toArrow()
+    lists, toxic = got.column("terms").combine_chunks(), got.column("toxic").to_numpy().astype(float)
+    flat, begin = lists.values.to_numpy(), lists.offsets.to_numpy()
+    vectors = [flat[i:j] for i, j in zip(begin[:-1], begin[1:])]  # views of one array
+    order = sorted(range(len(vectors)), key=lambda i: (zlib.crc32(vectors[i].tobytes()), toxic[i]))
+    return fit([vectors[i] for i in order], toxic[order], terms, counts["hit"].to_numpy(float), counts["miss"].to_numpy(float))
 
 
 def _score(held, token: str):

@@ -12,19 +12,24 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a table in the shared folder of ``spark.checkpoint.dir``; a temporary one only in local mode.
-
-    A written table is computed once, has sizes that joins can go by, and does not carry the constraints of its plan
-    along, which double with every self-join of an iteration; ``checkpoint()`` keeps them.
-    """
-    sc = df.sparkSession.sparkContext
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder's path in the shared folder of ``spark.checkpoint.dir``; a temporary one only in local mode."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
         shared = sc.getConf().get("spark.checkpoint.dir")
         if not shared and not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="monsoonway-"))
-    path = f"{sc.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
+    return f"{sc.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a table in the shared folder.
+
+    A written table is computed once, has sizes that joins can go by, and does not carry the constraints of its plan
+    along, which double with every self-join of an iteration; ``checkpoint()`` keeps them.
+    """
+    path = scratch_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
+from ..functions import projections as P
 from ..operators import areas as A
 from ..operators import geometry as G
 from ..operators import goal_routes as R
+from ..operators import grids as D
 from ..operators import terminals as T
 from ..operators.network import checkpointed, scratch_folder
 from ..sources import netcdf
@@ -108,7 +110,26 @@ def terminal_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.join(found, ["origin", "dest"], "left").select("terminal", F.round("cost", 6).alias("hours"))
 
 
-QUERIES = {f.__name__: f for f in (grid_series, areas_of_points, points_in_areas, astar_costs, terminal_links, terminal_routes)}
+def utm_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three nearest customers to each supplier in metres of a UTM zone."""
+    c, s = F.col("c_custkey"), F.col("s_suppkey")
+    flat = lambda t, key: t.withColumn("p", P.utm(F.col("lon"), F.col("lat"), F.lit(32), F.lit(False))).select(key, "p.x", "p.y")
+    customers = flat(Q._t(spark, sf_dir, "customer").select((c * 2 + 1).alias("id"), (c * 31 % 599 * 0.01 + 6.0).alias("lon"), (c * 17 % 449 * 0.01 + 40.0).alias("lat")), "id")
+    suppliers = flat(Q._t(spark, sf_dir, "supplier").select((s * 2).alias("id"), (s % 97 * 0.06 + 6.003).alias("lon"), (s % 89 * 0.05 + 40.004).alias("lat")), "id")
+    found = G.k_nearest(suppliers, customers, 5000.0, 3)
+    return found.select(F.shiftright("id", 1).alias("supplier"), "rank", F.shiftright("target", 1).alias("customer"), F.round(F.sqrt("d2"), 3).alias("metres"))
+
+
+def dense_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every week of the events at every cell of the completed axes, with the greatest value or null."""
+    e = Q._t(spark, sf_dir, "events")
+    week = X.anchored_week(F.col("ts"), Q.EVENT_ANCHOR).alias("week_start")
+    cells = e.select(week, (F.floor(F.col("user_id") / 15) * 0.25 + 5.00001).alias("latitude"), (F.col("user_id") % 15 * 0.1 + 30).alias("longitude"), F.col("value").alias("v"), (-F.col("value")).alias("o"))
+    weeks = e.select(week).distinct().unionByName(e.select(F.date_add(F.max("ts"), 7).alias("last")).select(X.anchored_week(F.col("last"), Q.EVENT_ANCHOR).alias("week_start")))
+    return D.dense_grid(weeks, cells, "v", "o").select("week_start", "cell_id", "v")
+
+
+QUERIES = {f.__name__: f for f in (utm_nearest, dense_weeks, grid_series, areas_of_points, points_in_areas, astar_costs, terminal_links, terminal_routes)}
 
 _SQL_AREAS = f"""{_POINTS}, q AS (SELECT *, label * {PARTS} + vec_id % {PARTS} AS area FROM p), m AS (SELECT area, avg(x) AS mx, avg(y) AS my FROM q GROUP BY area HAVING count(*) >= 3),
 c AS (SELECT area, f, mx + f * (x - mx) AS cx, my + f * (y - my) AS cy, row_number() OVER (PARTITION BY area, f ORDER BY atan2(y - my, x - mx), vec_id) AS k, count(*) OVER (PARTITION BY area, f) AS n FROM q JOIN m USING (area), (VALUES (CAST({REACH} AS DOUBLE)), (CAST({HOLE} AS DOUBLE))) s(f)),
@@ -126,7 +147,27 @@ m AS (SELECT f.c AS c1, t.c AS c2, min(((t.x - f.x) ** 2 + (t.y - f.y) ** 2, lea
 g(c, x) USING KEY (c) AS (SELECT c, CAST(NULL AS STRUCT(d DOUBLE, a BIGINT, b BIGINT)) FROM (SELECT c FROM held ORDER BY n DESC, c LIMIT 1)
   UNION SELECT c2, x FROM (SELECT c2, struct_pack(d := m.x[1], a := m.x[2], b := m.x[3]) AS x, row_number() OVER (ORDER BY m.x) AS i FROM m JOIN recurring.g h ON h.c = m.c1 JOIN (SELECT count(*) FROM g) ON true WHERE c2 NOT IN (SELECT c FROM recurring.g)) WHERE i = 1)"""
 
+def _sql_utm(lon: str, lat: str) -> tuple[str, str]:
+    """x and y of zone 32 in SQL."""
+    e = P._E2**0.5
+    t = f"sinh(atanh(sin(radians({lat}))) - {e!r} * atanh({e!r} * sin(radians({lat}))))"
+    lam = f"radians({lon} - 9)"
+    xi, eta = f"atan2({t}, cos({lam}))", f"atanh(sin({lam}) / sqrt(1 + {t} * {t}))"
+    across = " + ".join(f"{a!r} * cos({2 * j} * ({xi})) * sinh({2 * j} * ({eta}))" for j, a in enumerate(P._ALPHA, 1))
+    along = " + ".join(f"{a!r} * sin({2 * j} * ({xi})) * cosh({2 * j} * ({eta}))" for j, a in enumerate(P._ALPHA, 1))
+    scale = repr(P.UTM_SCALE * P._RECTIFYING)
+    return f"500000.0 + {scale} * ({eta} + {across})", f"{scale} * ({xi} + {along})"
+
+
+_UTM = _sql_utm("lon", "lat")
+
 ORACLE_SQL = {
+    "utm_nearest": f"""WITH c AS (SELECT c_custkey AS k, c_custkey * 31 % 599 * CAST(0.01 AS DOUBLE) + 6.0 AS lon, c_custkey * 17 % 449 * CAST(0.01 AS DOUBLE) + 40.0 AS lat FROM customer), s AS (SELECT s_suppkey AS k, s_suppkey % 97 * CAST(0.06 AS DOUBLE) + 6.003 AS lon, s_suppkey % 89 * CAST(0.05 AS DOUBLE) + 40.004 AS lat FROM supplier),
+p AS (SELECT k, {_UTM[0]} AS x, {_UTM[1]} AS y FROM c), q AS (SELECT k, {_UTM[0]} AS x, {_UTM[1]} AS y FROM s)
+SELECT supplier, CAST(rank AS INT) AS rank, customer, metres FROM (SELECT q.k AS supplier, p.k AS customer, round(sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2), 3) AS metres, row_number() OVER (PARTITION BY q.k ORDER BY (p.x - q.x) ** 2 + (p.y - q.y) ** 2, p.k) AS rank FROM p, q) WHERE rank <= 3""",
+    "dense_weeks": f"""WITH e AS (SELECT {Q._SQL_EVENT_WEEK} AS week_start, round(user_id // 15 * 0.25 + 5.00001, 4) AS lat, round(user_id % 15 * CAST(0.1 AS DOUBLE) + 30, 4) AS lon, value FROM events),
+w AS (SELECT DISTINCT week_start FROM e UNION SELECT {Q._SQL_EVENT_WEEK.replace('CAST(ts AS date)', 'CAST(max(ts) AS date) + 7')} FROM events), g AS (SELECT week_start, lat, lon, max(value) AS v FROM e GROUP BY ALL)
+SELECT w.week_start, printf('%.4f', CAST(b.lon AS DOUBLE)) || ':' || printf('%.4f', CAST(a.lat AS DOUBLE)) AS cell_id, v FROM w, (SELECT DISTINCT lat FROM e) a, (SELECT DISTINCT lon FROM e) b LEFT JOIN g ON g.week_start = w.week_start AND g.lat = a.lat AND g.lon = b.lon""",
     "astar_costs": f"WITH RECURSIVE {_SQL_ROADS}, b AS (SELECT a AS s, b AS t, w FROM e UNION ALL SELECT b, a, w FROM e), o AS (SELECT vec_id AS origin FROM p), {_SQL_COSTS} SELECT origin, node AS dest, round(cost, 6) AS cost FROM r WHERE node = origin + 10",
     "terminal_links": f"WITH RECURSIVE {_SQL_GROWN} SELECT 'terminal_connector' AS kind, a, b, round(w, 6) AS hours FROM k UNION ALL SELECT 'component_connector', x.a, x.b, round(sqrt(x.d) / {T.CONNECTOR_KMH}, 6) FROM g WHERE x IS NOT NULL",
     "terminal_routes": f"""WITH RECURSIVE {_SQL_GROWN}, w AS (SELECT a, b, w FROM u UNION ALL SELECT x.a, x.b, sqrt(x.d) / {T.CONNECTOR_KMH} FROM g WHERE x IS NOT NULL), b AS (SELECT a AS s, b AS t, w FROM w UNION ALL SELECT b, a, w FROM w), o AS (SELECT id AS origin FROM s), {_SQL_COSTS}

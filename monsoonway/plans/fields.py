@@ -17,13 +17,15 @@ from ..operators import goal_routes as R
 from ..operators import grids as D
 from ..operators import terminals as T
 from ..operators.network import checkpointed, scratch_folder
-from ..sources import netcdf
+from ..sources import geotiff, netcdf
 from . import queries as Q
 from .accessibility import _POINTS, _points
 
 #: Groups of points that an area is made of, by remainder of their number; how far out its corners lie, and its hole's.
 PARTS, REACH, HOLE = 5, 1.3, 0.4
 CELL = 1.5
+#: Sides of the cells of rasters, and cells of a tile's side.
+RASTER_CELLS, TILE = (2.0, 7.0), 32
 #: Reach of a link between points, and speeds by the remainder of its ends.
 LINK_REACH, SPEEDS = 3.0, (60.0, 40.0, 30.0)
 
@@ -129,7 +131,22 @@ def dense_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.dense_grid(weeks, cells, "v", "o").select("week_start", "cell_id", "v")
 
 
-QUERIES = {f.__name__: f for f in (utm_nearest, dense_weeks, grid_series, areas_of_points, points_in_areas, astar_costs, terminal_links, terminal_routes)}
+def raster_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every point's value on overlapping rasters of the greatest label by cell: how many have one, their sum, and the first that has."""
+    at = lambda c, wide: F.floor(F.col(c) / wide).cast("long")
+    p = _points(spark, sf_dir)
+    paths = []
+    for wide in RASTER_CELLS:
+        cells = p.groupBy((-at("y", wide) - 1).alias("row"), at("x", wide).alias("col")).agg(F.max("label").cast("double").alias("value")).where("value < 9")
+        tile = F.format_string("t%d_%d", F.floor(F.col("row") / TILE), F.floor(F.col("col") / TILE))
+        written = checkpointed(geotiff.write_tiles(cells.withColumn("tile", tile), "tile", scratch_folder(spark), wide, TILE, -9999.0))
+        paths += [r["path"] for r in written.orderBy("key").collect()]  # a few tiles
+    points = p.select(F.col("vec_id").alias("id"), F.col("x").alias("lon"), F.col("y").alias("lat"))
+    found = geotiff.sampled(points, paths)
+    return found.groupBy("id").agg(F.count("value").alias("n"), F.sum("value").alias("total"), F.min_by("value", F.when(F.col("value").isNotNull(), F.col("raster"))).alias("first"))
+
+
+QUERIES = {f.__name__: f for f in (raster_samples, utm_nearest, dense_weeks, grid_series, areas_of_points, points_in_areas, astar_costs, terminal_links, terminal_routes)}
 
 _SQL_AREAS = f"""{_POINTS}, q AS (SELECT *, label * {PARTS} + vec_id % {PARTS} AS area FROM p), m AS (SELECT area, avg(x) AS mx, avg(y) AS my FROM q GROUP BY area HAVING count(*) >= 3),
 c AS (SELECT area, f, mx + f * (x - mx) AS cx, my + f * (y - my) AS cy, row_number() OVER (PARTITION BY area, f ORDER BY atan2(y - my, x - mx), vec_id) AS k, count(*) OVER (PARTITION BY area, f) AS n FROM q JOIN m USING (area), (VALUES (CAST({REACH} AS DOUBLE)), (CAST({HOLE} AS DOUBLE))) s(f)),
@@ -162,6 +179,7 @@ def _sql_utm(lon: str, lat: str) -> tuple[str, str]:
 _UTM = _sql_utm("lon", "lat")
 
 ORACLE_SQL = {
+    "raster_samples": f"WITH {_POINTS}, s AS (SELECT vec_id, label, w, floor(x / w) AS c, floor(y / w) AS r FROM p, (VALUES (CAST({RASTER_CELLS[0]} AS DOUBLE)), (CAST({RASTER_CELLS[1]} AS DOUBLE))) v(w)), g AS (SELECT *, max(label) OVER (PARTITION BY w, c, r) AS m FROM s) SELECT vec_id AS id, count(*) FILTER (m < 9) AS n, sum(m) FILTER (m < 9) + 0.0 AS total, arg_min(m, w) FILTER (m < 9) + 0.0 AS first FROM g GROUP BY vec_id",
     "utm_nearest": f"""WITH c AS (SELECT c_custkey AS k, c_custkey * 31 % 599 * CAST(0.01 AS DOUBLE) + 6.0 AS lon, c_custkey * 17 % 449 * CAST(0.01 AS DOUBLE) + 40.0 AS lat FROM customer), s AS (SELECT s_suppkey AS k, s_suppkey % 97 * CAST(0.06 AS DOUBLE) + 6.003 AS lon, s_suppkey % 89 * CAST(0.05 AS DOUBLE) + 40.004 AS lat FROM supplier),
 p AS (SELECT k, {_UTM[0]} AS x, {_UTM[1]} AS y FROM c), q AS (SELECT k, {_UTM[0]} AS x, {_UTM[1]} AS y FROM s)
 SELECT supplier, CAST(rank AS INT) AS rank, customer, metres FROM (SELECT q.k AS supplier, p.k AS customer, round(sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2), 3) AS metres, row_number() OVER (PARTITION BY q.k ORDER BY (p.x - q.x) ** 2 + (p.y - q.y) ** 2, p.k) AS rank FROM p, q) WHERE rank <= 3""",

@@ -20,6 +20,7 @@ is read whole, however long, its set hashed element by element. An empty table g
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._graph import connected_components
-from ._runtime import in_slices, through_parquet
-from .near_copies import shingles, verified_pairs
+from ._runtime import in_slices, through_parquet, use_shared_checkpoints
+from .near_copies import linked, shingles
 
 SHINGLE = 2
 BANDS, ROWS = 36, 5
@@ -89,7 +90,7 @@ def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(entry, text) to (entry, bands)."""
+    """(entry, text) to (entry, n, bands), n the size of the set."""
     for batch in in_slices(batches, "text"):
         ids, sets, size = [], [], 0
         for entry, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -106,7 +107,7 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _keyed(ids: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
     keys = band_keys(sketches(sets))
     flat = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, keys.shape[1]), pa.int32()), pa.array(keys.ravel(), pa.int64()))
-    return pa.record_batch([pa.array(ids, pa.int64()), flat], ["entry", "bands"])
+    return pa.record_batch([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), flat], ["entry", "n", "bands"])
 
 
 def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,11 +117,15 @@ def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["entry", "found"])
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(entry, text) to (entry, n)."""
-    for batch in in_slices(batches, "text"):
-        n = [len(shingles(_words(t.as_py()), SHINGLE)) for t in batch.column(1)]
-        yield pa.record_batch([batch.column(0), pa.array(n, pa.int64())], ["entry", "n"])
+def _bucketed(df: DataFrame, key: str) -> DataFrame:
+    """``df``, which is dealt by ``key``, written and read back with that layout known, so that joins on the key move the other side only."""
+    spark = df.sparkSession
+    use_shared_checkpoints(spark)
+    name = f"minhash_{uuid.uuid4().hex}"
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).format("parquet").option("path", f"{spark.sparkContext.getCheckpointDir()}/{name}").saveAsTable(name)
+    held = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the files stay, and what has been read from the catalog
+    return held
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -129,12 +134,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     marked = read.mapInArrow(_digested, "doc_id long, text binary, digest binary")
     # all texts of a class have the same words, so any of them will do
     first = marked.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("text").alias("text"))
-    classes = through_parquet(first.withColumn("entry", F.monotonically_increasing_id()), "minhash_classes")
-    texts = classes.select("entry", "text")
-    components = connected_components(verified_pairs(texts, _banded, _shingled))
-    named = classes.select("entry", "digest", "least").join(components.withColumnRenamed("node", "entry"), "entry", "left").select("entry", "digest", "least", F.coalesce("component", "entry").alias("component"))
+    classes = _bucketed(first.withColumn("entry", F.monotonically_increasing_id()), "digest")
+    banded = through_parquet(classes.select("entry", "text").mapInArrow(_banded, "entry long, n long, bands array<long>"), "minhash_bands")
+    named = classes.select("entry", "digest", "least")
+
+    def chosen(asked: DataFrame) -> DataFrame:
+        # texts stay where they lie; what is asked goes to them
+        at = named.join(asked, "entry", "left_semi").select("digest")
+        return classes.join(at, "digest", "left_semi").select("entry", "text")
+
+    components = connected_components(linked(banded.select("entry", "bands"), chosen, _shingled))
+    named = named.join(components.withColumnRenamed("node", "entry"), "entry", "left").select("entry", "digest", "least", F.coalesce("component", "entry").alias("component"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    sized = named.join(least, "component").join(texts.mapInArrow(_counted, "entry long, n long"), "entry").select("digest", "component_id", "n")
+    sized = named.join(least, "component").join(banded.select("entry", "n"), "entry").select("digest", "component_id", "n")
     found = marked.select("doc_id", "digest").join(sized, "digest", "left")
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     found = found.select("doc_id", F.coalesce("n", F.lit(0).cast("long")).alias("n_shingles"), component.alias("component_id"))

@@ -41,6 +41,7 @@ SEED = 42
 #: Shingles whose least hashes are taken at once.
 CHUNK = 1 << 12
 Shingled = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+Chosen = Callable[[DataFrame], DataFrame]
 _DRAW = np.random.default_rng(SEED)
 _FLIP = _DRAW.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 _TIMES = _DRAW.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
@@ -134,10 +135,10 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pairs(np.concatenate(held, axis=1))
 
 
-def _verified(texts: DataFrame, pairs: DataFrame, shingled: Shingled) -> DataFrame:
+def _verified(chosen: Chosen, pairs: DataFrame, shingled: Shingled) -> DataFrame:
     """The rows (a, b) of ``pairs`` whose texts are alike by ``LEAST`` or more, compared on the shingles themselves."""
     asked = pairs.select(F.explode(F.array("a", "b")).alias("entry")).distinct()
-    sets = through_parquet(texts.join(asked, "entry", "left_semi").select("entry", "text").mapInArrow(shingled, "entry long, found array<long>"), "near_sets")
+    sets = through_parquet(chosen(asked).mapInArrow(shingled, "entry long, found array<long>"), "near_sets")
     one = lambda end: sets.select(F.col("entry").alias(end), F.col("found").alias(f"found_{end}"))
     top, bottom = LEAST
     n_a, n_b, both = F.size("found_a"), F.size("found_b"), F.size(F.array_intersect("found_a", "found_b"))
@@ -184,7 +185,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield links(held)
 
 
-def _apart(texts: DataFrame, posted: DataFrame, near: DataFrame, shingled: Shingled) -> DataFrame:
+def _apart(chosen: Chosen, posted: DataFrame, near: DataFrame, shingled: Shingled) -> DataFrame:
     """Links (a, b) between entries of a list of over ``ALL_PAIRS`` entries that are near copies and that ``near`` leaves in different components.
 
     A list whose entries are all tied already is not read again. Any other is dealt in tiles of about ``TILE`` entries,
@@ -195,24 +196,29 @@ def _apart(texts: DataFrame, posted: DataFrame, near: DataFrame, shingled: Shing
     members = through_parquet(posted.join(long_, ["band", "key"]).join(tied, "entry", "left").select("band", "key", "entry", F.coalesce("component", "entry").alias("part")), "near_lists")
     several = members.groupBy("band", "key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.ceil(F.count("*") / TILE).alias("tiles")).where("low < high").drop("low", "high")
     open_ = members.join(several, ["band", "key"])
-    sets = through_parquet(texts.join(open_, "entry", "left_semi").select("entry", "text").mapInArrow(shingled, "entry long, found array<long>"), "near_open")
+    sets = through_parquet(chosen(open_.select("entry")).mapInArrow(shingled, "entry long, found array<long>"), "near_open")
     dealt = open_.withColumn("own", F.pmod(F.xxhash64("entry"), F.col("tiles"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
     dealt = dealt.select("band", "key", (F.least("own", "other") * (1 << 31) + F.greatest("own", "other")).alias("tile"), "entry", "part")
     dealt = dealt.join(sets, "entry").select("band", "key", "tile", "entry", "part", "found").repartition("band", "key", "tile").sortWithinPartitions("band", "key", "tile")
     return dealt.mapInArrow(_compare, "a long, b long").distinct()
 
 
-def verified_pairs(texts: DataFrame, banded_by: Shingled = _banded, shingled: Shingled = _shingled) -> DataFrame:
-    """Rows (a, b) of distinct entries ``texts(entry, text)`` that are near copies; they tie all that share a list and are alike.
+def verified_pairs(texts: DataFrame) -> DataFrame:
+    """Rows (a, b) of distinct entries ``texts(entry, text)`` that are near copies; they tie all that share a list and are alike."""
+    banded = through_parquet(texts.mapInArrow(_banded, "entry long, bands array<long>"), "near_bands")
+    return linked(banded, lambda asked: texts.join(asked, "entry", "left_semi").select("entry", "text"), _shingled)
 
-    ``banded_by`` gives the keys of the lists that an entry is in, ``shingled`` the set that it is compared by.
+
+def linked(banded: DataFrame, chosen: Chosen, shingled: Shingled) -> DataFrame:
+    """The pairs of ``verified_pairs`` for entries whose lists ``banded(entry, bands)`` names.
+
+    ``chosen`` gives the rows (entry, text) of asked entries, which may be asked more than once; ``shingled`` turns them into the sets that are compared.
     """
-    banded = through_parquet(texts.mapInArrow(banded_by, "entry long, bands array<long>"), "near_bands")
     posted = banded.select("entry", F.posexplode("bands").alias("band", "key"))
     lists = posted.select("band", "key", F.xxhash64("band", "entry").alias("place"), "entry").repartition("band", "key").sortWithinPartitions("band", "key", "place")
     pairs = through_parquet(lists.mapInArrow(_pairs, "a long, b long").distinct(), "near_pairs")
-    near = through_parquet(_verified(texts, pairs, shingled), "near_links")
-    return near.unionByName(_apart(texts, posted, near, shingled))
+    near = through_parquet(_verified(chosen, pairs, shingled), "near_links")
+    return near.unionByName(_apart(chosen, posted, near, shingled))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

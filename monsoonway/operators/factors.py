@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranks as K
 from . import relational as R
 
 LEVELS = ("minor", "moderate", "severe", "catastrophic", "closure")
@@ -68,8 +69,8 @@ def merged_histograms(parts: list[DataFrame], keys: list[str], value: str) -> Da
 
 def cdf_percentiles(counts: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Rows (keys, value, pct): the share of a histogram's values at or below each, of 100."""
-    run = F.sum("count").over(Window.partitionBy(*keys).orderBy(value))
-    return counts.select(*keys, value, (run / F.sum("count").over(Window.partitionBy(*keys)) * 100).alias("pct"))
+    run = K.running(counts, keys, value)
+    return run.select(*keys, value, ((F.col("before") + F.col("count")) / F.col("total") * 100).alias("pct"))
 
 
 def scoped_percentiles(raw: DataFrame, scoped: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
+from . import ranks as K
 
 
 def with_rain_multiplier(rows: DataFrame, road_type: str, mm: str) -> DataFrame:
@@ -34,20 +35,21 @@ def increments(rows: DataFrame, keys: list[str], order: list[str], value: str, n
     return rows.withColumn(name, F.when(step < 0, 0.0).otherwise(step))
 
 
+_QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+
+
 def five_numbers(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Count, minimum, quartiles, maximum and mean of each group."""
-    quartiles = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return rows.groupBy(*keys).agg(
-        F.count(value).alias("n"), F.min(value).alias("v_min"), quartiles.alias("q"), F.max(value).alias("v_max"), F.avg(value).alias("v_mean")).select(
-        *keys, "n", "v_min", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"), "v_max", "v_mean")
+    counts = K.running(K.counted(rows, keys, value), keys, value)
+    mean = F.sum(F.col(value) * F.col("count")) / F.nullif(F.sum("count"), F.lit(0))
+    return counts.groupBy(*keys).agg(F.sum("count").alias("n"), F.min(value).alias("v_min"), *K.quantile_columns(_QUARTILES, value), F.max(value).alias("v_max"), mean.alias("v_mean"))
 
 
 def five_numbers_of(counts: DataFrame, keys: list[str], value: str, n: str = "count") -> DataFrame:
-    """``five_numbers`` of a histogram: rows (keys, value, n) with few distinct values for each group; the mean is exact in millionths."""
-    quartiles = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col(n))
-    return counts.groupBy(*keys).agg(
-        F.sum(n).alias("n"), F.min(value).alias("v_min"), quartiles.alias("q"), F.max(value).alias("v_max"), F.round(F.sum((F.col(value) * F.col(n)).cast("decimal(38,6)")).cast("decimal(28,6)") / F.sum(n), 6).cast("double").alias("v_mean")).select(
-        *keys, "n", "v_min", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"), "v_max", "v_mean")
+    """``five_numbers`` of a histogram, whose rows (keys, value, n) may repeat; the mean is exact in millionths."""
+    merged = K.running(counts.groupBy(*keys, value).agg(F.sum(n).alias(n)), keys, value, n)
+    mean = F.round(F.sum((F.col(value) * F.col(n)).cast("decimal(38,6)")).cast("decimal(28,6)") / F.sum(n), 6).cast("double")
+    return merged.groupBy(*keys).agg(F.sum(n).alias("n"), F.min(value).alias("v_min"), *K.quantile_columns(_QUARTILES, value, n), F.max(value).alias("v_max"), mean.alias("v_mean"))
 
 
 def histogram(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -57,15 +59,9 @@ def histogram(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 def nearest_rank(counts: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
     """Quantiles of a histogram: the smallest value whose running count reaches ceil(q * n)."""
-    up = Window.partitionBy(*keys).orderBy(value)
-    run = counts.withColumn("cum", F.sum("count").over(up)).withColumn("n", F.sum("count").over(Window.partitionBy(*keys)))
-    return run.groupBy(*keys).agg(F.max("n").alias("n"), *(F.min(F.when(F.col("cum") >= F.ceil(F.col("n") * q), F.col(value))).alias(name) for name, q in shares.items()))
-
-
-def average_percentile(value: str, by: list[str]) -> Column:
-    """Percentile rank of 0 to 100, ties sharing their average rank."""
-    ordered, tied, whole = Window.partitionBy(*by).orderBy(value), Window.partitionBy(*by, value), Window.partitionBy(*by)
-    return (F.rank().over(ordered) + (F.count(value).over(tied) - 1) / 2) / F.count(value).over(whole) * 100
+    run = K.running(counts, keys, value)
+    reached = lambda q: F.col("before") + F.col("count") >= F.ceil(F.col("total") * q)
+    return run.groupBy(*keys).agg(F.max("total").alias("n"), *(F.min(F.when(reached(q), F.col(value))).alias(name) for name, q in shares.items()))
 
 
 def top_per_group(rows: DataFrame, keys: list[str], order: list[Column], n: int, name: str = "rank") -> DataFrame:

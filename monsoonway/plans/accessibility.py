@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import expressions as X
 from ..operators import geometry as G
 from ..operators import network as N
+from ..operators import ranks as K
 from ..operators import relational as R
 from ..operators import statistics as S
 from ..sources import tables as T
@@ -36,7 +37,7 @@ def _trips(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Median hours of a cell and week, and their excess over the cell's best week, from whole millionths, so that no median is a rounding tie."""
-    weekly = _trips(spark, sf_dir).groupBy("c_nationkey", "c_mktsegment", "week_start").agg(F.count("*").alias("n"), F.percentile(F.round(F.col("hours") * 1000000), F.lit(0.5)).alias("micro"))
+    weekly = K.quantiles(_trips(spark, sf_dir).withColumn("v", F.round(F.col("hours") * 1000000)), ["c_nationkey", "c_mktsegment", "week_start"], "v", {"micro": 0.5})
     best = F.min("micro").over(Window.partitionBy("c_nationkey", "c_mktsegment"))
     return weekly.select("c_nationkey", "c_mktsegment", "week_start", "n", (F.col("micro") / 1000000).alias("med"), ((F.col("micro") - best) / 1000000).alias("delta"))
 
@@ -238,7 +239,7 @@ def case_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = Q._t(spark, sf_dir, "part").select("p_partkey", "p_type", R.average_percentile("p_size", ["p_type"]).alias("x"), R.average_percentile("p_retailprice", ["p_type"]).alias("y"))
+    ranked = Q.ranked_parts(spark, sf_dir)
     return S.bootstrap_correlation(ranked, ["p_type"], "p_partkey", "x", "y")
 
 

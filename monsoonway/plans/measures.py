@@ -13,6 +13,7 @@ from ..functions import expressions as X
 from ..operators import factors as W
 from ..operators import geometry as G
 from ..operators import network as N
+from ..operators import ranks as K
 from ..operators import relational as R
 from . import queries as Q
 from .accessibility import _POINTS, _points
@@ -179,16 +180,17 @@ def haversine_to_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def delay_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Median, p90, p95 and greatest value by kind of event."""
-    at = F.percentile("value", F.array(*map(F.lit, (0.5, 0.9, 0.95))))
-    return Q._t(spark, sf_dir, "events").groupBy("event_type").agg(at.alias("q"), F.max("value").alias("most")).select("event_type", *(F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("median", "p90", "p95"))), "most")
+    counts = K.running(K.counted(Q._t(spark, sf_dir, "events"), ["event_type"], "value"), ["event_type"], "value")
+    shares = {"median": 0.5, "p90": 0.9, "p95": 0.95}
+    return counts.groupBy("event_type").agg(*K.quantile_columns(shares, "value"), F.max("value").alias("most")).select("event_type", *(F.round(c, 6).alias(c) for c in shares), "most")
 
 
 def spearman_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank correlations of all pairs of part columns, ranks shared by ties; ranks come from counts of values."""
     p = Q._t(spark, sf_dir, "part").select("p_partkey", F.expr("stack(3, 'key', cast(p_partkey as double), 'price', p_retailprice, 'size', cast(p_size as double)) as (name, v)"))
     counts = p.groupBy("name", "v").agg(F.count("*").alias("k"))
-    before = F.coalesce(F.sum("k").over(Window.partitionBy("name").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = p.join(counts.withColumn("rank", before + (F.col("k") + 1) / 2), ["name", "v"]).groupBy("p_partkey").pivot("name", ["key", "price", "size"]).agg(F.first("rank"))
+    ranked = K.running(counts, ["name"], "v", "k").select("name", "v", (F.col("before") + (F.col("k") + 1) / 2).alias("rank"))
+    ranks = p.join(ranked, ["name", "v"]).groupBy("p_partkey").pivot("name", ["key", "price", "size"]).agg(F.first("rank"))
     names = ("key", "price", "size")
     pairs = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("x"), F.col(b).alias("y")) for a in names for b in names))
     return ranks.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.round(F.corr("p.x", "p.y"), 6).alias("rho"))

@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from ..functions import expressions as X
 from ..operators import geometry as G
 from ..operators import network as N
+from ..operators import ranks as K
 from ..operators import relational as R
+from ..operators.network import checkpointed
 
 ROAD_ANCHOR, EVENT_ANCHOR = "1995-01-02", "2024-01-01"
 SCENARIOS = ("actual_unpaved", "unknown_as_paved", "unknown_as_unpaved")
@@ -110,8 +112,8 @@ def grid_snap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def local_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _t(spark, sf_dir, "part")
-    return p.select("p_partkey", F.round(R.average_percentile("p_retailprice", ["p_type"]), 6).alias("pct"))
+    p = _t(spark, sf_dir, "part").select("p_partkey", "p_type", "p_retailprice")
+    return K.with_percentile(p, ["p_type"], "p_retailprice", "pct").select("p_partkey", F.round("pct", 6).alias("pct"))
 
 
 def value_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,8 +126,8 @@ def weighted_nearest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cdf_percentile_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = R.histogram(_road_weeks(spark, sf_dir), [], "l_quantity")
-    share = F.sum("count").over(Window.orderBy("l_quantity")) / F.sum("count").over(Window.partitionBy()) * 100
-    return counts.select("l_quantity", F.col("count").alias("n"), F.round(share, 6).alias("pct"))
+    share = (F.col("before") + F.col("count")) / F.col("total") * 100
+    return K.running(counts, [], "l_quantity").select("l_quantity", F.col("count").alias("n"), F.round(share, 6).alias("pct"))
 
 
 def damage_class(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,7 +189,9 @@ def sssp_costs(spark: SparkSession, sf_dir: str, graph=N.trade_graph) -> DataFra
 
 def access_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     trips = _t(spark, sf_dir, "orders").withColumn("best", F.min("o_totalprice").over(Window.partitionBy("o_custkey")))
-    return trips.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.round(F.percentile(F.col("o_totalprice") - F.col("best"), F.lit(0.5)), 6).alias("median_extra"), F.round(F.max(F.col("o_totalprice") / F.col("best")), 6).alias("max_ratio"))
+    counts = trips.select("o_orderpriority", (F.col("o_totalprice") - F.col("best")).alias("extra"), (F.col("o_totalprice") / F.col("best")).alias("ratio")).groupBy("o_orderpriority", "extra").agg(F.count("*").alias("count"), F.max("ratio").alias("ratio"))
+    found = K.running(counts, ["o_orderpriority"], "extra").groupBy("o_orderpriority").agg(F.sum("count").alias("n"), *K.quantile_columns({"median": 0.5}, "extra"), F.max("ratio").alias("ratio"))
+    return found.select("o_orderpriority", "n", F.round("median", 6).alias("median_extra"), F.round("ratio", 6).alias("max_ratio"))
 
 
 def regimes_cumshare(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,12 +201,19 @@ def regimes_cumshare(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def burden_rank_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     per = _t(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.sum("l_quantity").alias("rain"), F.count("*").alias("burden"))
-    rank = lambda c: F.dense_rank().over(Window.orderBy(F.desc(c))).cast("long")
-    return per.select("l_suppkey", (rank("rain") - rank("burden")).alias("gap"))
+    per = checkpointed(per)
+    ranked = K.with_dense_rank(K.with_dense_rank(per, "rain", "by_rain"), "burden", "by_burden")
+    return ranked.select("l_suppkey", (F.col("by_rain") - F.col("by_burden")).alias("gap"))
+
+
+def ranked_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts with the percentile ranks of their size, x, and price, y, among those of their type."""
+    p = _t(spark, sf_dir, "part").select("p_partkey", "p_type", "p_size", "p_retailprice")
+    return K.with_percentile(K.with_percentile(p, ["p_type"], "p_size", "x"), ["p_type"], "p_retailprice", "y")
 
 
 def spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = _t(spark, sf_dir, "part").select("p_type", R.average_percentile("p_size", ["p_type"]).alias("x"), R.average_percentile("p_retailprice", ["p_type"]).alias("y"))
+    ranked = ranked_parts(spark, sf_dir)
     return ranked.groupBy("p_type").agg(F.round(F.corr("x", "y"), 6).alias("rho"))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import expressions as X
 from ..operators import geometry as G
 from ..operators import network as N
+from ..operators import ranks as K
 from ..operators import relational as R
 from ..operators import statistics as S
 from ..sources import tables as T
@@ -169,14 +170,20 @@ def production_by_country(spark: SparkSession, sf_dir: str) -> DataFrame:
 def wettest_week(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The week of June to August with the largest median rain in each nation, and its damaged roads."""
     rain = Q._road_weeks(spark, sf_dir).where(F.month("week_start").between(6, 8)).join(Q._t(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
-    weekly = rain.groupBy("s_nationkey", "week_start").agg(F.round(F.percentile(F.col("l_quantity") * 7, F.lit(0.5)), 6).alias("median_mm"), F.count(F.when(F.col("l_quantity") * 7 >= 300, 1)).alias("damaged"))
+    by = ["s_nationkey", "week_start"]
+    counts = K.running(K.counted(rain.withColumn("mm", F.col("l_quantity") * 7), by, "mm"), by, "mm")
+    weekly = counts.groupBy(*by).agg(*K.quantile_columns({"median": 0.5}, "mm"), F.sum(F.when(F.col("mm") >= 300, F.col("count")).otherwise(0)).alias("damaged")).select(*by, F.round("median", 6).alias("median_mm"), "damaged")
     return R.top_per_group(weekly, ["s_nationkey"], [F.desc("median_mm"), F.col("week_start")], 1).drop("rank")
 
 
 def positive_delay_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Total, count and median of the positive delays of each week and destination type."""
     above = F.when(F.col("delta") > 0, F.col("delta"))
-    return A._cells(spark, sf_dir).groupBy("c_mktsegment", "week_start").agg((F.sum(F.round(F.greatest("delta", F.lit(0.0)) * 2000000).cast("long")) / 2000000).alias("total"), F.count(above).alias("positive"), (F.percentile(F.round(above * 2000000), F.lit(0.5)) / 2000000).alias("median_positive"))
+    cells = A._cells(spark, sf_dir).withColumn("v", F.round(above * 2000000))
+    by = ["c_mktsegment", "week_start"]
+    counts = cells.groupBy(*by, "v").agg(F.count("v").alias("count"), F.sum(F.round(F.greatest("delta", F.lit(0.0)) * 2000000).cast("long")).alias("whole"))
+    found = K.running(counts, by, "v").groupBy(*by).agg((F.sum("whole") / 2000000).alias("total"), F.sum("count").alias("positive"), *K.quantile_columns({"m": 0.5}, "v"))
+    return found.select(*by, "total", "positive", (F.col("m") / 2000000).alias("median_positive"))
 
 
 def min_max_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import gc
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from typing import Any
 
 import pyarrow as pa
@@ -91,7 +95,14 @@ def in_slices(batches: Iterator[pa.RecordBatch], column: int | str, most: int =
             yield batch.slice(at)
 
 
-_WRITTEN: list[str] = []
+_RUN: ContextVar[str] = ContextVar("run", default="")
+_STAGE: ContextVar[int | None] = ContextVar("stage", default=None)
+#: Tables that stages have written, by run and number of the stage; what is written outside of stages is not listed, and stays.
+_WRITTEN: dict[tuple[str, int], list[str]] = {}
+
+
+def _run() -> str:
+    return _RUN.get() or f"thread {threading.get_ident()}"
 
 
 def through_parquet(df: DataFrame, name: str) -> DataFrame:
@@ -100,20 +111,54 @@ def through_parquet(df: DataFrame, name: str) -> DataFrame:
     use_shared_checkpoints(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _WRITTEN.append(path)
+    if _STAGE.get() is not None:
+        _WRITTEN.setdefault((_run(), _STAGE.get()), []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def sweep(docs: DataFrame) -> None:
-    """Remove tables of ``through_parquet`` that ``docs`` does not read, and files of shuffles that nothing refers to any more.
+@contextmanager
+def pipeline_run() -> Iterator[None]:
+    """Stages called inside are a run of their own: they remove what it has written, and nothing of any other."""
+    held = _RUN.set(uuid.uuid4().hex)
+    try:
+        yield
+    finally:
+        for key in [k for k in _WRITTEN if k[0] == _RUN.get()]:
+            del _WRITTEN[key]  # the result stays for its reader
+        _RUN.reset(held)
+
 
-    For the start of a pipeline's stage: what earlier stages returned has been written by then.
+@contextmanager
+def at_stage(number: int) -> Iterator[None]:
+    """What is written inside belongs to stage ``number``."""
+    held = _STAGE.set(number)
+    try:
+        yield
+    finally:
+        _STAGE.reset(held)
+
+
+def stage(number: int) -> Callable[[Callable[..., DataFrame]], Callable[..., DataFrame]]:
+    """Marks a pipeline's stage. Before it starts, what earlier stages of the same run have written is removed.
+
+    By then the result of the stage before has been written and read again, as the stages of a pipeline are. Stages called outside of ``pipeline_run`` are those of their thread's
+    run; of two pipelines in one thread that take turns, each is to be a ``pipeline_run``. Tables of the last stage stay, as its result may read them.
     """
-    jvm, conf = docs.sparkSession._jvm, docs.sparkSession._jsc.hadoopConfiguration()
-    read = docs.inputFiles()
-    for path in [p for p in _WRITTEN if not any(f"/{p.rpartition('/')[2]}/" in f for f in read)]:
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(conf).delete(at, True)
-        _WRITTEN.remove(path)
-    gc.collect()
-    jvm.System.gc()
+
+    def marked(function: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        @functools.wraps(function)
+        def call(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+            jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+            for key in [k for k in _WRITTEN if k[0] == _run() and k[1] < number]:
+                for path in _WRITTEN.pop(key):
+                    at = jvm.org.apache.hadoop.fs.Path(path)
+                    at.getFileSystem(conf).delete(at, True)
+            # files of shuffles that nothing refers to any more
+            gc.collect()
+            jvm.System.gc()
+            with at_stage(number):
+                return function(spark, docs, sf_dir)
+
+        return call
+
+    return marked

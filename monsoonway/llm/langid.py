@@ -77,11 +77,17 @@ class Model:
 
 
 def sample_by_language(labelled: DataFrame, rows: int) -> DataFrame:
-    """About ``rows`` rows of each language at most, the same ones in every run; all of a language with fewer."""
-    counts = labelled.groupBy("lang").count().select(F.col("lang").alias("its"), (F.lit(float(rows)) / F.col("count")).alias("share"))
-    drawn = F.pmod(F.xxhash64(F.lit("langid"), "doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
+    """About ``rows`` distinct texts of each language at most, the same ones in every run; all of a language with fewer, and always one.
+
+    Repeated rows are one text, however many they are. Only rows with a letter count.
+    """
+    drawn = F.pmod(F.xxhash64(F.lit("langid"), "text"), F.lit(1 << 30)) / float(1 << 30)
+    known = labelled.where(F.col("text").rlike(r"\p{L}")).select("text", "lang", drawn.alias("drawn"))
+    texts = known.select("lang", "drawn", F.xxhash64("text").alias("hash")).distinct()
+    counts = texts.groupBy("lang").agg((F.lit(float(rows)) / F.count("*")).alias("share"), F.min("drawn").alias("least")).withColumnRenamed("lang", "its")
     # one short row for each language that the labels name
-    return labelled.join(F.broadcast(counts), F.col("lang") == F.col("its")).where(drawn < F.col("share")).select("text", "lang")
+    chosen = known.join(F.broadcast(counts), F.col("lang") == F.col("its")).where((F.col("drawn") < F.col("share")) | (F.col("drawn") == F.col("least")))
+    return chosen.select("text", "lang").distinct()
 
 
 def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Model:

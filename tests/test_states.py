@@ -142,3 +142,93 @@ def test_near_cases_equal_one_by_one(spark):
             kept.append(r)
     found = states.near_cases(spark, "/root/testdata/sf0.001")
     assert sorted(r["client_id"] for r in found.collect()) == sorted(r["client_id"] for r in kept) and len(kept) < len(rows)
+
+
+def _sliced(spark):
+    from pyspark.sql.types import StructType
+
+    from monsoonway.sources.slices import SlicedTable
+
+    schema = StructType.fromDDL("country string, week int, v double")
+    return SlicedTable(spark, scratch_folder(spark), schema, "country", ["country", "week"])
+
+
+def _stored(table):
+    return sorted((r["slice"], r["country"], r["week"], r["v"]) for r in table.stored().collect())
+
+
+def test_slices_take_their_rows_and_repeats_add_nothing(spark):
+    table = _sliced(spark)
+    assert table.rows().count() == 0 and table.slices() == set()
+    table.ensure_slice("ago")
+    rows = spark.createDataFrame([("ago", 1, 1.0), ("AGO", 2, 2.0), ("BRA", 1, 3.0), ("BRA", 1, 3.0), ("ZMB", 1, 4.0)], table.schema)
+    table.insert(rows)
+    want = [("AGO", "AGO", 2, 2.0), ("AGO", "ago", 1, 1.0), ("__default__", "BRA", 1, 3.0), ("__default__", "ZMB", 1, 4.0)]
+    assert _stored(table) == want
+    table.insert(rows.limit(3))
+    table.insert(rows.limit(0))
+    assert _stored(table) == want and table.rebalance("COD") == 0 and table.slices() == {"AGO", "COD"}
+    with pytest.raises(ValueError):
+        table.insert(spark.createDataFrame([(None, 1, 1.0)], table.schema))
+    with pytest.raises(ValueError):
+        table.ensure_slice("a/b")
+
+
+def test_a_move_that_breaks_off_loses_nothing_and_repeats(spark):
+    class Broken(Exception):
+        pass
+
+    def broken():
+        raise Broken
+
+    table = _sliced(spark)
+    table.insert(spark.createDataFrame([("BRA", w, float(w)) for w in range(5)] + [("ZMB", 1, 4.0)], table.schema))
+    whole = sorted(map(tuple, table.rows().collect()))
+    with pytest.raises(Broken):
+        table.rebalance("bra", broken)
+    # half way: the rows lie in both slices, and the table shows them once
+    assert len(_stored(table)) == 11 and sorted(map(tuple, table.rows().collect())) == whole
+    # a row that comes meanwhile goes to the new slice
+    table.insert(spark.createDataFrame([("BRA", 9, 9.0), ("BRA", 1, 77.0)], table.schema))
+    assert table.rebalance("BRA") == 5
+    assert _stored(table) == sorted([*(("BRA", "BRA", w, float(w)) for w in (0, 1, 2, 3, 4, 9)), ("__default__", "ZMB", 1, 4.0)])
+    assert table.rebalance("BRA") == 0 and table.rebalance("ZMB") == 1
+    # the default slice is empty now
+    assert {s for s, *_ in _stored(table)} == {"BRA", "ZMB"} and table.rows().count() == 7
+
+
+def test_overlay_plan_reads_each_source_once(spark):
+    from datetime import date
+
+    from monsoonway.operators import overlay as O
+
+    asked = []
+    weeks = [date(2024, 1, 1 + 7 * k) for k in range(3)]
+
+    def rain(columns, todo):
+        asked.append(("rain", tuple(columns), tuple(todo)))
+        return spark.createDataFrame([("a", w, float(w.day), -1.0) for w in todo[:2]], "cell string, week_start date, mm double, gust double")
+
+    def soil(columns, todo):
+        asked.append(("soil", tuple(columns), tuple(todo)))
+        return spark.createDataFrame([(1, 7.0)], "road int, soil double")
+
+    def never(columns, todo):
+        raise AssertionError("a source that is off is not read")
+
+    sources = [O.Source("rain", ("cell",), {"mm": "double", "gust": "double"}, rain), O.Source("flood", ("cell",), {"depth": "double"}, lambda c, w: None), O.Source("soil", ("road",), {"soil": "double"}, soil, weekly=False), O.Source("smoke", ("cell",), {"pm": "double"}, never)]
+    roads = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "road int, cell string")
+    plan = O.planned(sources, off=("smoke",))
+    found = {(r["road"], r["week_start"]): (r["mm"], r["depth"], r["soil"]) for r in O.weekly_overlay(O.static_overlay(roads, plan), plan, weeks).collect()}
+    assert len(found) == 9 and found[1, weeks[0]] == (1.0, None, 7.0) and found[1, weeks[2]] == (None, None, 7.0) and found[3, weeks[0]] == (None, None, None)
+    assert asked == [("soil", ("soil",), ()), ("rain", ("mm", "gust"), tuple(weeks))]
+    assert [(s.name, c) for s, c in O.planned(sources, ["gust", "soil", "pm"], off=("smoke",))] == [("rain", ["gust"]), ("soil", ["soil"])]
+    with pytest.raises(ValueError):
+        O.planned(sources, ["nobody"])
+    # resume: weeks that are there are not read again, a week asked for again replaces itself
+    folder, plan = scratch_folder(spark), O.planned(sources, ["mm"])
+    asked.clear()
+    assert O.write_weeks(roads, plan, weeks[:1], folder) == weeks[:1] and O.write_weeks(roads, plan, weeks, folder) == weeks[1:] and O.write_weeks(roads, plan, weeks, folder) == []
+    assert asked == [("rain", ("mm",), tuple(weeks[:1])), ("rain", ("mm",), tuple(weeks[1:]))] and O.weeks_at(spark, folder) == set(weeks)
+    O.write_weeks(roads, plan, weeks[1:2], folder, again=True)
+    assert spark.read.parquet(folder).count() == 9

@@ -40,16 +40,12 @@ def covered(lines: DataFrame, cell: float, margin: float = 0.0) -> DataFrame:
     return wide.withColumn("cy", F.explode(F.sequence(_floor(bottom - slack, cell), _floor(top + slack, cell))))
 
 
-def noded(lines: DataFrame, cell: float) -> DataFrame:
-    """Pieces (line_id, piece, x1, y1, x2, y2) of lines (line_id, x1, y1, x2, y2) cut where they meet others.
+def cuts_between(cells: DataFrame, other: DataFrame) -> DataFrame:
+    """Rows (line_id, t), t above 0 and below 1: where lines of ``cells`` are cut by lines of ``other``, both as ``covered`` gives them.
 
-    Lines that share a cell are compared; a crossing, a touching end and both ends of an overlap cut. Pieces count
-    from 0 along their line, which they name, so attributes follow by a join. Lines without length give one piece;
-    lines with a null coordinate give none.
+    Lines that share a cell are compared; a crossing, a touching end and both ends of an overlap cut.
     """
-    lines = lines.select("line_id", "x1", "y1", "x2", "y2").dropna()
-    cells = covered(lines, cell)
-    other = cells.select("cx", "cy", F.col("line_id").alias("o_id"), *(F.col(c).alias(f"o_{c}") for c in ("x1", "y1", "x2", "y2")))
+    other = other.select("cx", "cy", F.col("line_id").alias("o_id"), *(F.col(c).alias(f"o_{c}") for c in ("x1", "y1", "x2", "y2")))
     met = cells.join(other, ["cx", "cy"]).where("line_id <> o_id")
     rx, ry, sx, sy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"), F.col("o_x2") - F.col("o_x1"), F.col("o_y2") - F.col("o_y1")
     qx, qy = F.col("o_x1") - F.col("x1"), F.col("o_y1") - F.col("y1")
@@ -58,14 +54,29 @@ def noded(lines: DataFrame, cell: float) -> DataFrame:
     along = lambda x, y: ((x - F.col("x1")) * rx + (y - F.col("y1")) * ry) / F.nullif(rx * rx + ry * ry, F.lit(0.0))
     overlap = F.array(along(F.col("o_x1"), F.col("o_y1")), along(F.col("o_x2"), F.col("o_y2")))
     cuts = F.when((cross != 0) & u.between(-END, 1 + END), F.array(t)).when((cross == 0) & (aside == 0), overlap)
-    inside = met.select("line_id", F.explode(cuts).alias("t")).where(F.col("t").between(END, 1 - END)).select("line_id", F.round("t", 9).alias("t"))
+    return met.select("line_id", F.explode(cuts).alias("t")).where(F.col("t").between(END, 1 - END)).select("line_id", F.round("t", 9).alias("t"))
+
+
+def split_at(lines: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Pieces (line_id, piece, x1, y1, x2, y2) of lines cut at the places (line_id, t), which may repeat; pieces count from 0 along their line."""
     ends = lines.select("line_id", F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("t"))
     along_line = Window.partitionBy("line_id").orderBy("t")
-    spans = inside.unionByName(ends).distinct().select("line_id", "t", F.lead("t").over(along_line).alias("to"), (F.row_number().over(along_line) - 1).cast("long").alias("piece")).where("`to` is not null")
+    spans = cuts.unionByName(ends).distinct().select("line_id", "t", F.lead("t").over(along_line).alias("to"), (F.row_number().over(along_line) - 1).cast("long").alias("piece")).where("`to` is not null")
     point = lambda name, at: (F.col(f"{name}1") + F.col(at) * (F.col(f"{name}2") - F.col(f"{name}1")))
     return spans.join(lines, "line_id").select("line_id", "piece", point("x", "t").alias("x1"), point("y", "t").alias("y1"), point("x", "to").alias("x2"), point("y", "to").alias("y2"))
 
 
+def noded(lines: DataFrame, cell: float) -> DataFrame:
+    """Pieces (line_id, piece, x1, y1, x2, y2) of lines (line_id, x1, y1, x2, y2) cut where they meet others.
+
+    Pieces count from 0 along their line, which they name, so attributes follow by a join. Lines without length give one piece;
+    lines with a null coordinate give none.
+    """
+    lines = lines.select("line_id", "x1", "y1", "x2", "y2").dropna()
+    cells = covered(lines, cell)
+    return split_at(lines, cuts_between(cells, cells))
+
+
 def node_key(x: Column, y: Column) -> Column:
     """One number for a point, equal for points that agree in five decimals."""
     return F.round(x * 100000).cast("long") * 1000000000 + F.round(y * 100000).cast("long")

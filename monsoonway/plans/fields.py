@@ -15,10 +15,14 @@ from ..operators import areas as A
 from ..operators import geometry as G
 from ..operators import goal_routes as R
 from ..operators import grids as D
+from ..operators import renoding as L
 from ..operators import terminals as T
 from ..operators.network import checkpointed, scratch_folder
+from ..operators.weekly_access import run_weeks
 from ..sources import geotiff, netcdf
+from . import measures as M
 from . import queries as Q
+from . import routing as V
 from .accessibility import _POINTS, _points
 
 #: Groups of points that an area is made of, by remainder of their number; how far out its corners lie, and its hole's.
@@ -146,7 +150,36 @@ def raster_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("id").agg(F.count("value").alias("n"), F.sum("value").alias("total"), F.min_by("value", F.when(F.col("value").isNotNull(), F.col("raster"))).alias("first"))
 
 
-QUERIES = {f.__name__: f for f in (raster_samples, utm_nearest, dense_weeks, grid_series, areas_of_points, points_in_areas, astar_costs, terminal_links, terminal_routes)}
+def weekly_od_access(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hours of every origin-destination row in every week and scenario: a run of one slice, one that resumes, and one that replaces a slice.
+
+    Origins are the first supplier of each nation, destinations all of the next nation, and a place that no road reaches.
+    """
+    key = F.col("s_suppkey")
+    suppliers = Q._t(spark, sf_dir, "supplier")
+    nodes = suppliers.select(key.alias("node"), (key * 37 % 101 - 50).cast("double").alias("x"), (key * 53 % 97 - 48).cast("double").alias("y"))
+    first = suppliers.where(key.isin(M._origins(spark, sf_dir))).select(key.alias("origin"), ((F.col("s_nationkey") + 1) % 25).alias("s_nationkey"))
+    next_ = suppliers.select("s_nationkey", key.alias("dest")).unionByName(first.select("s_nationkey", (-F.col("origin") - 1).alias("dest")))
+    od = checkpointed(first.join(next_, "s_nationkey").select("origin", "dest"))
+    links, folder = checkpointed(M.weekly_links(spark, sf_dir)), scratch_folder(spark)
+    week = links.agg(F.min("week_start")).first()[0]
+    run_weeks(links.where((F.col("week_start") == week) & (F.col("scenario") == Q.SCENARIOS[0])), nodes, od, folder)
+    run_weeks(links, nodes, od, folder)
+    run_weeks(links, nodes, od, folder, [(str(week), Q.SCENARIOS[0])])
+    found = spark.read.schema("origin long, dest long, travel_time_h double, route_status string, week_start date, scenario string").parquet(folder)
+    return found.select("week_start", "scenario", "origin", "dest", F.round("travel_time_h", 6).alias("hours"), "route_status")
+
+
+def renoded_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all lines, those of label 3 added to the others after these were noded."""
+    lines = V._lines(spark, sf_dir)
+    before = lines.where("label <> 3")
+    cuts = checkpointed(L.cuts_of(before, V.LINE_CELL))
+    _, found = L.renoded(before, cuts, G.split_at(before, cuts), lines.where("label = 3"), V.LINE_CELL)
+    return found.join(lines.select("line_id", "label"), "line_id").select("line_id", "piece", "label", *(Q._r(c, 5) for c in ("x1", "y1", "x2", "y2")))
+
+
+QUERIES = {f.__name__: f for f in (weekly_od_access, renoded_pieces, raster_samples, utm_nearest, dense_weeks, grid_series, areas_of_points, points_in_areas, astar_costs, terminal_links, terminal_routes)}
 
 _SQL_AREAS = f"""{_POINTS}, q AS (SELECT *, label * {PARTS} + vec_id % {PARTS} AS area FROM p), m AS (SELECT area, avg(x) AS mx, avg(y) AS my FROM q GROUP BY area HAVING count(*) >= 3),
 c AS (SELECT area, f, mx + f * (x - mx) AS cx, my + f * (y - my) AS cy, row_number() OVER (PARTITION BY area, f ORDER BY atan2(y - my, x - mx), vec_id) AS k, count(*) OVER (PARTITION BY area, f) AS n FROM q JOIN m USING (area), (VALUES (CAST({REACH} AS DOUBLE)), (CAST({HOLE} AS DOUBLE))) s(f)),
@@ -186,6 +219,10 @@ SELECT supplier, CAST(rank AS INT) AS rank, customer, metres FROM (SELECT q.k AS
     "dense_weeks": f"""WITH e AS (SELECT {Q._SQL_EVENT_WEEK} AS week_start, round(user_id // 15 * 0.25 + 5.00001, 4) AS lat, round(user_id % 15 * CAST(0.1 AS DOUBLE) + 30, 4) AS lon, value FROM events),
 w AS (SELECT DISTINCT week_start FROM e UNION SELECT {Q._SQL_EVENT_WEEK.replace('CAST(ts AS date)', 'CAST(max(ts) AS date) + 7')} FROM events), g AS (SELECT week_start, lat, lon, max(value) AS v FROM e GROUP BY ALL)
 SELECT w.week_start, printf('%.4f', CAST(b.lon AS DOUBLE)) || ':' || printf('%.4f', CAST(a.lat AS DOUBLE)) AS cell_id, v FROM w, (SELECT DISTINCT lat FROM e) a, (SELECT DISTINCT lon FROM e) b LEFT JOIN g ON g.week_start = w.week_start AND g.lat = a.lat AND g.lon = b.lon""",
+    "weekly_od_access": M.ORACLE_SQL["weekly_access"].rpartition("SELECT week_start, scenario, origin")[0].rstrip() + f""", o AS (SELECT s_suppkey AS origin, (s_nationkey + 1) % 25 AS n FROM supplier WHERE s_suppkey IN (SELECT s_suppkey FROM ({M._FIRST}))),
+od AS (SELECT origin, s_suppkey AS dest FROM o JOIN supplier ON s_nationkey = n UNION ALL SELECT origin, -origin - 1 FROM o)
+SELECT w.week_start, w.scenario, od.origin, od.dest, round(cost, 6) AS hours, CASE WHEN cost IS NULL THEN 'unreachable' ELSE 'ok' END AS route_status FROM od CROSS JOIN (SELECT DISTINCT week_start, scenario FROM c) w LEFT JOIN x ON x.week_start = w.week_start AND x.scenario = w.scenario AND x.origin = od.origin AND x.node = od.dest""",
+    "renoded_pieces": V.ORACLE_SQL["noded_pieces"],
     "astar_costs": f"WITH RECURSIVE {_SQL_ROADS}, b AS (SELECT a AS s, b AS t, w FROM e UNION ALL SELECT b, a, w FROM e), o AS (SELECT vec_id AS origin FROM p), {_SQL_COSTS} SELECT origin, node AS dest, round(cost, 6) AS cost FROM r WHERE node = origin + 10",
     "terminal_links": f"WITH RECURSIVE {_SQL_GROWN} SELECT 'terminal_connector' AS kind, a, b, round(w, 6) AS hours FROM k UNION ALL SELECT 'component_connector', x.a, x.b, round(sqrt(x.d) / {T.CONNECTOR_KMH}, 6) FROM g WHERE x IS NOT NULL",
     "terminal_routes": f"""WITH RECURSIVE {_SQL_GROWN}, w AS (SELECT a, b, w FROM u UNION ALL SELECT x.a, x.b, sqrt(x.d) / {T.CONNECTOR_KMH} FROM g WHERE x IS NOT NULL), b AS (SELECT a AS s, b AS t, w FROM w UNION ALL SELECT b, a, w FROM w), o AS (SELECT id AS origin FROM s), {_SQL_COSTS}

@@ -283,3 +283,67 @@ def test_connected_terminals(spark):
     assert len({labels[i] for i in (6, 7, 8)}) == 1 and labels[5] == 5
     one = spark.createDataFrame([(1, 0.0, 0.0, 1)], "id long, x double, y double, component long")
     assert T.growth(one, one, 1.0).count() == 0 and T.growth(one.limit(0), one.limit(0), 1.0).count() == 0
+
+
+def _lines(spark, draw, n, first):
+    rows = []
+    for i in range(n):
+        x, y = draw.integers(0, 30, 2).tolist()
+        dx, dy = draw.integers(-6, 7, 2).tolist()
+        rows.append((first + i, float(x), float(y), float(x + dx), float(y + dy)))
+    return spark.createDataFrame(rows, "line_id long, x1 double, y1 double, x2 double, y2 double")
+
+
+def test_renoding_equals_noding_everything(spark):
+    """Lines on whole numbers cross, touch, overlap and repeat; lines without length and without coordinates among them."""
+    from monsoonway.operators import geometry as G
+    from monsoonway.operators import renoding as L
+
+    draw = np.random.default_rng(6)
+    base, first, second = _lines(spark, draw, 60, 0), _lines(spark, draw, 7, 100), _lines(spark, draw, 7, 200)
+    odd = spark.createDataFrame([(300, 5.0, 5.0, 5.0, 5.0), (301, None, 1.0, 2.0, 2.0)], base.schema)
+    rows = lambda t: sorted((r["line_id"], r["piece"], *(round(r[c], 7) for c in ("x1", "y1", "x2", "y2"))) for r in t.collect())
+    lines, cuts = base, L.cuts_of(base, 4.0)
+    pieces = G.split_at(base, cuts)
+    assert rows(pieces) == rows(G.noded(base, 4.0))
+    for added in (first, second.unionByName(odd), odd.limit(0)):
+        cuts, pieces = (N.checkpointed(t) for t in L.renoded(lines, cuts, pieces, added, 4.0))
+        lines = lines.unionByName(added)
+        assert rows(pieces) == rows(G.noded(lines, 4.0)) and rows(pieces.where("line_id = 301")) == []
+
+
+def test_parents_by_covering_and_by_nearness(spark):
+    from monsoonway.operators import renoding as L
+
+    lines = spark.createDataFrame([(5, 0.0, 0.0, 10.0, 0.0), (3, 2.0, 0.0, 8.0, 0.0), (9, 0.0, 2.0, 10.0, 2.0)], "line_id long, x1 double, y1 double, x2 double, y2 double")
+    pieces = spark.createDataFrame([(1, 0, 4.0, 0.0, 6.0, 0.0), (1, 1, 0.0, 0.0, 1.0, 0.0), (2, 0, 4.0, 1.6, 6.0, 1.6), (2, 1, 4.0, 50.0, 6.0, 50.0)], "line_id long, piece long, x1 double, y1 double, x2 double, y2 double")
+    found = {(r["line_id"], r["piece"]): (r["parent"], r["covered"]) for r in L.parents(pieces, lines, 3.0, 1e-6).collect()}
+    assert found == {(1, 0): (3, True), (1, 1): (5, True), (2, 0): (9, False), (2, 1): (None, False)}
+
+
+def test_weekly_run_resumes_and_replaces(spark):
+    from datetime import date
+
+    from monsoonway.operators import weekly_access as W
+
+    links = lambda scale: spark.createDataFrame([(date(2024, 1, 1 + 7 * w), s, a, b, c * scale) for w in range(2) for s in ("x", "y") for a, b, c in ((1, 2, 1.0 + w), (2, 3, 2.0), (7, 8, 1.0), (3, 4, 0.0))], "week_start date, scenario string, a long, b long, w double")
+    nodes = spark.createDataFrame([(i, float(i), 0.0) for i in range(9)], "node long, x double, y double")
+    od = spark.createDataFrame([(1, 3, "p"), (1, 3, "q"), (1, 8, "p"), (2, 2, "p"), (1, None, "p"), (3, 4, "z")], "origin long, dest long, crop string")
+    folder = N.scratch_folder(spark)
+    rows = lambda: {(str(r["week_start"]), r["scenario"], r["origin"], r["dest"], r["crop"]): (r["travel_time_h"], r["route_status"]) for r in spark.read.parquet(folder).collect()}
+    assert W.run_weeks(links(1.0).where("scenario = 'x'"), nodes, od, folder) == 2 and W.run_weeks(links(1.0).where("scenario = 'x'"), nodes, od, folder) == 0
+    assert W.run_weeks(links(10.0), nodes, od, folder) == 2 and W.run_weeks(links(100.0), nodes, od, folder, [("2024-01-08", "y"), ("2030-01-01", "y")]) == 1
+    found = rows()
+    assert len(found) == 4 * 6 and {k[:2]: v for k, v in found.items() if k[2:] == (1, 3, "q")} == {("2024-01-01", "x"): (3.0, "ok"), ("2024-01-08", "x"): (4.0, "ok"), ("2024-01-01", "y"): (30.0, "ok"), ("2024-01-08", "y"): (400.0, "ok")}
+    assert found["2024-01-01", "x", 1, 8, "p"] == (None, "unreachable") == found["2024-01-01", "x", 1, None, "p"] == found["2024-01-01", "x", 3, 4, "z"] and found["2024-01-01", "x", 2, 2, "p"] == (0.0, "ok")
+
+
+def test_keyed_graphs_as_tables(spark):
+    xy, links = _drawn_graph(4, 30, 0.3)
+    nodes = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(xy)], "node long, x double, y double")
+    weighted = spark.createDataFrame([(k, a, b, w * (1 + (a * k) % 3)) for k in (0, 1) for a, b, w in links], "k long, a long, b long, w double")
+    pairs = spark.createDataFrame([(0, 9), (1, 22), (5, 5)], "origin long, dest long")
+    base = R.base_table(weighted, nodes, ("k",))
+    found = [{(r["k"], r["origin"], r["dest"]): round(r["cost"], 9) for r in R.pair_costs(pairs, base, held=held, keys=("k",)).collect()} for held in (5, 10_000)]
+    want = {(k, a, b): round(c, 9) for k in (0, 1) for a, b in ((0, 9), (1, 22), (5, 5)) if (c := _dijkstra([(x, y, w * (1 + (x * k) % 3)) for x, y, w in links], a).get(b)) is not None}
+    assert found[0] == found[1] == want

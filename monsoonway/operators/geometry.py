@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .network import checkpointed, components
+from .ranks import running
 
 #: Cuts this close to an end of a line, as a share of its length, are that end.
 END = 1e-9
@@ -82,6 +83,39 @@ def node_key(x: Column, y: Column) -> Column:
     return F.round(x * 100000).cast("long") * 1000000000 + F.round(y * 100000).cast("long")
 
 
+def edge_ends(lines: DataFrame, key: Column, other: Column) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, node, ends, x, y) and edges (line_id, source, target) of lines (line_id, x1, y1, x2, y2); ``key`` and ``other`` name their first and last point.
+
+    A node is the mean of the ends that share a name. Ids count names in their order from 1; they come from counts of ranges, so no task numbers all nodes.
+    Lines with a null coordinate are left out.
+    """
+    named = checkpointed(lines.dropna(subset=["x1", "y1", "x2", "y2"]).select("line_id", key.alias("s"), other.alias("t"), "x1", "y1", "x2", "y2"))
+    ends = named.select(F.explode(F.array(F.struct(F.col("s").alias("node"), F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("t").alias("node"), F.col("x2").alias("x"), F.col("y2").alias("y")))).alias("e")).select("e.*")
+    nodes = ends.groupBy("node").agg(F.count("*").alias("ends"), F.avg("x").alias("x"), F.avg("y").alias("y"), F.lit(1).cast("long").alias("one"))
+    nodes = checkpointed(running(nodes, [], "node", "one").select((F.col("before") + 1).alias("id"), "node", "ends", "x", "y"))
+    of = lambda end, name: nodes.select(F.col("node").alias(end), F.col("id").alias(name))
+    return nodes, named.join(of("s", "source"), "s").join(of("t", "target"), "t").select("line_id", "source", "target")
+
+
+def midpoints(parts: DataFrame) -> DataFrame:
+    """Rows (line_id, x, y) half way along the longest part of each line, parts (line_id, part, xs, ys); of parts as long the first.
+
+    A line whose parts have no length gives the mean of its points, one without points none.
+    """
+    steps = F.transform(F.sequence(F.lit(1), F.size("xs") - 1), lambda i: F.hypot(F.get("xs", i) - F.get("xs", i - 1), F.get("ys", i) - F.get("ys", i - 1)))
+    own = parts.where("size(xs) > 0 and size(xs) = size(ys)").withColumn("steps", F.when(F.size("xs") > 1, steps).otherwise(F.array().cast("array<double>")))
+    sums = lambda c: F.aggregate(c, F.lit(0.0), lambda a, v: a + v)
+    own = own.withColumn("length", sums("steps"))
+    best = own.groupBy("line_id").agg(F.max(F.struct("length", (-F.col("part")).alias("first"), "xs", "ys", "steps")).alias("m"), (F.sum(sums("xs")) / F.sum(F.size("xs"))).alias("cx"), (F.sum(sums("ys")) / F.sum(F.size("ys"))).alias("cy"))
+    # steps that end before half the length
+    reach = F.aggregate("m.steps", F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("run")), lambda a, v: F.struct(F.when(a["run"] + v < F.col("m.length") / 2, a["n"] + 1).otherwise(a["n"]).alias("n"), (a["run"] + v).alias("run")))
+    at = best.withColumn("i", reach["n"]).withColumn("rest", F.col("m.length") / 2 - sums(F.slice("m.steps", F.lit(1), F.col("i"))))
+    step = F.get("m.steps", F.col("i"))
+    along = lambda c: F.get(f"m.{c}", F.col("i")) + (F.get(f"m.{c}", F.col("i") + 1) - F.get(f"m.{c}", F.col("i"))) * F.col("rest") / F.nullif(step, F.lit(0.0))
+    lies = F.col("m.length") > 0
+    return at.select("line_id", F.when(lies, along("xs")).otherwise(F.col("cx")).alias("x"), F.when(lies, along("ys")).otherwise(F.col("cy")).alias("y"))
+
+
 def near_lines(points: DataFrame, lines: DataFrame, reach: float) -> DataFrame:
     """Rows (point_id, line_id, d2) of points (point_id, px, py) at most ``reach`` from a line."""
     cells = covered(lines.select("line_id", "x1", "y1", "x2", "y2").dropna(), reach, reach)

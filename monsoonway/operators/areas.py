@@ -129,3 +129,21 @@ def representative_points(rings: DataFrame) -> DataFrame:
     spans = met.withColumn("k", F.row_number().over(row)).withColumn("to", F.lead("x").over(row)).where("k % 2 = 1")
     widest = spans.groupBy("area").agg(F.max(F.struct((F.col("to") - F.col("x")).alias("wide"), (-F.col("x")).alias("left"), "x", "to", "y")).alias("m"))
     return widest.select("area", ((F.col("m.x") + F.col("m.to")) / 2).alias("x"), F.col("m.y").alias("y"))
+
+
+def box_of(rings: DataFrame, pad: float = 0.0) -> tuple[float, float, float, float] | None:
+    """West, south, east and north of all rings, ``pad`` further out; None without rings."""
+    least, most = (lambda c: F.min(F.array_min(c))), (lambda c: F.max(F.array_max(c)))
+    found = rings.agg(least("xs"), least("ys"), most("xs"), most("ys")).first()
+    return None if found[0] is None else (found[0] - pad, found[1] - pad, found[2] + pad, found[3] + pad)
+
+
+def top_cells(cells: DataFrame, rings: DataFrame, n: int, cell: float) -> DataFrame:
+    """Rows (area, rank, row, col, x, y, value): the ``n`` greatest positive of ``cells(row, col, x, y, value)`` whose centre lies in each area.
+
+    Ties go to the smaller row, then column; rows and columns tell cells apart.
+    """
+    own = checkpointed(cells.where("value > 0").withColumn("id", F.struct("row", "col")))
+    inside = located(own.select("id", "x", "y"), rings, cell).join(own, "id")
+    rank = F.row_number().over(Window.partitionBy("area").orderBy(F.desc("value"), "row", "col")).cast("long")
+    return inside.withColumn("rank", rank).where(F.col("rank") <= n).select("area", "rank", "row", "col", "x", "y", "value")

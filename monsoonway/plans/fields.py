@@ -29,7 +29,7 @@ from .accessibility import _POINTS, _points
 PARTS, REACH, HOLE = 5, 1.3, 0.4
 CELL = 1.5
 #: Sides of the cells of rasters, and cells of a tile's side.
-RASTER_CELLS, TILE = (2.0, 7.0), 32
+RASTER_CELLS, TILE, CROP_TILE = (2.0, 7.0), 32, 64
 #: Reach of a link between points, and speeds by the remainder of its ends.
 LINK_REACH, SPEEDS = 3.0, (60.0, 40.0, 30.0)
 
@@ -179,7 +179,22 @@ def renoded_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(lines.select("line_id", "label"), "line_id").select("line_id", "piece", "label", *(Q._r(c, 5) for c in ("x1", "y1", "x2", "y2")))
 
 
-QUERIES = {f.__name__: f for f in (weekly_od_access, renoded_pieces, raster_samples, utm_nearest, dense_weeks, grid_series, areas_of_points, points_in_areas, astar_costs, terminal_links, terminal_routes)}
+def crop_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five greatest positive cells of a raster of sums by cell, in each area."""
+    wide = RASTER_CELLS[0]
+    at = lambda c: F.floor(F.col(c) / wide).cast("long")
+    rings = checkpointed(_rings(spark, sf_dir))
+    sums = _points(spark, sf_dir).groupBy((-at("y") - 1).alias("row"), at("x").alias("col")).agg(F.sum(F.col("vec_id") % 17 - 4).cast("double").alias("value"))
+    # one raster that holds all cells, from -CROP_TILE to CROP_TILE - 1 in both directions
+    shifted = sums.select(F.lit("crop").alias("key"), (F.col("row") + CROP_TILE).alias("row"), (F.col("col") + CROP_TILE).alias("col"), "value")
+    path = checkpointed(geotiff.write_tiles(shifted, "key", scratch_folder(spark), wide, 2 * CROP_TILE, -9999.0)).first()["path"]
+    shift = CROP_TILE * wide
+    cells = geotiff.cells(spark, path).select("row", "col", (F.col("x") - shift).alias("x"), (F.col("y") + shift).alias("y"), "value")
+    found = A.top_cells(cells, rings, 5, CELL)
+    return found.select("area", "rank", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"), "value")
+
+
+QUERIES = {f.__name__: f for f in (crop_cells, weekly_od_access, renoded_pieces, raster_samples, utm_nearest, dense_weeks, grid_series, areas_of_points, points_in_areas, astar_costs, terminal_links, terminal_routes)}
 
 _SQL_AREAS = f"""{_POINTS}, q AS (SELECT *, label * {PARTS} + vec_id % {PARTS} AS area FROM p), m AS (SELECT area, avg(x) AS mx, avg(y) AS my FROM q GROUP BY area HAVING count(*) >= 3),
 c AS (SELECT area, f, mx + f * (x - mx) AS cx, my + f * (y - my) AS cy, row_number() OVER (PARTITION BY area, f ORDER BY atan2(y - my, x - mx), vec_id) AS k, count(*) OVER (PARTITION BY area, f) AS n FROM q JOIN m USING (area), (VALUES (CAST({REACH} AS DOUBLE)), (CAST({HOLE} AS DOUBLE))) s(f)),
@@ -219,6 +234,9 @@ SELECT supplier, CAST(rank AS INT) AS rank, customer, metres FROM (SELECT q.k AS
     "dense_weeks": f"""WITH e AS (SELECT {Q._SQL_EVENT_WEEK} AS week_start, round(user_id // 15 * 0.25 + 5.00001, 4) AS lat, round(user_id % 15 * CAST(0.1 AS DOUBLE) + 30, 4) AS lon, value FROM events),
 w AS (SELECT DISTINCT week_start FROM e UNION SELECT {Q._SQL_EVENT_WEEK.replace('CAST(ts AS date)', 'CAST(max(ts) AS date) + 7')} FROM events), g AS (SELECT week_start, lat, lon, max(value) AS v FROM e GROUP BY ALL)
 SELECT w.week_start, printf('%.4f', CAST(b.lon AS DOUBLE)) || ':' || printf('%.4f', CAST(a.lat AS DOUBLE)) AS cell_id, v FROM w, (SELECT DISTINCT lat FROM e) a, (SELECT DISTINCT lon FROM e) b LEFT JOIN g ON g.week_start = w.week_start AND g.lat = a.lat AND g.lon = b.lon""",
+    "crop_cells": f"""WITH {_SQL_AREAS}, g AS (SELECT (floor(x / {RASTER_CELLS[0]}) + 0.5) * {RASTER_CELLS[0]} AS x, (floor(y / {RASTER_CELLS[0]}) + 0.5) * {RASTER_CELLS[0]} AS y, sum(vec_id % 17 - 4) + 0.0 AS value FROM p GROUP BY ALL HAVING sum(vec_id % 17 - 4) > 0),
+i AS (SELECT area, x, y, value FROM g JOIN side ON (y1 > y) <> (y2 > y) AND (y - y1) * (x2 - x1) / (y2 - y1) + x1 > x GROUP BY ALL HAVING count(*) % 2 = 1)
+SELECT CAST(area AS BIGINT) AS area, rank, round(x, 3) AS x, round(y, 3) AS y, value FROM (SELECT *, row_number() OVER (PARTITION BY area ORDER BY value DESC, y DESC, x) AS rank FROM i) WHERE rank <= 5""",
     "weekly_od_access": M.ORACLE_SQL["weekly_access"].rpartition("SELECT week_start, scenario, origin")[0].rstrip() + f""", o AS (SELECT s_suppkey AS origin, (s_nationkey + 1) % 25 AS n FROM supplier WHERE s_suppkey IN (SELECT s_suppkey FROM ({M._FIRST}))),
 od AS (SELECT origin, s_suppkey AS dest FROM o JOIN supplier ON s_nationkey = n UNION ALL SELECT origin, -origin - 1 FROM o)
 SELECT w.week_start, w.scenario, od.origin, od.dest, round(cost, 6) AS hours, CASE WHEN cost IS NULL THEN 'unreachable' ELSE 'ok' END AS route_status FROM od CROSS JOIN (SELECT DISTINCT week_start, scenario FROM c) w LEFT JOIN x ON x.week_start = w.week_start AND x.scenario = w.scenario AND x.origin = od.origin AND x.node = od.dest""",

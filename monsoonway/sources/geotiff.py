@@ -13,12 +13,13 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import projections as P
@@ -214,6 +215,32 @@ def sampled(points: DataFrame, paths: list[str], band: int = 1) -> DataFrame:
     return own.select("id", "raster", "row", "col").join(values, ["raster", "row", "col"]).select("id", "raster", "value")
 
 
+def cells(spark: SparkSession, path: str, box: tuple[float, float, float, float] | None = None, band: int = 1) -> DataFrame:
+    """Rows (row, col, x, y, value) of the cells of a raster that have a value, x and y their centres in its own system; with a box (west, south, east, north) of that system those whose centre it holds.
+
+    A task reads some blocks, one after another; blocks that the box does not meet are not read.
+    """
+    raster = header_of(path)
+    (high, wide), (w, h) = raster.block, raster.cell
+    down = -(-raster.height // high)
+    first = (0, 0, down, raster.across) if box is None else (
+        max(0, int((raster.top - box[3]) / h // high)), max(0, int((box[0] - raster.left) / w // wide)), min(down, int((raster.top - box[1]) / h // high) + 1), min(raster.across, int((box[2] - raster.left) / w // wide) + 1))
+    rows, columns = max(0, first[2] - first[0]), max(0, first[3] - first[1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in batch.column(0).to_pylist():
+                by, bx = first[0] + i // columns, first[1] + i % columns
+                values = read_block(raster, by * raster.across + bx, band)[: raster.height - by * high, : raster.width - bx * wide]
+                there = np.isfinite(values) & (values != raster.nodata if raster.nodata is not None else True)
+                r, c = np.nonzero(there)
+                row, col = r + by * high, c + bx * wide
+                yield pa.record_batch([pa.array(row, pa.int64()), pa.array(col, pa.int64()), pa.array(raster.left + (col + 0.5) * w), pa.array(raster.top - (row + 0.5) * h), pa.array(values[there])], ["row", "col", "x", "y", "value"])
+
+    found = spark.range(0, rows * columns, 1, max(1, min(rows * columns, 4096))).mapInArrow(run, "row long, col long, x double, y double, value double")
+    return found if box is None else found.where(F.col("x").between(box[0], box[2]) & F.col("y").between(box[1], box[3]))
+
+
 def encoded(values: np.ndarray, left: float, top: float, cell: tuple[float, float], epsg: int = 4326, nodata: float | None = None, block: tuple[int, int] | None = None, compression: int = DEFLATE, predictor: int = 1) -> bytes:
     """A little-endian file of bands (band, row, col) or one band (row, col), side by side; ``block`` makes tiles, else rows are one strip each."""
     bands = np.moveaxis(values.reshape(-1, *values.shape[-2:]), 0, 2)

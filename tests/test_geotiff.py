@@ -127,3 +127,25 @@ def test_points_are_taken_into_the_system_of_the_raster(spark, tmp_path):
     assert G.sampled(points, []).count() == 0 and G.sampled(points.limit(0), [str(tmp_path / "utm.tif")]).count() == 0
     with pytest.raises(ValueError):
         G.in_system(27700, F.lit(0.0), F.lit(0.0))
+
+
+def test_cells_of_a_box_and_the_greatest_in_areas(spark, tmp_path):
+    from monsoonway.operators import areas as A
+
+    draw = np.random.default_rng(5)
+    values = draw.integers(-3, 6, (40, 33)).astype("f4")
+    values[5, 5] = -9999
+    path = tmp_path / "a.tif"
+    path.write_bytes(G.encoded(values, 100.0, 20.0, (0.5, 0.25), nodata=-9999.0, block=(16, 16)))
+    every = {(r["row"], r["col"]): (r["x"], r["y"], r["value"]) for r in G.cells(spark, str(path)).collect()}
+    assert len(every) == 40 * 33 - 1 and every[3, 4] == (102.25, 19.125, float(values[3, 4])) and (5, 5) not in every
+    box = (103.0, 13.0, 109.2, 15.1)
+    boxed = {(r["row"], r["col"]) for r in G.cells(spark, str(path), box).collect()}
+    assert boxed == {k for k, (x, y, _) in every.items() if box[0] <= x <= box[2] and box[1] <= y <= box[3]} and boxed
+    assert G.cells(spark, str(path), (0.0, 0.0, 1.0, 1.0)).count() == 0
+    rings = spark.createDataFrame([("a", 0, [101.0, 108.0, 108.0], [12.0, 12.0, 19.0]), ("b", 0, [100.0, 101.0, 101.0], [10.1, 10.1, 10.6])], "area string, ring int, xs array<double>, ys array<double>")
+    assert A.box_of(rings, 0.5) == (99.5, 9.6, 108.5, 19.5) and A.box_of(rings.limit(0)) is None
+    found = [(r["area"], r["rank"], r["row"], r["col"], r["value"]) for r in A.top_cells(G.cells(spark, str(path)), rings, 4, 1.0).orderBy("area", "rank").collect()]
+    inside = sorted((-v, k) for k, (x, y, v) in every.items() if v > 0 and 101 < x < 108 and 12 < y < 19 and (y - 12) < (x - 101))
+    assert [(f[2:4], f[4]) for f in found if f[0] == "a"] == [(k, -v) for v, k in inside[:4]]
+    assert len([f for f in found if f[0] == "b"]) <= 4

@@ -123,12 +123,13 @@ def near_lines(points: DataFrame, lines: DataFrame, reach: float) -> DataFrame:
     return placed.join(cells, ["cx", "cy"]).select("point_id", "line_id", F.expr(SEGMENT_D2).alias("d2")).where(F.col("d2") <= reach * reach)
 
 
-def within(left: DataFrame, right: DataFrame, reach: float) -> DataFrame:
-    """Pairs of rows (id, x, y and more) at most ``reach`` apart, each once, those of the right named r_...; with ``d2``."""
+def within(left: DataFrame, right: DataFrame, reach: float, same: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of rows (id, x, y and more) at most ``reach`` apart that agree in the columns ``same``, each once, those of the right named r_...; with ``d2``."""
+    keys = [f"__s{i}" for i in range(len(same))]
     offsets = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    spread = left.withColumn("__o", F.explode(offsets)).withColumn("__cx", _floor(F.col("x"), reach) + F.col("__o.i")).withColumn("__cy", _floor(F.col("y"), reach) + F.col("__o.j")).drop("__o")
-    placed = right.select(*(F.col(c).alias(f"r_{c}") for c in right.columns), _floor(F.col("x"), reach).alias("__cx"), _floor(F.col("y"), reach).alias("__cy"))
-    apart = spread.join(placed, ["__cx", "__cy"]).drop("__cx", "__cy").withColumn("d2", F.pow(F.col("r_x") - F.col("x"), 2) + F.pow(F.col("r_y") - F.col("y"), 2))
+    spread = left.withColumn("__o", F.explode(offsets)).withColumn("__cx", _floor(F.col("x"), reach) + F.col("__o.i")).withColumn("__cy", _floor(F.col("y"), reach) + F.col("__o.j")).drop("__o").withColumns({k: F.col(c) for k, c in zip(keys, same)})
+    placed = right.select(*(F.col(c).alias(f"r_{c}") for c in right.columns), _floor(F.col("x"), reach).alias("__cx"), _floor(F.col("y"), reach).alias("__cy"), *(F.col(c).alias(k) for k, c in zip(keys, same)))
+    apart = spread.join(placed, ["__cx", "__cy", *keys]).drop("__cx", "__cy", *keys).withColumn("d2", F.pow(F.col("r_x") - F.col("x"), 2) + F.pow(F.col("r_y") - F.col("y"), 2))
     return apart.where(F.col("d2") <= reach * reach)
 
 
@@ -153,32 +154,45 @@ def nearest(points: DataFrame, targets: DataFrame, reach: float) -> DataFrame:
     return found
 
 
-def k_nearest(points: DataFrame, targets: DataFrame, reach: float, k: int, which: str = "true") -> DataFrame:
-    """Rows (id, rank, target, d2): the ``k`` nearest targets of each point, however far, for which ``which`` holds.
+def k_nearest(points: DataFrame, targets: DataFrame, reach: float | None, k: int, which: str = "true", same: tuple[str, ...] = (), only: str = "true") -> DataFrame:
+    """Rows (id, rank, target, d2): the ``k`` nearest targets of each point, however far.
 
-    Points and targets are (id, x, y and more); ``which`` reads the columns of targets as r_.... A point is no target of its
-    own. Ties go to the smaller id. The reach doubles for the points that found fewer, up to the width of all points; those
-    that then still have fewer have no more.
+    Points and targets are (id, x, y and more). Targets count for which ``only`` holds, a condition on their own columns that is applied first, and which agree with the point in the
+    columns ``same``, which are part of the join; ``which`` is any other condition on a pair, whose targets are named r_.... A point is no target of its own. Ties go to
+    the smaller id.
+
+    Points for which no more than ``k`` targets exist take them all without a search. For the others the reach doubles until they have found ``k``; None
+    starts with half the radius in which ``k`` targets lie on average. Under ``which`` the number of targets is not known, so points that have fewer are searched up to the width of all.
     """
-    open_ = checkpointed(points.dropna(subset=["id", "x", "y"]))
-    targets = checkpointed(targets.dropna(subset=["id", "x", "y"]))
+    open_ = points.dropna(subset=["id", "x", "y"])
+    targets = checkpointed(targets.dropna(subset=["id", "x", "y"]).where(only))
+    counts = targets.groupBy(*same).agg(F.count("*").alias("__n"))
+    open_ = checkpointed(open_.join(counts, list(same), "inner") if same else open_.crossJoin(F.broadcast(counts)))  # one row
     both = open_.select("x", "y").unionByName(targets.select("x", "y"))
-    wide = both.agg(F.max("x") - F.min("x") + F.max("y") - F.min("y")).first()[0] or 0.0
+    wide, area = both.agg(F.max("x") - F.min("x") + F.max("y") - F.min("y"), (F.max("x") - F.min("x")) * (F.max("y") - F.min("y"))).first()
+    wide = wide or 0.0
+    if reach is None:
+        n = targets.count()
+        reach = max((area or 0.0) * k / max(n, 1) / 3.14, (wide / 1024) ** 2) ** 0.5 / 2 or 1.0
     rank = F.row_number().over(Window.partitionBy("id").orderBy("d2", "r_id"))
-    found = None
-    while True:
-        met = within(open_, targets, reach).where(f"id <> r_id and ({which})")
-        now = checkpointed(met.withColumn("rank", rank).where(F.col("rank") <= k).select("id", "rank", F.col("r_id").alias("target"), "d2"))
+    chosen = lambda met: met.where(f"id <> r_id and ({which})").withColumn("rank", rank).where(F.col("rank") <= k).select("id", "rank", F.col("r_id").alias("target"), "d2")
+    # so few targets, perhaps the point itself among them, that all are taken: at most k + 1 rows a point
+    few = F.col("__n") <= k + 1
+    own = open_.where(few).drop("__n").withColumns({f"__s{i}": F.col(c) for i, c in enumerate(same)} | {"__one": F.lit(1)})
+    all_ = targets.join(counts.where(few), list(same), "left_semi") if same else targets.crossJoin(F.broadcast(counts.where(few))).drop("__n")
+    all_ = all_.select(*(F.col(c).alias(f"r_{c}") for c in targets.columns), *(F.col(c).alias(f"__s{i}") for i, c in enumerate(same)), F.lit(1).alias("__one"))
+    found = chosen(own.join(all_, ["__one", *(f"__s{i}" for i in range(len(same)))]).withColumn("d2", F.pow(F.col("r_x") - F.col("x"), 2) + F.pow(F.col("r_y") - F.col("y"), 2)))
+    open_ = checkpointed(open_.where(~few).drop("__n"))
+    while not open_.isEmpty():
+        now = checkpointed(chosen(within(open_, targets, reach, same)))
         done = now.where(F.col("rank") == k).select("id")
         last = reach >= wide
-        mine = now if last else now.join(done, "id", "left_semi")
-        found = mine if found is None else found.unionByName(mine)
+        found = found.unionByName(now if last else now.join(done, "id", "left_semi"))
         if last:
-            return found
+            break
         open_ = checkpointed(open_.join(done, "id", "left_anti"))
-        if open_.isEmpty():
-            return found
         reach *= 2
+    return found
 
 
 def bridges_to_better(nodes: DataFrame, reach: float) -> DataFrame:

@@ -182,14 +182,14 @@ def knn_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.top_per_group(_near(_points(spark, sf_dir), "true"), ["origin"], [F.col("d2"), F.col("vec_id")], 3).select("origin", "rank", "vec_id", "d2")
 
 
-def _k_nearest(spark: SparkSession, sf_dir: str, k: int, which: str) -> DataFrame:
+def _k_nearest(spark: SparkSession, sf_dir: str, k: int, same: tuple[str, ...] = (), only: str = "true") -> DataFrame:
     p = _points(spark, sf_dir).withColumnRenamed("vec_id", "id")
-    return G.k_nearest(p, p, KNN_REACH, k, which).select(F.col("id").alias("origin"), "rank", F.col("target").alias("vec_id"), F.round("d2", 6).alias("d2"))
+    return G.k_nearest(p, p, None, k, same=same, only=only).select(F.col("id").alias("origin"), "rank", F.col("target").alias("vec_id"), F.round("d2", 6).alias("d2"))
 
 
 def knn_same_component(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest other point of the same label, however far."""
-    return _k_nearest(spark, sf_dir, 1, "label = r_label").drop("rank")
+    return _k_nearest(spark, sf_dir, 1, ("label",)).drop("rank")
 
 
 def ols_standardised(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -267,7 +267,7 @@ def grid_meta_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def nearest_station(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest station, a point of label 0, however far."""
-    return _k_nearest(spark, sf_dir, 1, "r_label = 0").drop("rank")
+    return _k_nearest(spark, sf_dir, 1, only="label = 0").drop("rank")
 
 
 def node_stability(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -227,14 +227,14 @@ def _sql_utm(lon: str, lat: str) -> tuple[str, str]:
 _UTM = _sql_utm("lon", "lat")
 
 ORACLE_SQL = {
-    "raster_samples": f"WITH {_POINTS}, s AS (SELECT vec_id, label, w, floor(x / w) AS c, floor(y / w) AS r FROM p, (VALUES (CAST({RASTER_CELLS[0]} AS DOUBLE)), (CAST({RASTER_CELLS[1]} AS DOUBLE))) v(w)), g AS (SELECT *, max(label) OVER (PARTITION BY w, c, r) AS m FROM s) SELECT vec_id AS id, count(*) FILTER (m < 9) AS n, sum(m) FILTER (m < 9) + 0.0 AS total, arg_min(m, w) FILTER (m < 9) + 0.0 AS first FROM g GROUP BY vec_id",
+    "raster_samples": f"WITH {_POINTS}, s AS (SELECT vec_id, label, w, floor(x / w) AS c, floor(y / w) AS r FROM p, (VALUES (CAST({RASTER_CELLS[0]} AS DOUBLE)), (CAST({RASTER_CELLS[1]} AS DOUBLE))) v(w)), g AS (SELECT *, max(label) OVER (PARTITION BY w, c, r) AS m FROM s) SELECT vec_id AS id, count(*) FILTER (m < 9) AS n, CAST(sum(m) FILTER (m < 9) AS DOUBLE) AS total, CAST(arg_min(m, w) FILTER (m < 9) AS DOUBLE) AS first FROM g GROUP BY vec_id",
     "utm_nearest": f"""WITH c AS (SELECT c_custkey AS k, c_custkey * 31 % 599 * CAST(0.01 AS DOUBLE) + 6.0 AS lon, c_custkey * 17 % 449 * CAST(0.01 AS DOUBLE) + 40.0 AS lat FROM customer), s AS (SELECT s_suppkey AS k, s_suppkey % 97 * CAST(0.06 AS DOUBLE) + 6.003 AS lon, s_suppkey % 89 * CAST(0.05 AS DOUBLE) + 40.004 AS lat FROM supplier),
 p AS (SELECT k, {_UTM[0]} AS x, {_UTM[1]} AS y FROM c), q AS (SELECT k, {_UTM[0]} AS x, {_UTM[1]} AS y FROM s)
 SELECT supplier, CAST(rank AS INT) AS rank, customer, metres FROM (SELECT q.k AS supplier, p.k AS customer, round(sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2), 3) AS metres, row_number() OVER (PARTITION BY q.k ORDER BY (p.x - q.x) ** 2 + (p.y - q.y) ** 2, p.k) AS rank FROM p, q) WHERE rank <= 3""",
     "dense_weeks": f"""WITH e AS (SELECT {Q._SQL_EVENT_WEEK} AS week_start, round(user_id // 15 * 0.25 + 5.00001, 4) AS lat, round(user_id % 15 * CAST(0.1 AS DOUBLE) + 30, 4) AS lon, value FROM events),
 w AS (SELECT DISTINCT week_start FROM e UNION SELECT {Q._SQL_EVENT_WEEK.replace('CAST(ts AS date)', 'CAST(max(ts) AS date) + 7')} FROM events), g AS (SELECT week_start, lat, lon, max(value) AS v FROM e GROUP BY ALL)
 SELECT w.week_start, printf('%.4f', CAST(b.lon AS DOUBLE)) || ':' || printf('%.4f', CAST(a.lat AS DOUBLE)) AS cell_id, v FROM w, (SELECT DISTINCT lat FROM e) a, (SELECT DISTINCT lon FROM e) b LEFT JOIN g ON g.week_start = w.week_start AND g.lat = a.lat AND g.lon = b.lon""",
-    "crop_cells": f"""WITH {_SQL_AREAS}, g AS (SELECT (floor(x / {RASTER_CELLS[0]}) + 0.5) * {RASTER_CELLS[0]} AS x, (floor(y / {RASTER_CELLS[0]}) + 0.5) * {RASTER_CELLS[0]} AS y, sum(vec_id % 17 - 4) + 0.0 AS value FROM p GROUP BY ALL HAVING sum(vec_id % 17 - 4) > 0),
+    "crop_cells": f"""WITH {_SQL_AREAS}, g AS (SELECT (floor(x / {RASTER_CELLS[0]}) + 0.5) * {RASTER_CELLS[0]} AS x, (floor(y / {RASTER_CELLS[0]}) + 0.5) * {RASTER_CELLS[0]} AS y, CAST(sum(vec_id % 17 - 4) AS DOUBLE) AS value FROM p GROUP BY ALL HAVING sum(vec_id % 17 - 4) > 0),
 i AS (SELECT area, x, y, value FROM g JOIN side ON (y1 > y) <> (y2 > y) AND (y - y1) * (x2 - x1) / (y2 - y1) + x1 > x GROUP BY ALL HAVING count(*) % 2 = 1)
 SELECT CAST(area AS BIGINT) AS area, rank, round(x, 3) AS x, round(y, 3) AS y, value FROM (SELECT *, row_number() OVER (PARTITION BY area ORDER BY value DESC, y DESC, x) AS rank FROM i) WHERE rank <= 5""",
     "weekly_od_access": M.ORACLE_SQL["weekly_access"].rpartition("SELECT week_start, scenario, origin")[0].rstrip() + f""", o AS (SELECT s_suppkey AS origin, (s_nationkey + 1) % 25 AS n FROM supplier WHERE s_suppkey IN (SELECT s_suppkey FROM ({M._FIRST}))),

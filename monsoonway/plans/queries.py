@@ -252,7 +252,7 @@ def path_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
 def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three nearest other points, however far."""
     p = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), (F.col("embedding")[0].cast("double") * 100).alias("x"), (F.col("embedding")[1].cast("double") * 100).alias("y"))
-    return G.k_nearest(p, p, 5.0, 3).select(F.col("id").alias("origin"), "rank", F.col("target").alias("vec_id"), F.round("d2", 6).alias("d2"))
+    return G.k_nearest(p, p, None, 3).select(F.col("id").alias("origin"), "rank", F.col("target").alias("vec_id"), F.round("d2", 6).alias("d2"))
 
 
 QUERIES = {f.__name__: f for f in (

@@ -347,3 +347,33 @@ def test_keyed_graphs_as_tables(spark):
     found = [{(r["k"], r["origin"], r["dest"]): round(r["cost"], 9) for r in R.pair_costs(pairs, base, held=held, keys=("k",)).collect()} for held in (5, 10_000)]
     want = {(k, a, b): round(c, 9) for k in (0, 1) for a, b in ((0, 9), (1, 22), (5, 5)) if (c := _dijkstra([(x, y, w * (1 + (x * k) % 3)) for x, y, w in links], a).get(b)) is not None}
     assert found[0] == found[1] == want
+
+
+def test_k_nearest_of_rare_targets_without_a_wide_round(spark, monkeypatch):
+    """Labels with fewer targets than asked for, also of one point alone, dense and lone points: as all distances say, and no round joins all pairs."""
+    from monsoonway.operators import geometry as G
+
+    draw = np.random.default_rng(8)
+    xy = np.concatenate([draw.normal(0, 1, (150, 2)), draw.uniform(-500, 500, (50, 2))])
+    rows = [(i, float(x), float(y), "rare" if i % 97 == 3 else "none" if i == 7 else "lone" if i == 9 else None if i == 11 else "many") for i, (x, y) in enumerate(xy)]
+    points = spark.createDataFrame(rows, "id long, x double, y double, label string")
+    reaches, inner = [], G.within
+    monkeypatch.setattr(G, "within", lambda a, b, r, s=(): reaches.append(r) or inner(a, b, r, s))
+
+    def brute(k, may):
+        out = []
+        for i, x, y, a in rows:
+            near = sorted(((x - u) ** 2 + (y - v) ** 2, j) for j, u, v, b in rows if j != i and (may(a, b) if may else j in (3, 100)))
+            out += [(i, r + 1, j) for r, (_, j) in enumerate(near[:k])]
+        return sorted(out)
+
+    for k in (1, 3):
+        assert sorted(tuple(r)[:3] for r in G.k_nearest(points, points, None, k, same=("label",)).collect()) == brute(k, lambda a, b: a is not None and a == b)
+        assert sorted(tuple(r)[:3] for r in G.k_nearest(points, points, None, k, only="label = 'rare'").collect()) == brute(k, lambda a, b: b == "rare")
+        reaches.clear()
+        assert sorted(tuple(r)[:3] for r in G.k_nearest(points, points, None, k).collect()) == brute(k, lambda a, b: True)
+        assert max(reaches) < 700  # the points lie 2,000 apart
+        reaches.clear()
+        # all of the two targets are taken by every point, without a search
+        assert sorted(tuple(r)[:3] for r in G.k_nearest(points, points, None, k + 1, only="id in (3, 100)").collect()) == brute(k + 1, None) and not reaches
+        assert G.k_nearest(points, points.limit(0), None, k).count() == 0 == G.k_nearest(points.limit(0), points, None, k).count()

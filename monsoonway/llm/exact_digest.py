@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 
 #: Text that one task should sort, in code points.
 RANGE_CHARS = 2_000_000
-#: Quantiles that one aggregate finds; with more ranges each of these is cut again.
+#: Quantiles of the keys that the driver holds; between two of them ranges are cut evenly by the key.
 QUANTILES = 1000
+#: Blocks of ranges; a window over no more rows than these joins them.
+BLOCKS = 1000
 
 
 def canonical(text: Column) -> Column:
@@ -52,36 +54,60 @@ def resolve(rows: DataFrame, clashes: DataFrame, column: str) -> DataFrame:
         column, F.when(F.col("clash_nth") > 1, F.concat(column, F.lit("-"), F.col("clash_nth").cast("string"))).otherwise(F.col(column))).drop("clash_print", "clash_canon", "clash_nth")
 
 
-def _edges_below(edges: list[float], value: Column) -> Column:
-    """How many of the sorted ``edges`` are at most ``value``, by halving; the plan holds them as one folded array."""
-    if not edges:
-        return F.lit(0)
-    table = F.split(F.lit(",".join(map(repr, edges))), ",").cast("array<double>")
+def _edges_below(table: Column, count: int, value: Column) -> Column:
+    """How many of the ``count`` sorted values of ``table`` are at most ``value``, by halving."""
     middle = lambda acc: F.floor((acc["low"] + acc["high"]) / 2).cast("int")
     above = lambda acc: F.element_at(table, middle(acc) + 1) > value
     step = lambda acc, _: F.when(acc["low"] >= acc["high"], acc).otherwise(
         F.struct(F.when(above(acc), acc["low"]).otherwise(middle(acc) + 1).alias("low"), F.when(above(acc), middle(acc)).otherwise(acc["high"]).alias("high")))
-    whole = F.struct(F.lit(0).alias("low"), F.lit(len(edges)).alias("high"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(len(edges).bit_length())), whole, step, lambda acc: acc["low"])
+    whole = F.struct(F.lit(0).alias("low"), F.lit(count).alias("high"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(count.bit_length())), whole, step, lambda acc: acc["low"])
 
 
 def _range_edges(keys: DataFrame, ranges: int) -> list[float]:
-    """Edges of about ``ranges`` even ranges of ``keys(order_key)``, from quantiles and quantiles inside them."""
-    quantiles = lambda n: F.percentile_approx("order_key", [i / n for i in range(1, n)], 10 * n)
-    coarse = min(ranges, QUANTILES)
-    if coarse < 2:
+    """The least and greatest of ``keys(order_key)`` and quantiles between them, at most ``QUANTILES`` + 1 however many ranges there are to be."""
+    n = min(ranges, QUANTILES)
+    if n < 2:
         return []
-    edges = sorted(set(keys.agg(quantiles(coarse)).first()[0] or []))
-    if (fine := -(-ranges // coarse)) > 1:
-        inside = keys.withColumn("range", _edges_below(edges, F.col("order_key"))).groupBy("range").agg(quantiles(fine).alias("edges"))
-        edges = sorted({*edges, *(e for r in inside.select("edges").collect() for e in r["edges"])})  # 8 bytes a range
-    return edges
+    quantiles = F.percentile_approx("order_key", [i / n for i in range(1, n)], 10 * n)
+    low, inner, high = keys.agg(F.min("order_key"), quantiles, F.max("order_key")).first()
+    return sorted({low, *(inner or []), high} - {None})
+
+
+def _range_of(edges: list[float], value: Column, ranges: int) -> Column:
+    """The range of a key, about ``ranges`` in all; never falls where the key rises.
+
+    Between two edges lie as many even cuts as are wanted. Keys that crowd together there make ranges uneven, not wrong.
+    """
+    if len(edges) < 2:
+        return F.lit(0).cast("long")
+    cuts = -(-ranges // (len(edges) - 1))
+    table = F.split(F.lit(",".join(map(repr, edges))), ",").cast("array<double>")
+    at = F.least(F.greatest(_edges_below(table, len(edges), value), F.lit(1)), F.lit(len(edges) - 1))
+    if cuts == 1:
+        return at.cast("long")
+    low, high = F.element_at(table, at), F.element_at(table, at + 1)
+    cut = F.least(F.floor((value - low) / (high - low) * cuts), F.lit(cuts - 1))
+    return at.cast("long") * cuts + cut.cast("long")
+
+
+def _closed_ranges(firsts: DataFrame, ranges: int) -> DataFrame:
+    """``firsts(range, first_place)`` with the range that each closes: the next one above that has rows, for the last the lowest.
+
+    Ranges are taken in blocks of neighbours, so the one window without a key sees a row for each block, at most about ``BLOCKS``.
+    """
+    blocked = firsts.withColumn("block", F.floor(F.col("range") / max(1, ranges // BLOCKS)))
+    order = Window.orderBy(F.desc("block"))
+    lowest = F.last("low").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    above = blocked.groupBy("block").agg(F.min("range").alias("low")).select("block", F.coalesce(F.lag("low").over(order), lowest).alias("above"))
+    inside = F.lag("range").over(Window.partitionBy("block").orderBy(F.desc("range")))
+    return blocked.withColumn("inside", inside).join(above, "block").select("range", "first_place", F.coalesce("inside", "above").alias("closes"))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, text, next_text): the next document by falling id, the first after the last.
 
-    Rows are dealt by approximate quantiles of (id, hash of the text) to ranges of about ``RANGE_CHARS`` code
+    Rows are dealt by approximate quantiles of (id, hash of the text), and even cuts between them, to ranges of about ``RANGE_CHARS`` code
     points, however many those are, so rows that share an id, or have none, are spread as well. Each range also gets
     the first document of the range after it, so a window over the range sees every next text and the texts move once.
     """
@@ -92,13 +118,11 @@ def with_next(docs: DataFrame) -> DataFrame:
     part = F.col("place.tie").cast("double") / float(1 << 64) + 0.5
     rows = rows.withColumn("order_key", F.when(F.col("place.known"), F.col("doc_id").cast("double") + part).otherwise((part - 2.0) * 1e19))
     chars, = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
-    edges = _range_edges(rows.select("order_key"), -(-chars // RANGE_CHARS))
-    dealt = rows.withColumn("range", _edges_below(edges, F.col("order_key"))).select("range", "place", "doc_id", "text")
+    ranges = -(-chars // RANGE_CHARS)
+    edges = _range_edges(rows.select("order_key"), ranges)
+    dealt = rows.withColumn("range", _range_of(edges, F.col("order_key"), ranges)).select("range", "place", "doc_id", "text")
     # the first document of a range also closes the range before it; the first of all closes the last. One short row for each range
-    firsts = dealt.groupBy("range").agg(F.max("place").alias("first_place"))
-    order = Window.orderBy(F.desc("range"))
-    wraps = F.last("range").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    firsts = firsts.select("range", "first_place", F.coalesce(F.lag("range").over(order), wraps).alias("closes"))
+    firsts = _closed_ranges(dealt.groupBy("range").agg(F.max("place").alias("first_place")), ranges)
     heads = dealt.join(firsts, "range").where(F.col("place") == F.col("first_place")).groupBy("range", "closes").agg(F.first("place").alias("place"), F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
     heads = heads.select(F.col("closes").alias("range"), F.lit(1).alias("copy"), "place", "doc_id", "text")
     window = Window.partitionBy("range").orderBy("copy", F.desc("place"))

@@ -6,11 +6,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from monsoonway.plans import accessibility, fields, measures, routing, shapes, states
+from monsoonway.plans import accessibility, fields, measures, mechanism, routing, shapes, states
 from monsoonway.plans import queries as plans
 
-QUERIES = plans.QUERIES | accessibility.QUERIES | routing.QUERIES | measures.QUERIES | fields.QUERIES | states.QUERIES | shapes.QUERIES
-ORACLE_SQL = plans.ORACLE_SQL | accessibility.ORACLE_SQL | routing.ORACLE_SQL | measures.ORACLE_SQL | fields.ORACLE_SQL | states.ORACLE_SQL | shapes.ORACLE_SQL
+QUERIES = plans.QUERIES | accessibility.QUERIES | routing.QUERIES | measures.QUERIES | fields.QUERIES | states.QUERIES | shapes.QUERIES | mechanism.QUERIES
+ORACLE_SQL = plans.ORACLE_SQL | accessibility.ORACLE_SQL | routing.ORACLE_SQL | measures.ORACLE_SQL | fields.ORACLE_SQL | states.ORACLE_SQL | shapes.ORACLE_SQL | mechanism.ORACLE_SQL
 DATA = Path("/root/testdata/sf0.01")
 
 

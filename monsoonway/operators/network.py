@@ -201,20 +201,12 @@ def spanning_links(edges: DataFrame) -> DataFrame:
 
 
 def successive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows (l_orderkey, s, t, w, week, t_week): each line of an order and the next one."""
-    from ..functions.expressions import anchored_week
-
+    """Rows (l_orderkey, s, t, w): each line of an order and the next one."""
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     total = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
-    week = anchored_week(F.col("l_shipdate"), "1995-01-02")
-    return lines.select("l_orderkey", F.col("l_suppkey").alias("s"), F.lead("l_suppkey").over(total).alias("t"), F.col("l_quantity").alias("w"), week.alias("week"), F.lead(week).over(total).alias("t_week")).where("t is not null and s <> t")
-
-
-def trade_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sparse graph of suppliers: successive lines of an order that ship in the same week are an edge."""
-    return successive(spark, sf_dir).where("week = t_week").groupBy(F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b")).agg(F.min("w").alias("w"))
+    return lines.select("l_orderkey", F.col("l_suppkey").alias("s"), F.lead("l_suppkey").over(total).alias("t"), F.col("l_quantity").alias("w")).where("t is not null and s <> t")
 
 
 def order_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole graph of suppliers: any successive lines of an order are an edge, in whatever weeks they ship."""
+    """The graph of suppliers: successive lines of an order are an edge, in whatever weeks they ship."""
     return successive(spark, sf_dir).groupBy(F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b")).agg(F.min("w").alias("w"))

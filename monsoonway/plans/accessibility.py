@@ -206,12 +206,12 @@ def edge_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.successive(spark, sf_dir).groupBy("s", "t").agg(F.count("*").alias("steps"), F.count_distinct("l_orderkey").alias("routes"))
 
 
-def reachability(spark: SparkSession, sf_dir: str, graph=N.trade_graph) -> DataFrame:
+def reachability(spark: SparkSession, sf_dir: str, graph=N.order_graph) -> DataFrame:
     """Ordered pairs that reach each other in each component, from its size alone."""
     return Q.component_summary(spark, sf_dir, graph).select("component", "nodes", (F.col("nodes") * (F.col("nodes") - 1)).alias("pairs"))
 
 
-def mst_links(spark: SparkSession, sf_dir: str, graph=N.trade_graph) -> DataFrame:
+def mst_links(spark: SparkSession, sf_dir: str, graph=N.order_graph) -> DataFrame:
     return N.spanning_links(graph(spark, sf_dir))
 
 
@@ -304,7 +304,7 @@ def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _points(spark, sf_dir).groupBy(key.alias("node_key")).agg(F.count("*").alias("n"), F.round(F.avg("x"), 6).alias("x"), F.round(F.avg("y"), 6).alias("y"))
 
 
-def connected_rank(spark: SparkSession, sf_dir: str, graph=N.trade_graph) -> DataFrame:
+def connected_rank(spark: SparkSession, sf_dir: str, graph=N.order_graph) -> DataFrame:
     """The three richest suppliers of each nation that lie in the largest component."""
     labels = Q.connected_components(spark, sf_dir, graph)
     largest = labels.groupBy("component").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "component").limit(1)

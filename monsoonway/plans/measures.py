@@ -221,7 +221,6 @@ QUERIES = {f.__name__: f for f in (
     weekly_access, factor_boxplots, rule_severity, weekly_increment_stats, wettest_day_increments, knn_left, area_points, conditional_weighted_mean, column_stats, point_components, component_ranks, closest_to_mean, country_queue, node_table,
     nearest_city, haversine_to_origin, delay_quantiles, spearman_matrix, affected_mean, static_weekly_merge, routable_links)}
 
-_EVERY_EDGE = Q._EDGES.replace("WHERE week = t_week ", "")
 _FIRST = "SELECT s_suppkey FROM (SELECT s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC NULLS LAST, s_suppkey) AS k FROM supplier) WHERE k = 1"
 _LONG = f"{Q._ROADS}, l AS (SELECT week_start, surface, 'quantity' AS factor, l_quantity AS v FROM roads UNION ALL SELECT week_start, surface, 'price', l_extendedprice FROM roads)"
 _SHIFTED_WEEK = Q._SQL_EVENT_WEEK.replace("CAST(ts AS date)", "CAST(ts - INTERVAL 1 HOUR AS date)")
@@ -231,7 +230,7 @@ _LINKED = f"""WITH RECURSIVE {_POINTS}, b AS (SELECT q.vec_id AS s, p.vec_id AS
 r(node, c) USING KEY (node) AS (SELECT vec_id, vec_id FROM p UNION SELECT b.t, min(r.c) FROM r JOIN b ON b.s = r.node JOIN recurring.r old ON old.node = b.t WHERE r.c < old.c GROUP BY b.t)"""
 
 ORACLE_SQL = {
-    "weekly_access": f"""WITH RECURSIVE {_EVERY_EDGE}, {Q._INCREMENTS}, rain AS (SELECT user_id, week_start, round(sum(mm), 6) AS mm FROM i GROUP BY ALL),
+    "weekly_access": f"""WITH RECURSIVE {Q._EDGES}, {Q._INCREMENTS}, rain AS (SELECT user_id, week_start, round(sum(mm), 6) AS mm FROM i GROUP BY ALL),
 g AS (SELECT week_start, scenario, a, b, w, (['paved', 'unpaved', 'unknown'])[CAST((a + b) % 3 + 1 AS INT)] AS surface FROM e CROSS JOIN (SELECT DISTINCT week_start FROM rain) CROSS JOIN {Q._SQL_SCENARIOS}),
 t AS (SELECT g.*, coalesce(mm, 0.0) AS mm, CASE WHEN {Q._SQL_EFFECTIVE} = 'paved' THEN 'paved' ELSE 'unpaved' END AS road_type FROM g LEFT JOIN rain ON rain.week_start = g.week_start AND user_id = a),
 c AS (SELECT week_start, scenario, a, b, w / greatest(CAST(m AS DOUBLE), 0.01) AS w FROM t LEFT JOIN {Q._SQL_RULES} ON r.t = road_type AND mm >= lo AND (hi IS NULL OR mm < hi)),
@@ -260,7 +259,7 @@ k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY origin ORDER BY f
     "closest_to_mean": "WITH m AS (SELECT user_id, round(avg(value), 6) AS mean FROM events GROUP BY ALL) SELECT user_id, event_id, far FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY far, ts, event_id) AS k FROM (SELECT e.*, round(abs(value - mean), 6) AS far FROM events e JOIN m USING (user_id))) WHERE k = 1",
     "country_queue": "SELECT n_nationkey, count(c_custkey) AS customers, row_number() OVER (ORDER BY n_regionkey, count(c_custkey) DESC, n_name, n_nationkey) AS place FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey, n_regionkey, n_name",
     "node_table": f"WITH {_POINTS}, u AS (SELECT x, y FROM p UNION ALL SELECT x + 0.000001, y FROM p) SELECT md5(printf('%.5f', round(x, 5) + 0.0) || ':' || printf('%.5f', round(y, 5) + 0.0)) AS node, count(*) AS ends, round(avg(x), 4) AS x, round(avg(y), 4) AS y FROM u GROUP BY 1",
-    "nearest_city": f"WITH RECURSIVE {_EVERY_EDGE}, " + Q.ORACLE_SQL["sssp_costs"].partition("r(origin, node, cost)")[1] + Q.ORACLE_SQL["sssp_costs"].partition("r(origin, node, cost)")[2].rpartition(" SELECT origin")[0]
+    "nearest_city": f"WITH RECURSIVE {Q._EDGES}, " + Q.ORACLE_SQL["sssp_costs"].partition("r(origin, node, cost)")[1] + Q.ORACLE_SQL["sssp_costs"].partition("r(origin, node, cost)")[2].rpartition(" SELECT origin")[0]
     + ", k AS (SELECT origin, node AS city, cost, row_number() OVER (PARTITION BY origin ORDER BY cost, node) AS i FROM r JOIN supplier h ON h.s_suppkey = origin JOIN supplier t ON t.s_suppkey = node WHERE h.s_nationkey <> t.s_nationkey) SELECT origin, city, cost FROM k WHERE i = 1",
     "haversine_to_origin": f"WITH {_POINTS} SELECT vec_id, round(2 * {X.EARTH_KM} * asin(sqrt(least(1.0, sin(radians(y) / 2) ** 2 + cos(radians(y)) * sin(radians(x) / 2) ** 2))), 4) AS km FROM p",
     "delay_quantiles": "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.9), 6) AS p90, round(quantile_cont(value, 0.95), 6) AS p95, max(value) AS most FROM events GROUP BY ALL",

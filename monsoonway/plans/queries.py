@@ -167,21 +167,21 @@ def node_key_md5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "embeddings").select("vec_id", F.md5(F.concat_ws(":", d(0), d(1))).alias("node_key"))
 
 
-def graph_edges(spark: SparkSession, sf_dir: str, graph=N.trade_graph) -> DataFrame:
+def graph_edges(spark: SparkSession, sf_dir: str, graph=N.order_graph) -> DataFrame:
     return graph(spark, sf_dir)
 
 
-def connected_components(spark: SparkSession, sf_dir: str, graph=N.trade_graph) -> DataFrame:
+def connected_components(spark: SparkSession, sf_dir: str, graph=N.order_graph) -> DataFrame:
     edges = graph_edges(spark, sf_dir, graph)
     nodes = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node")))
     return N.components(nodes, edges)
 
 
-def component_summary(spark: SparkSession, sf_dir: str, graph=N.trade_graph) -> DataFrame:
+def component_summary(spark: SparkSession, sf_dir: str, graph=N.order_graph) -> DataFrame:
     return connected_components(spark, sf_dir, graph).groupBy("component").agg(F.count("*").alias("nodes"))
 
 
-def sssp_costs(spark: SparkSession, sf_dir: str, graph=N.trade_graph) -> DataFrame:
+def sssp_costs(spark: SparkSession, sf_dir: str, graph=N.order_graph) -> DataFrame:
     """From the supplier of the highest balance in each nation."""
     first = R.top_per_group(_t(spark, sf_dir, "supplier"), ["s_nationkey"], [F.desc_nulls_last("s_acctbal"), F.col("s_suppkey")], 1)
     return N.shortest_costs(first.select(F.col("s_suppkey").alias("origin")), graph(spark, sf_dir))
@@ -264,7 +264,7 @@ _ROADS = f"roads AS (SELECT l_suppkey, l_partkey, l_quantity, l_extendedprice, {
 _STEPS = f"""p AS (SELECT * FROM (SELECT l_orderkey, l_suppkey AS s, lead(l_suppkey) OVER o AS t, l_quantity AS w, {_SQL_WEEK} AS week, lead({_SQL_WEEK}) OVER o AS t_week
 FROM lineitem WINDOW o AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate)) WHERE t IS NOT NULL AND s <> t)"""
 _EDGES = _STEPS + """,
-e AS (SELECT least(s, t) AS a, greatest(s, t) AS b, min(w) AS w FROM p WHERE week = t_week GROUP BY ALL),
+e AS (SELECT least(s, t) AS a, greatest(s, t) AS b, min(w) AS w FROM p GROUP BY ALL),
 b AS (SELECT a AS s, b AS t, w FROM e UNION ALL SELECT b, a, w FROM e)"""
 _COMPONENTS = f"WITH RECURSIVE {_EDGES}, r(node, c) USING KEY (node) AS (SELECT DISTINCT s, s FROM b UNION SELECT b.t, min(r.c) FROM r JOIN b ON b.s = r.node JOIN recurring.r old ON old.node = b.t WHERE r.c < old.c GROUP BY b.t)"
 _INCREMENTS = f"""i AS (SELECT *, CASE WHEN p IS NULL OR value - p < -0.01 THEN greatest(value, 0) ELSE greatest(value - p, 0) END AS mm FROM (SELECT event_id, user_id, value, {_SQL_EVENT_WEEK} AS week_start,

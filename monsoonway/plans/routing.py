@@ -43,24 +43,24 @@ def _hub_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hubs.select(F.col("hub").alias("origin")).join(F.broadcast(hubs.select(F.col("hub").alias("dest"))), F.col("dest") < F.col("origin"))
 
 
-def route_status(spark: SparkSession, sf_dir: str, graph=N.trade_graph) -> DataFrame:
+def route_status(spark: SparkSession, sf_dir: str, graph=N.order_graph) -> DataFrame:
     trips = _hub_trips(spark, sf_dir)
     costs = N.shortest_costs(trips.select("origin").distinct(), graph(spark, sf_dir)).select("origin", F.col("node").alias("dest"), "cost")
     return trips.join(costs, ["origin", "dest"], "left").select("origin", "dest", "cost", F.when(F.col("cost").isNull(), "unreachable").otherwise("ok").alias("status"))
 
 
-def route_steps(spark: SparkSession, sf_dir: str, graph=N.trade_graph) -> DataFrame:
+def route_steps(spark: SparkSession, sf_dir: str, graph=N.order_graph) -> DataFrame:
     trips, edges = _hub_trips(spark, sf_dir), graph(spark, sf_dir)
     return N.route_steps(trips, N.shortest_costs(trips.select("origin").distinct(), edges), edges)
 
 
-def route_usage(spark: SparkSession, sf_dir: str, graph=N.trade_graph) -> DataFrame:
+def route_usage(spark: SparkSession, sf_dir: str, graph=N.order_graph) -> DataFrame:
     """Steps and routes over each edge that a hub's route takes."""
     steps = route_steps(spark, sf_dir, graph)
     return steps.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("steps"), F.count_distinct("origin", "dest").alias("routes"))
 
 
-def link_length_stats(spark: SparkSession, sf_dir: str, graph=N.trade_graph) -> DataFrame:
+def link_length_stats(spark: SparkSession, sf_dir: str, graph=N.order_graph) -> DataFrame:
     """Length figures of the edges at each supplier."""
     edges = graph(spark, sf_dir)
     ends = edges.select(F.explode(F.array("a", "b")).alias("node"), "w")

@@ -1,19 +1,9 @@
-"""The graph queries over all successive lines, against their SQL and Kruskal's method."""
+"""The graph over all successive lines, and its spanning forest against Kruskal's method."""
 
-import pytest
-from test_queries import DATA, rows, tables  # noqa: F401
+from test_queries import DATA
 
 from monsoonway.operators import network as N
-from monsoonway.plans import whole_graph
-
-
-@pytest.mark.parametrize("name", sorted(whole_graph.ORACLE_SQL))
-def test_whole_query_equals_its_sql(spark, tables, name):  # noqa: F811
-    got = whole_graph.QUERIES[name](spark, str(DATA))
-    want = tables.execute(whole_graph.ORACLE_SQL[name])
-    names = [x[0] for x in want.description]
-    assert sorted(got.columns) == sorted(names)
-    assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows(names, want.fetchall())
+from monsoonway.plans import accessibility
 
 
 def test_whole_forest_equals_kruskal(spark):
@@ -28,7 +18,7 @@ def test_whole_forest_equals_kruskal(spark):
         if find(a) != find(b):
             root[find(a)] = find(b)
             want.append((a, b, w))
-    assert sorted(map(tuple, whole_graph.QUERIES["mst_links_whole"](spark, str(DATA)).collect())) == sorted(want)
+    assert sorted(map(tuple, accessibility.mst_links(spark, str(DATA)).collect())) == sorted(want)
 
 
 def test_lines_of_different_weeks_are_an_edge(spark, tmp_path):

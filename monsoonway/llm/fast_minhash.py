@@ -21,7 +21,7 @@ is read whole, however long, its set hashed element by element. An empty table g
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +39,7 @@ BANDS, ROWS = 36, 5
 TOGETHER = 1 << 17
 _MASK = (1 << 64) - 1
 _EMPTY = np.uint64(_MASK)
+_NO_WORDS = np.zeros(1, np.uint64)
 
 
 def _mixed(x: np.ndarray, i: int) -> np.ndarray:
@@ -89,23 +90,34 @@ def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column(0), batch.column(1), pa.array(digests, pa.binary())], ["doc_id", "text", "digest"])
 
 
-def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _banded(batches: Iterator[pa.RecordBatch], shingle: int = SHINGLE, bands: int = BANDS) -> Iterator[pa.RecordBatch]:
     """(entry, text) to (entry, n, bands), n the size of the set."""
     for batch in in_slices(batches, "text"):
         ids, sets, size = [], [], 0
         for entry, text in zip(batch.column(0).to_pylist(), batch.column(1)):
             ids.append(entry)
-            sets.append(shingles(_words(text.as_py()), SHINGLE))
+            sets.append(shingles(_words(text.as_py()), shingle))
             size += len(sets[-1])
             if size >= TOGETHER:
-                yield _keyed(ids, sets)
+                yield _keyed(ids, sets, bands)
                 ids, sets, size = [], [], 0
         if ids:
-            yield _keyed(ids, sets)
+            yield _keyed(ids, sets, bands)
 
 
-def _keyed(ids: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
-    keys = band_keys(sketches(sets))
+def banded_by(shingle: int, bands: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What turns (entry, text) into (entry, bands) by sketches of the sets of ``shingle`` words, in ``bands`` bands of ``ROWS`` coordinates."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _banded(batches, shingle, bands):
+            yield batch.select(["entry", "bands"])
+
+    return run
+
+
+def _keyed(ids: list[int], sets: list[np.ndarray], bands: int = BANDS) -> pa.RecordBatch:
+    # an empty set, which has no sketch, is one of a word that no text has
+    keys = band_keys(sketches([s if len(s) else _NO_WORDS for s in sets], bands * ROWS))
     flat = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, keys.shape[1]), pa.int32()), pa.array(keys.ravel(), pa.int64()))
     return pa.record_batch([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), flat], ["entry", "n", "bands"])
 

@@ -203,9 +203,12 @@ def _apart(chosen: Chosen, posted: DataFrame, near: DataFrame, shingled: Shingle
     return dealt.mapInArrow(_compare, "a long, b long").distinct()
 
 
-def verified_pairs(texts: DataFrame) -> DataFrame:
-    """Rows (a, b) of distinct entries ``texts(entry, text)`` that are near copies; they tie all that share a list and are alike."""
-    banded = through_parquet(texts.mapInArrow(_banded, "entry long, bands array<long>"), "near_bands")
+def verified_pairs(texts: DataFrame, banded: Shingled = _banded) -> DataFrame:
+    """Rows (a, b) of distinct entries ``texts(entry, text)`` that are near copies; they tie all that share a list and are alike.
+
+    ``banded`` turns (entry, text) into (entry, bands), the keys of the lists in which candidates meet.
+    """
+    banded = through_parquet(texts.mapInArrow(banded, "entry long, bands array<long>"), "near_bands")
     return linked(banded, lambda asked: texts.join(asked, "entry", "left_semi").select("entry", "text"), _shingled)
 
 
@@ -221,14 +224,14 @@ def linked(banded: DataFrame, chosen: Chosen, shingled: Shingled) -> DataFrame:
     return near.unionByName(_apart(chosen, posted, near, shingled))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; see the module's notes."""
+def one_of_each(docs: DataFrame, banded: Shingled = _banded) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns; see the module's notes. ``banded`` is that of ``verified_pairs``."""
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
     read = docs.select(whole.alias("whole"), F.col("text").cast("binary").alias("text"))
     marked = read.mapInArrow(_entries, StructType([read.schema["whole"], StructField("entry", LongType())]))
     order = F.struct(F.col("whole.doc_id").isNull(), F.col("whole.doc_id"), F.xxhash64("whole.text"), F.col("whole.text"), F.xxhash64("whole"))
     first = through_parquet(marked.groupBy("entry").agg(F.min_by("whole", order).alias("whole")), "near_first")
-    components = connected_components(verified_pairs(first.select("entry", F.col("whole.text").cast("binary").alias("text"))))
+    components = connected_components(verified_pairs(first.select("entry", F.col("whole.text").cast("binary").alias("text")), banded))
     rank = F.struct(F.col("whole.doc_id").isNull(), F.col("whole.doc_id"), F.col("entry"))
     stays = components.join(first.select(F.col("entry").alias("node"), rank.alias("rank")), "node").groupBy("component").agg(F.min("rank").alias("rank"))
     goes = components.join(stays.select(F.col("rank.entry").alias("node")), "node", "left_anti").select(F.col("node").alias("entry"))

@@ -120,9 +120,7 @@ def column_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _point_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _points(spark, sf_dir).withColumnRenamed("vec_id", "id")
-    links = G.within(p, p, LINK_REACH).where("id < r_id").select(F.col("id").alias("a"), F.col("r_id").alias("b"))
-    return N.components(p.select(F.col("id").alias("node")), links)
+    return G.point_components(_points(spark, sf_dir).withColumnRenamed("vec_id", "id"), LINK_REACH)
 
 
 def point_components(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -109,6 +109,27 @@ def test_near_texts_lose_no_pair(spark, least):
     assert want <= found and all(a < b for a, b in found) and len(want) > 50
 
 
+@pytest.mark.parametrize("least", [70.0, 75.0, 90.0])
+def test_tiles_keep_every_pair_in_its_order(least):
+    """Bounds leave out only what the ratio leaves out, in each order, for repeated characters, empty and long texts."""
+    texts = sorted(set(_drawn_texts(2, 150) + ["", "a" * 30, "a" * 40, "ab" * 150, "ab" * 140 + "x" * 9, "é\U0001f600a", "é\U0001f600b"]))
+    a, b = texts[::2] + texts[:9], texts[1::2] + texts[:9]
+    ahead, back = S._alike(a, b, least)
+    assert sorted(ahead) == [(i, j) for i, x in enumerate(a) for j, y in enumerate(b) if x == y or _ratio(x, y) > least]
+    assert sorted(back) == [(i, j) for i, x in enumerate(a) for j, y in enumerate(b) if x == y or _ratio(y, x) > least]
+
+
+def test_near_classes_compare_few_texts(spark, monkeypatch):
+    """Names are compared by the ratio only after the bounds: 600 unlike names of one place, in several tiles, need next to none."""
+    names = sorted({f"{k * 7919 % 26**4:05d} {k * 104729 % 99991:06d}" for k in range(600)})
+    classes = spark.createDataFrame([(i, n, "here" if i % 2 else "there") for i, n in enumerate(names)] + [(9999, names[1], "hexe")], "class long, t0 string, t1 string")
+    monkeypatch.setattr(S, "TILE", 64)
+    want = {(i, j) for i, a in enumerate(names) for j, b in enumerate(names) if i != j and i % 2 == j % 2 and _ratio(a, b) > 90}
+    assert {tuple(r) for r in S._near_classes(classes.where("class < 9999"), ["t0", "t1"], 90.0).collect()} == want
+    alike = [tuple(r) for r in S._near_classes(classes, ["t0", "t1"], 70.0).where("other = 9999").collect()]
+    assert (1, 9999) in alike and len(alike) == len(set(alike))
+
+
 def _greedy(rows, least=75.0):
     kept = []
     for r in sorted(rows):

@@ -116,3 +116,23 @@ def test_components_of_chains_stars_and_loops(spark):
     loose = [(3000, 3000), (3001, None)]
     found = N.components(spark.createDataFrame([(n,) for e in chain + star for n in e] + [(3000,), (3002,)], "node long"), spark.createDataFrame([*chain, *star, *loose, (5, 1)], "a long, b long"))
     assert {(r.component, r["count"]) for r in found.groupBy("component").count().collect()} == {(0, 201), (1000, 41), (3000, 1), (3002, 1)}
+
+
+def test_route_steps_leave_heavy_links_out_and_keep_ties(spark, monkeypatch):
+    """A dense graph whose routes are known: only links that some route may take are written, and of equal routes the smallest last node counts."""
+    heavy = [(a, b, 100.0 + a + b) for a in range(30) for b in range(a + 1, 30)]
+    rows = heavy + [(i, i + 1, 1.0) for i in range(29)] + [(0, 40, 1.0), (40, 2, 1.0), (2, 1, 1.0)]
+    edges = spark.createDataFrame(rows, "a long, b long, w double")
+    trips = spark.createDataFrame([(0, 2), (0, 3), (5, 0), (3, 3), (0, 77)], "origin long, dest long")
+    costs = N.shortest_costs(trips.select("origin").distinct(), edges).cache()
+    written, kept = [], N.checkpointed
+
+    def noted(df):
+        out = kept(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(N, "checkpointed", noted)
+    found = sorted((r.origin, r.dest, r.step, r.a, r.b) for r in N.route_steps(trips, costs, edges).collect())
+    assert found == [(0, 2, 1, 0, 1), (0, 2, 2, 1, 2), (0, 3, 1, 0, 1), (0, 3, 2, 1, 2), (0, 3, 3, 2, 3), *((5, 0, k + 1, 5 - k, 4 - k) for k in range(5))]
+    assert max(written) < 60

@@ -84,3 +84,31 @@ def boxplots(counts: DataFrame, keys: list[str], value: str) -> DataFrame:
     """n, least, nearest-rank quartiles and greatest of each histogram."""
     ends = counts.groupBy(*keys).agg(F.min(value).alias("v_min"), F.max(value).alias("v_max"))
     return R.nearest_rank(counts, keys, value, {"q25": 0.25, "q50": 0.5, "q75": 0.75}).join(ends, keys)
+
+
+def scope_boxplots(counts: DataFrame, keys: list[str], value: str, surfaces: tuple[str, ...], scopes: list[tuple[str, str]]) -> DataFrame:
+    """Boxes (keys, scenario, scope, n, v_min, q25, q50, q75, v_max) of percentiles among all values of ``counts(keys, surface, value, count)``, for each (scenario, scope) that has rows.
+
+    As ``boxplots`` of ``scoped_percentiles``, but each value is sorted once, with a count for each of ``surfaces``, which are all there are: a scope's counts are sums
+    of those, and percentiles rise with the value, so nothing is expanded by scope or joined by value.
+    """
+    each = counts.groupBy(*keys, value).agg(*(F.coalesce(F.sum(F.when(F.col("surface") == s, F.col("count"))), F.lit(0)).alias(s) for s in surfaces))
+    run = K.running_each(each, keys, value, list(surfaces))
+    plus = lambda prefix, which: sum((F.col(f"{prefix}{s}") for s in which), F.lit(0).cast("long"))
+    inside = lambda scope, scenario: [F.when(in_scope(F.lit(s), scope, scenario), F.lit(1)).otherwise(F.lit(0)) for s in surfaces]
+    names = [f"__{i}" for i in range(len(scopes))]
+    spark = counts.sparkSession
+    held = spark.range(1).select(*(F.array(*inside(scope, scenario)).alias(n) for n, (scenario, scope) in zip(names, scopes))).first()  # one row of flags
+    sets = {n: tuple(s for s, on in zip(surfaces, held[n]) if on) for n in names}
+    run = run.withColumn("__pct", (plus("before_", surfaces) + plus("", surfaces)) / plus("total_", surfaces) * 100)
+    boxes, at = [], {}
+    for which in dict.fromkeys(sets.values()):
+        own, total = plus("", which), plus("total_", which)
+        upto = plus("before_", which) + own
+        at[which] = f"__b{len(at)}"
+        here = F.when(own > 0, F.col("__pct"))
+        quartiles = [F.min(F.when(upto >= F.ceil(total * q), F.col("__pct"))).alias(name) for name, q in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75))]
+        boxes.append(F.struct(F.max(total).alias("n"), F.min(here).alias("v_min"), *quartiles, F.max(here).alias("v_max")).alias(at[which]))
+    found = run.groupBy(*keys).agg(*boxes)
+    out = F.array(*(F.struct(F.lit(scenario).alias("scenario"), F.lit(scope).alias("scope"), F.col(at[sets[n]]).alias("b")) for n, (scenario, scope) in zip(names, scopes)))
+    return found.select(*keys, F.explode(out).alias("o")).select(*keys, "o.scenario", "o.scope", "o.b.*").where("n > 0")

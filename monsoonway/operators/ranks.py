@@ -38,6 +38,20 @@ def running(counts: DataFrame, keys: list[str], value: str, n: str = "count") ->
     return joined.select(*(F.col(f"l.{c}") for c in counts.columns), (F.col("r.__ahead") + F.col("l.__in")).cast("long").alias("before"), F.col("r.total").cast("long").alias("total"))
 
 
+def running_each(counts: DataFrame, keys: list[str], value: str, names: list[str]) -> DataFrame:
+    """``counts`` with ``before_<name>`` and ``total_<name>`` for each count of ``names``, as ``running`` gives them for one; all from one sort."""
+    dealt = counts.repartitionByRange(*keys, value).sortWithinPartitions(*keys, value)
+    runs = checkpointed(dealt.withColumn("__run", F.spark_partition_id()))
+    of_group = Window.partitionBy(*keys)
+    ahead = of_group.orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)
+    per = runs.groupBy(*keys, "__run").agg(*(F.sum(n).alias(n) for n in names))
+    per = per.select(*keys, "__run", *(F.coalesce(F.sum(n).over(ahead), F.lit(0)).alias(f"__ahead_{n}") for n in names), *(F.sum(n).over(of_group).cast("long").alias(f"total_{n}") for n in names))
+    in_run = Window.partitionBy(*keys, "__run").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    within = runs.withColumns({f"__in_{n}": F.coalesce(F.sum(n).over(in_run), F.lit(0)) for n in names})
+    joined = within.alias("l").join(per.alias("r"), _same("l", "r", [*keys, "__run"]))
+    return joined.select(*(F.col(f"l.{c}") for c in counts.columns), *((F.col(f"r.__ahead_{n}") + F.col(f"l.__in_{n}")).cast("long").alias(f"before_{n}") for n in names), *(F.col(f"r.total_{n}") for n in names))
+
+
 def counted(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Rows (keys, value, count); null values stay with a count of 0, so that their group does."""
     return rows.groupBy(*keys, value).agg(F.count(value).alias("count"))

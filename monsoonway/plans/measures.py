@@ -57,10 +57,8 @@ def _long_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 def factor_boxplots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentiles of factor values among all roads of the week, boxed for each scenario and scope."""
     counts = R.histogram(_long_values(spark, sf_dir), ["week_start", "surface", "factor"], "v")
-    raw = W.merged_histograms([counts.drop("surface")], ["week_start", "factor"], "v")
-    inside = F.array_compact(F.array(*(F.when(W.in_scope(F.col("surface"), scope, scenario), F.struct(F.lit(scenario).alias("scenario"), F.lit(scope).alias("scope"))) for scenario in Q.SCENARIOS for scope in SCOPES)))
-    scoped = counts.withColumn("s", F.explode(inside)).groupBy("week_start", "factor", "s.scenario", "s.scope", "v").agg(F.sum("count").alias("count"))
-    boxes = W.boxplots(W.scoped_percentiles(raw, scoped, ["week_start", "factor"], "v"), ["week_start", "factor", "scenario", "scope"], "pct")
+    scopes = [(scenario, scope) for scenario in Q.SCENARIOS for scope in SCOPES]
+    boxes = W.scope_boxplots(counts, ["week_start", "factor"], "v", ("paved", "unpaved", "unknown"), scopes)
     return boxes.select("week_start", "factor", "scenario", "scope", "n", *(Q._r(c) for c in ("v_min", "q25", "q50", "q75", "v_max")))
 
 

@@ -79,3 +79,23 @@ def test_costs_of_several_graphs_by_both_ways(spark):
     want = sorted((g, 1, n, c * g) for g in (1, 2) for n, c in ((1, 0.0), (2, 1.0), (3, 2.0))) + [(g, 4, n, c * g) for g in (1, 2) for n, c in ((4, 0.0), (5, 2.0))]
     for held in (N.HELD_LINKS, 0):
         assert sorted(tuple(r) for r in N.graph_costs([1, 4], edges, ["g"], held).collect() if r["cost"] or r["origin"] == r["node"]) == sorted(want)
+
+
+def test_scope_boxplots_equal_the_joined_way(spark):
+    """Scopes as sums of surfaces give the boxes that histograms of each scope give, and scopes without rows none; each value is sorted once."""
+    import random
+
+    from monsoonway.operators import factors as W
+
+    draw = random.Random(4)
+    rows = [(k, s, float(draw.randrange(12)), draw.randint(1, 4)) for k in range(3) for s in ("paved", "unpaved", "unknown")[: k + 1] for _ in range(15)]
+    counts = spark.createDataFrame(rows, "k int, surface string, v double, count long").groupBy("k", "surface", "v").sum("count").withColumnRenamed("sum(count)", "count")
+    scopes = [(a, b) for a in ("actual_unpaved", "unknown_as_paved", "unknown_as_unpaved") for b in ("all", "paved", "unpaved")]
+    raw = W.merged_histograms([counts.drop("surface")], ["k"], "v")
+    want = set()
+    for scenario, scope in scopes:
+        own = W.merged_histograms([counts.where(W.in_scope(counts.surface, scope, scenario)).drop("surface")], ["k"], "v")
+        boxes = W.boxplots(W.scoped_percentiles(raw, own, ["k"], "v"), ["k"], "pct")
+        want |= {(r.k, scenario, scope, r.n, r.v_min, r.q25, r.q50, r.q75, r.v_max) for r in boxes.collect()}
+    found = W.scope_boxplots(counts, ["k"], "v", ("paved", "unpaved", "unknown"), scopes)
+    assert {(r.k, r.scenario, r.scope, r.n, r.v_min, r.q25, r.q50, r.q75, r.v_max) for r in found.collect()} == want and len(want) > 15

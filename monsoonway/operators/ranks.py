@@ -57,23 +57,24 @@ def counted(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     return rows.groupBy(*keys, value).agg(F.count(value).alias("count"))
 
 
-def _at(place: Column, value: str, n: str) -> Column:
-    """The value that holds a place, counted from 0."""
-    return F.max(F.when((F.col("before") <= place) & (place < F.col("before") + F.col(n)), F.col(value)))
-
-
-def quantile_columns(shares: dict[str, float], value: str, n: str = "count") -> list[Column]:
-    """Aggregates over ``running`` rows: quantiles that interpolate between the two values about ``share * (total - 1)``."""
+def quantile_columns_of(shares: dict[str, float], value: str, n: Column, before: Column, total: Column) -> list[Column]:
+    """Aggregates over rows with their count ``n``, the count ``before`` and the ``total`` of their group: quantiles that interpolate between the two values about ``share * (total - 1)``."""
+    held = lambda place: F.max(F.when((before <= place) & (place < before + n), F.col(value)))  # noqa: E731  the value at a place, counted from 0
     out = []
     for name, share in shares.items():
-        place = F.lit(share) * (F.max("total") - 1)
-        at = F.lit(share) * (F.col("total") - 1)
+        place = F.lit(share) * (F.max(total) - 1)
+        at = F.lit(share) * (total - 1)
         low, high = F.floor(place), F.ceil(place)
-        under, over = _at(F.floor(at), value, n), _at(F.ceil(at), value, n)
+        under, over = held(F.floor(at)), held(F.ceil(at))
         out.append(F.when(low == high, under).otherwise((high - place) * under + (place - low) * over).alias(name))
     return out
 
 
+def quantile_columns(shares: dict[str, float], value: str, n: str = "count") -> list[Column]:
+    """``quantile_columns_of`` over ``running`` rows."""
+    return quantile_columns_of(shares, value, F.col(n), F.col("before"), F.col("total"))
+
+
 def quantiles(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
     """Rows (keys, n, a column for each of ``shares``): exact quantiles of the values that are not null; null for a group without any."""
     return running(counted(rows, keys, value), keys, value).groupBy(*keys).agg(F.sum("count").alias("n"), *quantile_columns(shares, value))

@@ -5,36 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .geometry import covered, cuts_between, near_lines, split_at
+from .geometry import ENDS, cells_of, cuts_within, near_lines, split_at
 from .network import checkpointed
 
-_ENDS = ("x1", "y1", "x2", "y2")
-
 
 def cuts_of(lines: DataFrame, cell: float) -> DataFrame:
-    """Rows (line_id, t): where the lines (line_id, x1, y1, x2, y2) cut each other. What a network keeps beside its pieces, for lines to come."""
-    cells = covered(lines.select("line_id", *_ENDS).dropna(), cell)
-    return cuts_between(cells, cells).distinct()
+    """Rows (line_id, at): where the lines (line_id, x1, y1, x2, y2) cut each other, as ``cuts_within`` gives them. What a network keeps beside its pieces, for lines to come."""
+    return cuts_within(cells_of(lines, cell), cell)
 
 
-def renoded(lines: DataFrame, cuts: DataFrame, pieces: DataFrame, added: DataFrame, cell: float) -> tuple[DataFrame, DataFrame]:
+def renoded(lines: DataFrame, cuts: DataFrame, pieces: DataFrame | None, added: DataFrame, cell: float, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """The cuts and pieces of all lines together, from ``lines`` with their ``cuts_of`` and pieces, and lines (line_id, ...) that come to them.
 
-    Only lines that share a cell with an added line are compared, with the added ones alone, and only lines that get a new cut are split again; the pieces of all others
-    are passed on. Ids of added lines are new. Added lines are cut among each other, too. Cuts are places along the whole line, so the result is that of
+    Only lines that share a cell with an added line are compared, with the added ones alone, and only lines that one cuts are split again; the pieces of all others
+    are passed on. Without ``pieces`` (none were kept) all are split from the cuts, which are kept. Pieces carry the columns ``keep`` of their line.
+    Ids of added lines are new. Added lines are cut among each other, too. Cuts are places along the whole line, so the result is that of
     noding everything at once.
     """
-    added = checkpointed(added.select("line_id", *_ENDS).dropna())
-    new_cells = checkpointed(covered(added, cell))
-    near = covered(lines.select("line_id", *_ENDS).dropna(), cell).join(new_cells.select("cx", "cy").distinct(), ["cx", "cy"], "left_semi")
-    near = checkpointed(near)
-    fresh = cuts_between(near, new_cells).unionByName(cuts_between(new_cells, near.select(*new_cells.columns).unionByName(new_cells)))
-    fresh = checkpointed(fresh.distinct().join(cuts, ["line_id", "t"], "left_anti"))
-    every = cuts.select("line_id", "t").unionByName(fresh)
+    lines = lines.select("line_id", *keep, *ENDS)
+    added = checkpointed(added.select(*lines.columns).dropna(subset=["line_id", *ENDS]))
+    new_cells = checkpointed(cells_of(added, cell))
+    near = cells_of(lines, cell, fresh=False).join(new_cells.select("cx", "cy").distinct(), ["cx", "cy"], "left_semi")
+    fresh = checkpointed(cuts_within(near.select(*new_cells.columns).unionByName(new_cells), cell))
+    every = cuts.select("line_id", "at").unionByName(fresh)
+    if pieces is None:
+        return every, split_at(lines.unionByName(added), every, keep)
     moved = checkpointed(fresh.select("line_id").unionByName(added.select("line_id")).distinct())
-    again = lines.select("line_id", *_ENDS).dropna().unionByName(added).join(moved, "line_id", "left_semi")
-    split = split_at(again, every.join(moved, "line_id", "left_semi"))
-    return every, pieces.select("line_id", "piece", *_ENDS).join(moved, "line_id", "left_anti").unionByName(split)
+    again = lines.dropna(subset=["line_id", *ENDS]).unionByName(added).join(moved, "line_id", "left_semi")
+    split = split_at(again, every.join(moved, "line_id", "left_semi"), keep)
+    return every, pieces.select("line_id", "piece", *keep, *ENDS).join(moved, "line_id", "left_anti").unionByName(split)
 
 
 def parents(pieces: DataFrame, lines: DataFrame, reach: float, tolerance: float) -> DataFrame:

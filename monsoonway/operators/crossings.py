@@ -26,6 +26,27 @@ def _whole(v: np.ndarray) -> np.ndarray:
     return np.copysign(low + (np.abs(v) - low >= 0.5), v).astype(np.int64)
 
 
+def _within(px: np.ndarray, py: np.ndarray, box: tuple[float, float, float, float]) -> np.ndarray:
+    return (box[0] <= px) & (px < box[2]) & (box[1] <= py) & (py < box[3])
+
+
+def _ordered(px: np.ndarray, py: np.ndarray) -> np.ndarray:
+    """An order in which equal points lie together."""
+    if len(px) and (int(np.ptp(px)) + 1) * (wide := int(np.ptp(py)) + 1) < 2**62:
+        return np.argsort((px - px.min()) * wide + (py - py.min()))
+    return np.lexsort((py, px))
+
+
+def _joined(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of different lines below ``n`` that tie what the pairs (a, b) tie, at most one a line."""
+    if n <= 4 * LEAF:  # a square of the lines is small, and tells repeated pairs without an order
+        square = np.zeros((n, n), bool)
+        square[a, b] = True
+        a, b = np.nonzero(square)
+    low, high = (c.to_numpy() for c in _tied(pa.table([a, b], names=["a", "b"])).columns)
+    return low[low != high], high[low != high]
+
+
 class _Lines:
     """Lines that differ, some of them marked as fresh; old ones cut each other no more."""
 
@@ -60,20 +81,17 @@ class _Lines:
         beside = (np.abs(qx - rx / 2) <= np.abs(rx) / 2 + hx) & (np.abs(qy - ry / 2) <= np.abs(ry) / 2 + hy)
         return beside & (np.abs(qx * ry - qy * rx) <= hx * np.abs(ry) + hy * np.abs(rx))
 
-    def cuts(self, own: np.ndarray, box: tuple[float, float, float, float]) -> tuple[np.ndarray, ...]:
-        """Lines, places and points (line, at, px, py), each once and in order, at which the lines ``own`` are cut within the box; a crossing, a touching end and both ends of an overlap cut."""
+    def cuts(self, own: np.ndarray, box: tuple[float, float, float, float]) -> Iterator[tuple[np.ndarray, ...]]:
+        """Lines, places and points (line, at, px, py) at which the lines ``own`` are cut within the box, some of them repeated; a crossing, a touching end and both ends of an overlap cut."""
         fresh = self.fresh[own]
-        found = [np.zeros((4, 0), np.int64)]
         for p, q in ((own[fresh], own), (own[~fresh], own[fresh])):
             step = max(1, AT_ONCE // max(len(q), 1))
             for i in range(0, len(p) if len(q) else 0, step):
-                line, t = self._met(p[i : i + step], q)
-                line, at = np.divmod(np.unique(line * (WHOLE + 1) + np.floor(t * WHOLE + 0.5).astype(np.int64)), WHOLE + 1)
-                line = p[i : i + step][line]
+                row, t = self._met(p[i : i + step], q)
+                line, at = p[i : i + step][row], np.floor(t * WHOLE + 0.5).astype(np.int64)
                 px, py = self.points(line, at)
-                here = (box[0] <= px) & (px < box[2]) & (box[1] <= py) & (py < box[3])
-                found.append(np.stack([line[here], at[here], px[here], py[here]]))
-        return tuple(np.concatenate(found, axis=1))
+                here = np.flatnonzero(_within(px, py, box))
+                yield line[here], at[here], px[here], py[here]
 
     def _met(self, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of lines in ``p`` and the places, as shares, where lines ``q`` meet them."""
@@ -114,9 +132,8 @@ def cuts_of_cell(cell: float, margin: float):
         kind = table.schema.field("line_id").type
         out = [pa.table([pa.array([], kind), pa.array([], pa.list_(pa.int32()))], names=["line_id", "at"])]
         for own, part in lines.boxes(box, margin):
-            line, at, _, _ = lines.cuts(own, part)
-            order = np.argsort(line, kind="stable")
-            line, at = line[order], at[order]
+            codes = np.sort(np.concatenate([np.zeros(0, np.int64), *(line * (WHOLE + 1) + at for line, at, _, _ in lines.cuts(own, part))]))
+            line, at = np.divmod(codes[np.append(True, codes[1:] != codes[:-1])[: len(codes)]], WHOLE + 1)
             cut, first = np.unique(line, return_index=True)
             each = pa.ListArray.from_arrays(pa.array(np.append(first, len(line)), pa.int32()), pa.array(at, pa.int32()))
             # copies of a line are cut where it is
@@ -134,21 +151,20 @@ def met_in_cell(cell: float, margin: float):
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         lines, ids, start, box = _read(key, table, cell)
-        tie = lambda a, b: tuple(c.to_numpy() for c in _tied(pa.table([a, b], names=["a", "b"])).columns)
-        ties = [(np.zeros(0, np.int64),) * 2]
+        ties, number = [(np.zeros(0, np.int64),) * 2], np.zeros(len(start) - 1, np.int64)
         for own, part in lines.boxes(box, margin):
-            line, at, px, py = lines.cuts(own, part)
             both = np.concatenate([own, own])
             ends = lines.points(both, np.repeat([0, WHOLE], len(own)))
-            line, px, py = np.concatenate([line, both]), np.concatenate([px, ends[0]]), np.concatenate([py, ends[1]])
-            here = (part[0] <= px) & (px < part[2]) & (part[1] <= py) & (py < part[3])
-            line, px, py = line[here], px[here], py[here]
-            order = np.lexsort((py, px))
-            line, px, py = line[order], px[order], py[order]
+            here = _within(*ends, part)
+            found = [(both[here], ends[0][here], ends[1][here]), *((line, px, py) for line, _, px, py in lines.cuts(own, part))]
+            line, px, py = map(np.concatenate, zip(*found))
+            order = _ordered(px, py)
+            number[own] = np.arange(len(own))
+            line, px, py = number[line[order]], px[order], py[order]
             same = (px[1:] == px[:-1]) & (py[1:] == py[:-1])
-            ties.append(tie(line[1:][same], line[:-1][same]))
-        a, b = tie(*map(np.concatenate, zip(*ties)))
-        a, b = a[a != b], b[a != b]
+            a, b = _joined(line[1:][same], line[:-1][same], len(own))
+            ties.append((own[a], own[b]))
+        a, b = _joined(*map(np.concatenate, zip(*ties)), len(start) - 1)
         # copies of a line share its ends
         copies = np.delete(np.arange(len(ids)), start[:-1])
         lead = ids[start[:-1]]

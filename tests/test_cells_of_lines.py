@@ -73,3 +73,13 @@ def test_reach_by_cells_is_that_of_the_pieces(spark, whole):
     assert {r["node"]: r["component"] for r in found.collect()} == want and len(set(want.values())) > 3
     # what leaves the cells grows with the lines there, not with their cuts
     assert links.count() < G.cells_of(lines, 4.0).count()
+
+
+def test_pieces_carry_columns_and_need_no_kept_ones(spark):
+    lines = spark.createDataFrame(_drawn(7, 60, 5.0, True), SCHEMA).withColumn("label", F.col("line_id") % 4)
+    before, added = lines.where("label <> 3"), lines.where("label = 3")
+    cuts = N.checkpointed(L.cuts_of(before, 4.0))
+    rows = lambda t: sorted((r["line_id"], r["piece"], r["label"], *(round(r[c], 7) for c in ("x1", "y1", "x2", "y2"))) for r in t.dropna().collect())
+    want = rows(G.noded(lines, 4.0, ("label",)))
+    pieces = G.split_at(before, cuts, ("label",))
+    assert want == rows(L.renoded(before, cuts, None, added, 4.0, ("label",))[1]) == rows(L.renoded(before, cuts, pieces, added, 4.0, ("label",))[1])

@@ -3,7 +3,7 @@
 Two texts are near copies if the Jaccard likeness of their sets of ``SHINGLE`` words is ``LEAST`` or more. A SimHash
 of 64 bits cannot find them: texts alike by 0.8 differ in 8.5 bits on average, more than the index of
 ``simhash_index`` can be asked for. Candidates are texts that agree in a band of ``ROWS`` least hashes, one of
-``BANDS``; at a likeness of 0.8 all bands miss a pair with a chance of (1 - 0.8**5)**24 = 7e-5, at 0.9 of 3e-10. Every
+``BANDS``, as many as ``op12`` has; at a likeness of 0.8 all bands miss a pair with a chance of (1 - 0.8**5)**36 = 6e-7, at 0.9 of 5e-15. Every
 candidate pair is then verified on the shingles themselves, and the groups are the components of the verified pairs.
 
 Texts of the same words, by case and space, are one entry. In a band's list of at most ``ALL_PAIRS`` entries all
@@ -33,7 +33,7 @@ from .simhash_index import _stars
 SHINGLE = 5
 #: The least likeness, as a fraction of whole numbers.
 LEAST = (4, 5)
-BANDS, ROWS = 24, 5
+BANDS, ROWS = 36, 5
 ALL_PAIRS = 16
 #: Entries of a tile of a longer list, and shingles that are compared at once.
 TILE, COLUMNS = 512, 1 << 12

@@ -20,3 +20,23 @@ def test_candidates_meet_by_fast_sketches(spark, monkeypatch):
     assert (np.array(found["bands"][:3]) == want).all()
     # texts without words are copies of each other and of nothing else
     assert found["bands"][3] == found["bands"][4] and not set(found["bands"][3]) & set(found["bands"][2])
+
+
+def test_a_pair_at_the_least_likeness_is_not_missed(spark):
+    """24 bands of five coordinates had no key in common for these two texts, alike by 8 shingles of 10."""
+    words = [f"w36947x{i}" for i in range(14)]
+    rows = [(1, " ".join(words[:13]), "en", "s", 0), (2, " ".join(words[1:]), "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()] == [1]
+
+
+def test_a_stage_sends_few_texts_at_once(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for rows, want in ((10_000, 2_000), (0, 2_000), (500, 500)):
+            spark.conf.set(key, rows)
+            corpus_pipeline.drop_near_copies(spark, spark.createDataFrame([], "doc_id long, text string"), "")
+            assert int(spark.conf.get(key)) == want
+    finally:
+        spark.conf.set(key, before)
